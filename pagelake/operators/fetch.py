@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pagelake import settings
 from pagelake.functions.page_reader import read_page
 from pagelake.functions.text import links_section, truncate_content, url_parts
-from pagelake.plans.skew import skew_join
+from pagelake.plans.skew import keep_listed, skew_join
 
 LINK_TYPE = T.StructType(
     [
@@ -91,7 +91,7 @@ def truncate(df: DataFrame, limit, column: str = "content") -> DataFrame:
 
 def pages_at(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Pages whose url is listed, read and with links. Bodies of others are never parsed."""
-    return with_links_section(parse_pages(pages.join(urls, "url", "left_semi").select("url", "html")))
+    return with_links_section(parse_pages(keep_listed(pages.select("url", "html"), urls, ["url"])))
 
 
 def fetch(requests: DataFrame, pages: DataFrame, limit: Column | int | None = None, id_column: str = "request_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 HOT_ROWS = 1_000_000
 TOP_SLOTS = 64
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark limits window groups before the shuffle up to this rank (its default threshold).
 WINDOW_LIMIT = 1000
 
@@ -51,6 +52,25 @@ def skew_join(
     return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
 
 
+def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the whole table, measured, is small enough to send to every executor."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= max_bytes
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str]) -> DataFrame:
+    """Join to a lookup table: broadcast it when its measured size allows, else `skew_join`."""
+    if fits(right):
+        return left.join(F.broadcast(right), keys, how)
+    return skew_join(left, right, keys, how, spread_by)
+
+
+def keep_listed(df: DataFrame, listed: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Semi (or anti) join of a wide table with unique keys. A list of bounded size is
+    broadcast, so the wide rows stay where they are."""
+    return df.join(F.broadcast(listed) if fits(listed) else listed, keys, how)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k, spread_by: list[str], rank: str = "rank") -> DataFrame:
     """The first k rows per key, ranked from 1. k is a number or a column fixed per key.
 
