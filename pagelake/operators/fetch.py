@@ -98,20 +98,22 @@ def fetch(requests: DataFrame, pages: DataFrame, limit: Column | int | None = No
     """Each request's page as clean text, or an error row.
 
     `content_length` counts the cut content; `full_length` the content before the cut.
+    A fixed limit is applied once per page, before the page meets its requests.
     """
-    wanted = requests.select("url").distinct()
-    found = pages_at(pages, wanted).select(
-        "url", "content", "content_length", "original_content_length", "title", "heading", "error", F.lit(True).alias("_found")
+    found = pages_at(pages, requests.select("url").distinct()).select(
+        "url", "content", F.col("content_length").alias("full_length"), "original_content_length",
+        "title", "heading", "error", F.lit(True).alias("_found"),
     )
+    if not isinstance(limit, Column):
+        found = truncate(found, limit)
     joined = skew_join(requests, found, ["url"], "left", [id_column])
     failed = F.when(F.col("_found").isNull(), F.lit(settings.PAGE_NOT_FOUND)).otherwise(F.col("error"))
     rows = (
         joined.withColumn("error", failed)
         .withColumn("status_code", F.when(F.col("error").isNull(), F.lit(200)))
-        .withColumnRenamed("content_length", "full_length")
         .drop("_found")
     )
-    return truncate(rows, limit)
+    return truncate(rows, limit) if isinstance(limit, Column) else rows
 
 
 def render_fetch(fetched: DataFrame) -> DataFrame:

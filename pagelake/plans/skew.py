@@ -7,44 +7,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
+# A key is hot from this many rows on, and a slot of it holds about as many.
 HOT_ROWS = 1_000_000
+# Keys past the heaviest 1000 own less than a thousandth of the rows each.
+MOST_HOT_KEYS = 1000
+MOST_SLOTS = 512
 TOP_SLOTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark limits window groups before the shuffle up to this rank (its default threshold).
 WINDOW_LIMIT = 1000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that own more than `share` of all rows and more than `rows` rows.
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than `rows` rows and over how many slots to spread each; None if none.
 
-    At most 1/share keys can, whatever the table size, so the result may be broadcast.
-    `_slots` says over how many tasks a key should be spread.
+    Counted with partial aggregation. Never more than MOST_HOT_KEYS keys, whatever the
+    table size: any other key is small against the whole, so it needs no spreading.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    fair = F.greatest(total * F.lit(share), F.lit(float(rows)))
-    return counts.where(F.col("_rows") > fair).select(
-        *keys, F.ceil(F.col("_rows") / fair).cast("int").alias("_slots")
-    )
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str,
-    spread_by: list[str],
-    share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a left side with hot keys to a right side with few rows per key.
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+    slots = F.least(F.ceil(F.col("_rows") / rows), F.lit(MOST_SLOTS)).cast("int").alias("_slots")
+    heaviest = counts.orderBy(F.col("_rows").desc()).limit(MOST_HOT_KEYS).select(*keys, slots)
+    found = heaviest.collect()
+    return df.sparkSession.createDataFrame(found, heaviest.schema) if found else None
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Join a left side that may have hot keys to a right side with few rows per key.
 
     Rows of a hot key are spread over slots by a hash of `spread_by` (so a retried
     task places them alike); only the right rows of hot keys are repeated, once per
-    slot. All other keys stay in slot 0.
+    slot. All other keys stay in slot 0. Without hot keys it is a plain join.
     """
-    hot = F.broadcast(hot_keys(left, keys, share, rows))
+    hot = hot_keys(left, keys, rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
     slot = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_slots")).cast("int"), F.lit(0))
     slots = F.sequence(F.lit(0), F.coalesce(F.col("_slots"), F.lit(1)) - 1)
     spread = left.join(hot, keys, "left").withColumn("_slot", slot).drop("_slots")

@@ -8,8 +8,14 @@ PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
 def load_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages, one row per url."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    """Raw pages, one row per url.
+
+    Reading a page costs far more CPU than moving it, so a table with fewer splits than
+    the cluster has cores is spread first. A table with many splits stays as it is.
+    """
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    cores = spark.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
 
 
 def load_page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
