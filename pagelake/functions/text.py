@@ -74,14 +74,14 @@ def url_parts(url: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units; characters past the basic plane count twice."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def json_string_bytes(text: Column) -> Column:
     """Bytes of the text as an ASCII-only JSON string, without its quotes."""
-    plain = F.length(F.regexp_replace(text, r"[^ -~]", ""))
-    marks = F.length(F.regexp_replace(text, r'[^"\\]', ""))
-    short_controls = F.length(F.regexp_replace(text, r"[^\n\r\t\f\x08]", ""))
+    plain = F.length(F.regexp_replace(text, r"[^ -~]+", ""))
+    marks = F.length(F.regexp_replace(text, r'[^"\\]+', ""))
+    short_controls = F.length(F.regexp_replace(text, r"[^\n\r\t\f\x08]+", ""))
     units = utf16_length(text)
     return plain + marks + 2 * short_controls + 6 * (units - plain - short_controls)
 

@@ -76,10 +76,19 @@ def crawl(
         F.coalesce("links", F.array().cast("array<struct<pos:int,anchor_text:string,href:string,url:string>>")),
         lambda link: F.col("filters").isNull() | anchor_matches(link["anchor_text"], F.col("filters")),
     )
-    asked = skew_join(seeds.select("seed_id", "url", "filters"), linked.withColumn("_found", F.lit(True)), ["url"], "left", ["seed_id"])
-    asked = asked.withColumn("error", F.when(F.col("_found").isNull(), F.lit(settings.PAGE_NOT_FOUND)).otherwise(F.col("error")))
-    good = asked.where(F.col("error").isNull()).withColumn("kept", kept)
-    chosen = good.select("seed_id", F.inline(F.slice("kept", 1, max(subpage_limit, 0)))).select("seed_id", "pos", "anchor_text", "url")
+    found = skew_join(seeds.select("seed_id", "url", "filters"), linked.withColumn("_found", F.lit(True)), ["url"], "left", ["seed_id"])
+    error = F.when(F.col("_found").isNull(), F.lit(settings.PAGE_NOT_FOUND)).otherwise(F.col("error"))
+    kept = F.when(error.isNull(), kept)
+    # Narrow from here on: a seed keeps its counts and at most `subpage_limit` links.
+    asked = materialize(
+        found.withColumns({"error": error, "kept": kept}).select(
+            "seed_id", "url", "filters", "error",
+            F.size("kept").alias("links_found"),
+            F.slice("kept", 1, max(subpage_limit, 0)).alias("chosen"),
+        ),
+        "chosen-links",
+    )
+    chosen = asked.select("seed_id", F.inline("chosen")).select("seed_id", "pos", "anchor_text", "url")
 
     targets = chosen.select("url").distinct()
     unread = targets.join(text.select("url"), "url", "left_anti")
@@ -88,7 +97,7 @@ def crawl(
     subpages = skew_join(chosen, truncate(reachable, max_content_length), ["url"], "inner", ["seed_id"])
 
     main = skew_join(asked.select("seed_id", "url", "error"), text.drop("error"), ["url"], "left", ["seed_id"])
-    return Crawl(main, subpages, crawl_summary(asked.withColumn("kept", kept), subpages))
+    return Crawl(main, subpages, crawl_summary(asked, subpages))
 
 
 def crawl_summary(asked: DataFrame, subpages: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def crawl_summary(asked: DataFrame, subpages: DataFrame) -> DataFrame:
         "seed_id",
         "url",
         "error",
-        F.when(good, F.size("kept")).alias("total_subpages_found"),
+        F.when(good, F.col("links_found")).alias("total_subpages_found"),
         F.when(good, F.coalesce(F.col("returned"), F.lit(0))).cast("int").alias("subpages_returned"),
         F.when(good, F.col("filters")).alias("filters_applied"),
     )

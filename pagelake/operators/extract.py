@@ -88,9 +88,8 @@ def extract_contents(
     one_page = keyed.groupBy("key").agg(F.min("url").alias("url"))
     hits, misses = cache_lookup(one_page.withColumn("ts", now.cast("timestamp")), cache)
 
-    fresh = materialize(
-        _run(contents, misses.select("key", "url"), schema, extractor, mode, secrets), "extracted"
-    )
+    missed = materialize(misses.select("key", "url"), "missed")
+    fresh = materialize(_run(contents, missed, schema, extractor, mode, secrets), "extracted")
     none = F.lit(None)
     found = hits.select(
         "key", F.lit(200).alias("status"), none.cast("string").alias("error"), "data", F.lit(True).alias("cached"),

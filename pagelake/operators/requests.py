@@ -36,15 +36,19 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns({name: rule(F.col(name)) for name, rule in rules.items() if name in requests.columns})
 
 
-def first_failure(rules: list[tuple[Column, int, Column | str]]) -> tuple[Column, Column]:
-    """(status, error) of the first rule that fails; 200 and null if none does."""
-    status = error = None
-    for failed, code, message in rules:
-        message = F.lit(message) if isinstance(message, str) else message
-        failed = F.coalesce(failed, F.lit(False))
-        status = F.when(failed, F.lit(code)) if status is None else status.when(failed, F.lit(code))
-        error = F.when(failed, message) if error is None else error.when(failed, message)
-    return status.otherwise(F.lit(200)), error
+def with_first_failure(df: DataFrame, rules: list[tuple[Column, int, str]]) -> DataFrame:
+    """Adds status and error of the first rule that fails; 200 and null if none does.
+
+    The rules are evaluated once, to the number of the failed one.
+    """
+    number = F.lit(0)
+    for i, (failed, _, _) in reversed(list(enumerate(rules, 1))):
+        number = F.when(F.coalesce(failed, F.lit(False)), F.lit(i)).otherwise(number)
+    status, error = F.lit(200), F.lit(None).cast("string")
+    for i, (_, code, message) in enumerate(rules, 1):
+        status = F.when(F.col("_rule") == i, F.lit(code)).otherwise(status)
+        error = F.when(F.col("_rule") == i, F.lit(message)).otherwise(error)
+    return df.withColumn("_rule", number).withColumns({"status": status, "error": error}).drop("_rule")
 
 
 def is_missing(column: Column) -> Column:
@@ -72,11 +76,8 @@ def parsed_mode(raw: Column) -> Column:
 
 def request_options(requests: DataFrame) -> DataFrame:
     """Lower-cased, defaulted content_format and validation_mode with their status and error."""
-    status, error = first_failure(option_rules(requests.columns))
-    return requests.withColumns(
+    return with_first_failure(requests, option_rules(requests.columns)).withColumns(
         {
-            "status": status,
-            "error": error,
             "content_format": parsed_format(F.col("content_format")),
             "validation_mode": parsed_mode(F.col("validation_mode")),
         }
@@ -107,8 +108,7 @@ def request_rules(kind: str, columns: list[str]) -> list:
 
 def validate_requests(requests: DataFrame, kind: str) -> DataFrame:
     """Adds `status` and `error` (null when good). No row is dropped."""
-    status, error = first_failure(request_rules(kind, requests.columns))
-    return requests.withColumns({"status": status, "error": error})
+    return with_first_failure(requests, request_rules(kind, requests.columns))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,8 +137,7 @@ def guard_content(
     columns url, prompt and validation_mode count where they exist. The exact size is
     worked out only for content long enough to fail.
     """
-    content = F.col("content")
-    units = utf16_length(content)
+    content, units = F.col("content"), F.col("_units")
     parts = {
         name: F.col(source)
         for name, source in (("source_url", "url"), ("prompt", "prompt"), ("validation_mode", "validation_mode"))
@@ -151,16 +150,14 @@ def guard_content(
     for name, value in parts.items():
         rough = rough + F.coalesce(F.length(value) * 12 + len(name) + 8, F.lit(0))
     too_big = F.when(rough <= max_body, F.lit(False)).otherwise(exact > max_body)
-    status, error = first_failure(
-        [
-            (content.isNull() | is_blank(content), 400, settings.CONTENT_EMPTY),
-            (F.length(content) > max_length, 413, settings.CONTENT_TOO_LONG.format(limit=max_length)),
-            (too_big, 413, settings.BODY_TOO_LARGE.format(limit=max_body)),
-            (is_blank(content, SCRIPT_SPACE), 400, settings.SIDECAR_EMPTY),
-            (units > max_length, 413, settings.SIDECAR_TOO_LONG.format(limit=max_length)),
-        ]
-    )
-    return pages.withColumns({"status": status, "error": error})
+    rules = [
+        (content.isNull() | is_blank(content), 400, settings.CONTENT_EMPTY),
+        (F.length(content) > max_length, 413, settings.CONTENT_TOO_LONG.format(limit=max_length)),
+        (too_big, 413, settings.BODY_TOO_LARGE.format(limit=max_body)),
+        (is_blank(content, SCRIPT_SPACE), 400, settings.SIDECAR_EMPTY),
+        (units > max_length, 413, settings.SIDECAR_TOO_LONG.format(limit=max_length)),
+    ]
+    return with_first_failure(pages.withColumn("_units", utf16_length(content)), rules).drop("_units")
 
 
 def filter_results(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake import settings
 from pagelake.functions.text import snippet
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import lookup_join, top_k
+from pagelake.plans.skew import fits, lookup_join, skew_join, top_k
 
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
@@ -18,7 +18,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 def words(text: Column) -> Column:
     """Lower-cased words in text order."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def query_needs(queries: DataFrame) -> DataFrame:
@@ -42,29 +42,32 @@ def doc_words(docs: DataFrame) -> DataFrame:
 def unit_counts(docs: DataFrame, needs: DataFrame) -> DataFrame:
     """(doc_id, doc_len, unit, phrase, tf) for the asked units only.
 
-    Word occurrences meet the asked words in an equi-join on the word; a phrase occurs
-    where all its words line up on the same start. Every group holds one document's
-    rows, and all of them start in one task, so counts are combined before the shuffle.
+    Every group holds one document's rows and all of them start in one task, so counts
+    are complete before the shuffle.
     """
-    units = needs.select("unit", "phrase").distinct()
-    parts = units.select(
-        "unit", "phrase", F.size(F.split("unit", " ")).alias("unit_len"), F.posexplode(F.split("unit", " ")).alias("offset", "word")
-    )
-    occurrences = doc_words(docs).select("doc_id", "doc_len", F.posexplode("tokens").alias("at", "word"))
-    placed = lookup_join(occurrences, parts, ["word"], "inner", ["doc_id", "at"])
-    terms = (
-        placed.where(~F.col("phrase"))
-        .groupBy("doc_id", "doc_len", "unit", "phrase")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    starts = (
-        placed.where(F.col("phrase"))
-        .groupBy("doc_id", "doc_len", "unit", "phrase", "unit_len", (F.col("at") - F.col("offset")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("aligned"))
-        .where(F.col("aligned") == F.col("unit_len"))
-    )
-    phrases = starts.groupBy("doc_id", "doc_len", "unit", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    return terms.unionByName(phrases)
+    units = needs.select("unit", "phrase", F.split("unit", " ").alias("unit_words")).distinct()
+    # The outer form keeps the optimizer from splitting every text once more to drop empty ones.
+    tokens = doc_words(docs).select("doc_id", "doc_len", "tokens", F.posexplode_outer("tokens").alias("at", "word"))
+    placed = broadcast_units(tokens, units) if fits(units) else aligned_units(tokens.drop("tokens"), units)
+    return placed.groupBy("doc_id", "doc_len", "unit", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def broadcast_units(tokens: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per place of a unit: its first word matches and, for phrases, the words after it."""
+    size = F.size("unit_words")
+    begins = F.col("word") == F.col("unit_words")[0]
+    follows = ~F.col("phrase") | (F.slice("tokens", F.col("at") + 1, size) == F.col("unit_words"))
+    return tokens.join(F.broadcast(units), begins & follows).select("doc_id", "doc_len", "unit", "phrase")
+
+
+def aligned_units(tokens: DataFrame, units: DataFrame) -> DataFrame:
+    """The same for more units than fit a broadcast, by words alone: words meet in a join
+    that spreads frequent ones, and a phrase is where all its words have the same start."""
+    parts = units.select("unit", "phrase", F.size("unit_words").alias("unit_len"), F.posexplode("unit_words").alias("offset", "word"))
+    found = skew_join(tokens, parts, ["word"], "inner", ["doc_id", "at"])
+    start = (F.col("at") - F.col("offset")).alias("start")
+    aligned = found.groupBy("doc_id", "doc_len", "unit", "phrase", "unit_len", start).agg(F.count(F.lit(1)).alias("words"))
+    return aligned.where(F.col("words") == F.col("unit_len")).select("doc_id", "doc_len", "unit", "phrase")
 
 
 def match_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -78,8 +81,8 @@ def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     # Used three times below and small beside the corpus.
     counts = materialize(unit_counts(docs, needs), "unit-counts")
     doc_len = F.regexp_count("text", F.lit(WORD))
-    sizes = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(doc_len).alias("mean_len"))
-    total, mean_len = sizes.select("docs").scalar(), sizes.select("mean_len").scalar()
+    sizes = docs.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg(doc_len).alias("mean_len"))).scalar()
+    total, mean_len = sizes["docs"], sizes["mean_len"]
     spread = counts.where(~F.col("phrase")).groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
     asked = (
         needs.join(spread, "unit", "left")

@@ -7,15 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
-def load_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages, one row per url.
+def load_spread(spark: SparkSession, path: str, spread_by: str) -> DataFrame:
+    """A table for work that costs far more CPU than moving its rows (reading pages, words).
 
-    Reading a page costs far more CPU than moving it, so a table with fewer splits than
-    the cluster has cores is spread first. A table with many splits stays as it is.
+    With fewer splits than the cluster has cores it is spread first; a table with many
+    splits stays as it is.
     """
-    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+    return table.repartition(cores, spread_by) if table.rdd.getNumPartitions() < cores else table
+
+
+def load_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Raw pages, one row per url."""
+    return load_spread(spark, path, "page_id").select("page_id", "url", "html")
+
+
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Texts with language and source."""
+    return load_spread(spark, path, "doc_id")
 
 
 def load_page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:

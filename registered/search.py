@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import requests as req
 from pagelake.operators import search as ops
+from pagelake.sources.pages import load_documents
 
 # Asked of every document: single words, pairs, quoted phrases, and one without hits.
 ASKED = [
@@ -29,7 +30,7 @@ QUERY_CTE = f"""queries AS (SELECT CAST(query_id AS BIGINT) AS query_id, query F
 
 
 def documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return load_documents(spark, f"{sf}/documents.parquet")
 
 
 def asked(spark, sf):
