@@ -26,26 +26,26 @@ def as_of(
     row_type = asked.select(F.struct("*").alias("r")).schema["r"].dataType
 
     def in_slice(df, at):
-        return df.withColumn("_at", F.col(at)).withColumn("_slice", F.floor(F.col(at) / F.lit(slice_width)))
+        return df.withColumn("__at", F.col(at)).withColumn("__slice", F.floor(F.col(at) / F.lit(slice_width)))
 
     rows = in_slice(asked, asked_at).select(
-        *keys, "_slice", "_at", F.lit(2).alias("_side"), F.lit(None).cast(entry_type).alias(found), F.struct(*asked.columns).alias("_row")
+        *keys, "__slice", "__at", F.lit(2).alias("__side"), F.lit(None).cast(entry_type).alias(found), F.struct(*asked.columns).alias("__row")
     )
     entry = F.struct(entry_at, *[c for c in entries.columns if c not in (*keys, entry_at)])
     own = in_slice(entries, entry_at).select(
-        *keys, "_slice", "_at", F.lit(1).alias("_side"), entry.alias(found), F.lit(None).cast(row_type).alias("_row")
+        *keys, "__slice", "__at", F.lit(1).alias("__side"), entry.alias(found), F.lit(None).cast(row_type).alias("__row")
     )
-    last = own.groupBy(*keys, "_slice").agg(F.max(found).alias(found))
-    slices = rows.select(*keys, "_slice", F.lit(None).cast(entry_type).alias(found)).distinct()
-    per_slice = last.unionByName(slices).groupBy(*keys, "_slice").agg(F.max(found).alias(found))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    last = own.groupBy(*keys, "__slice").agg(F.max(found).alias(found))
+    slices = rows.select(*keys, "__slice", F.lit(None).cast(entry_type).alias(found)).distinct()
+    per_slice = last.unionByName(slices).groupBy(*keys, "__slice").agg(F.max(found).alias(found))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.withColumn(found, F.last(found, ignorenulls=True).over(earlier)).where(F.col(found).isNotNull())
     carried = carried.select(
-        *keys, "_slice", (F.col("_slice") * slice_width).alias("_at"), F.lit(0).alias("_side"), found, F.lit(None).cast(row_type).alias("_row")
+        *keys, "__slice", (F.col("__slice") * slice_width).alias("__at"), F.lit(0).alias("__side"), found, F.lit(None).cast(row_type).alias("__row")
     )
     so_far = (
-        Window.partitionBy(*keys, "_slice").orderBy("_at", "_side", found).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "__slice").orderBy("__at", "__side", found).rowsBetween(Window.unboundedPreceding, 0)
     )
     placed = rows.unionByName(own).unionByName(carried)
     filled = placed.withColumn(found, F.last(found, ignorenulls=True).over(so_far))
-    return filled.where(F.col("_side") == 2).select("_row.*", found)
+    return filled.where(F.col("__side") == 2).select("__row.*", found)
