@@ -24,12 +24,12 @@ def micros(at: Column) -> Column:
 
 def load_cache(spark: SparkSession, path: str | None) -> DataFrame:
     """The cache table; a cache that cannot be found counts as empty."""
-    if path is None or not _exists(spark, path):
+    if path is None or not path_exists(spark, path):
         return spark.createDataFrame([], CACHE_SCHEMA)
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
@@ -44,11 +44,16 @@ def cache_entries(results: DataFrame, created_at: Column, ttl_seconds: int = set
     )
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of requests (key, ts, ...).
+def write_entries(new: DataFrame, path: str, batch_id: int) -> None:
+    """Store new cache rows in the folder of their batch; storing a batch again replaces it."""
+    new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def look_up(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Requests (key, ts, ...) with `hit`, and `data` and `created_at` of the live entry.
 
     The latest entry of the key up to the request's time counts: it is a hit while it
-    lives and has data. Hits gain `data` and `created_at`.
+    lives and has data.
     """
     entries = cache.select(
         "key", micros(F.col("created_at")).alias("_created"), micros(F.col("expires_at")).alias("_expires"), "data", "created_at"
@@ -56,8 +61,14 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_se
     asked = requests.withColumn("_asked", micros(F.col(at)))
     looked = as_of(asked, entries, ["key"], "_asked", "_created", slice_seconds * SECOND, found="_entry")
     live = F.coalesce((F.col("_asked") < F.col("_entry._expires")) & F.col("_entry.data").isNotNull(), F.lit(False))
-    hits = looked.where(live).select(*requests.columns, "_entry.data", "_entry.created_at")
-    return hits, looked.where(~live).select(*requests.columns)
+    found = [F.when(live, F.col(f"_entry.{name}")).alias(name) for name in ("data", "created_at")]
+    return looked.select(*requests.columns, live.alias("hit"), *found)
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of `look_up`."""
+    looked = look_up(requests, cache, at, slice_seconds)
+    return looked.where("hit").drop("hit"), looked.where("NOT hit").select(*requests.columns)
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, now: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagelake import settings
 from pagelake.functions.keys import extraction_key
 from pagelake.functions.text import redact
-from pagelake.operators.cache import cache_entries, cache_lookup
+from pagelake.operators.cache import cache_entries, look_up
 from pagelake.operators.fetch import pages_at
 from pagelake.operators.records import validate_records
 from pagelake.operators.requests import guard_content
@@ -86,12 +86,11 @@ def extract_contents(
     key = extraction_key(F.col("content"), schema, mode, model, prompt)
     keyed = materialize(good.select("url", key.alias("key")), "keys")
     one_page = keyed.groupBy("key").agg(F.min("url").alias("url"))
-    hits, misses = cache_lookup(one_page.withColumn("ts", now.cast("timestamp")), cache)
-
-    missed = materialize(misses.select("key", "url"), "missed")
+    looked = materialize(look_up(one_page.withColumn("ts", now.cast("timestamp")), cache), "looked-up")
+    missed = looked.where("NOT hit").select("key", "url")
     fresh = materialize(_run(contents, missed, schema, extractor, mode, secrets), "extracted")
     none = F.lit(None)
-    found = hits.select(
+    found = looked.where("hit").select(
         "key", F.lit(200).alias("status"), none.cast("string").alias("error"), "data", F.lit(True).alias("cached"),
         none.cast("long").alias("input_tokens"), none.cast("long").alias("output_tokens"),
     )

@@ -84,18 +84,20 @@ def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     sizes = docs.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg(doc_len).alias("mean_len"))).scalar()
     total, mean_len = sizes["docs"], sizes["mean_len"]
     spread = counts.where(~F.col("phrase")).groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
-    asked = (
-        needs.join(spread, "unit", "left")
-        .withColumn("idf", F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    )
     wanted = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = needs.join(wanted, "query_id").join(spread, "unit", "left").withColumn("idf", idf)
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / mean_len))
+    # Each row knows how many units its query wants, so hits of one query need not meet again.
     return (
         lookup_join(counts, asked, ["unit", "phrase"], "inner", ["doc_id"])
         .groupBy("query_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("got"), F.sum(F.when(~F.col("phrase"), part)).alias("score"))
-        .join(wanted, "query_id")
+        .agg(
+            F.count(F.lit(1)).alias("got"),
+            F.max("wanted").alias("wanted"),
+            F.sum(F.when(~F.col("phrase"), part)).alias("score"),
+        )
         .where(F.col("got") == F.col("wanted"))
         .select("query_id", "doc_id", "score")
     )

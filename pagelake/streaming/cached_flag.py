@@ -27,14 +27,13 @@ class ResultLives(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.life = handle.getValueState("life", "ends LONG")
-        self.waiting = handle.getMapState("waiting", "at LONG, request_id LONG", "seen BOOLEAN")
+        self.waiting = handle.getListState("waiting", "at LONG, request_id LONG")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            for at, request_id in zip(batch["at"].tolist(), batch["request_id"].tolist()):
-                self.waiting.updateValue((at, request_id), (True,))
-            lowest = batch["at"].min()
+            self.waiting.appendList(list(zip(batch["at"].tolist(), batch["request_id"].tolist())))
+            lowest = int(batch["at"].min())
             first = lowest if first is None else min(first, lowest)
         if first is not None:
             self.handle.registerTimer(due(first))
@@ -42,14 +41,15 @@ class ResultLives(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        ready, later = [], None
-        for at, request_id in self.waiting.keys():
-            if due(at) <= passed:
-                ready.append((at, request_id))
+        ready, later = [], []
+        for at, request_id in self.waiting.get():
+            (ready if due(at) <= passed else later).append((at, request_id))
+        if ready:
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(due(min(later)[0]))
             else:
-                later = at if later is None else min(later, at)
-        if later is not None:
-            self.handle.registerTimer(due(later))
+                self.waiting.clear()
         ends = self.life.get()[0] if self.life.exists() else None
         labelled = []
         for at, request_id in sorted(ready):
@@ -57,7 +57,6 @@ class ResultLives(StatefulProcessor):
             if not cached:
                 ends = at + self.ttl
             labelled.append((key[0], request_id, at, cached))
-            self.waiting.removeKey((at, request_id))
         if ends is not None:
             if due(ends) <= passed:
                 self.life.clear()

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagelake.operators.cache import CACHE_SCHEMA, _exists
+from pagelake.operators.cache import CACHE_SCHEMA, path_exists, write_entries
 from pagelake.operators.extract import Extractor, extract
+from pagelake.plans.reuse import scratch_scope
 
 
-def cache_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Cache rows written by earlier batches; a batch that is replayed does not see its own."""
-    if not _exists(spark, path):
+def cache_before(spark: SparkSession, path: str, batch_id: int, now) -> DataFrame:
+    """Live cache rows of earlier batches; a batch that is replayed does not see its own.
+
+    A stream has one lifetime for all entries, so behind an expired entry there is no
+    live one, and expired files are skipped by their statistics.
+    """
+    if not path_exists(spark, path):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(f"{CACHE_SCHEMA}, batch_id LONG").parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
+    stored = spark.read.schema(f"{CACHE_SCHEMA}, batch_id LONG").parquet(path)
+    return stored.where((F.col("batch_id") < batch_id) & (F.col("expires_at") > F.lit(now))).drop("batch_id")
 
 
 def stream_extract(
@@ -39,9 +45,11 @@ def stream_extract(
         now = batch.agg(F.max("asked_at")).first()[0]
         if now is None:
             return
-        outcome = extract(batch, pages, schema, extractor, cache_before(spark, cache_path, batch_id), F.lit(now), **options)
-        outcome.results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
-        outcome.new_entries.write.mode("overwrite").parquet(f"{cache_path}/batch_id={batch_id}")
+        with scratch_scope(spark):
+            cache = cache_before(spark, cache_path, batch_id, now)
+            outcome = extract(batch, pages, schema, extractor, cache, F.lit(now), **options)
+            outcome.results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+            write_entries(outcome.new_entries, cache_path, batch_id)
 
     return (
         requests.writeStream.foreachBatch(run)

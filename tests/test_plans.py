@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,13 @@ def test_materialized_table_goes_to_the_shared_folder(spark):
     assert folder.rstrip("/") in table.inputFiles()[0] and table.count() == 10
 
 
+def test_scratch_scope_removes_its_tables(spark):
+    with reuse.scratch_scope(spark):
+        path = reuse.materialize(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
 def test_pages_are_read_once_and_narrowly(spark):
     pages = spark.read.parquet(PAGES)
     content = fetch.with_links_section(fetch.parse_pages(pages))

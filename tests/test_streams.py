@@ -85,8 +85,8 @@ def test_stream_extract_uses_earlier_batches_only(spark, tmp_path):
     rows = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "results")).collect()}
     assert [rows[i].cached for i in (1, 2, 3, 4, 5)] == [False, False, True, False, False]
     assert rows[6].stage == "fetch" and rows[1].data == rows[3].data
-    assert cache_before(spark, str(tmp_path / "cache"), 0).count() == 0
-    assert cache_before(spark, str(tmp_path / "cache"), 1).count() == 1
+    seen = [cache_before(spark, str(tmp_path / "cache"), *at).count() for at in ((0, T0), (1, T0), (2, T0), (1, T0 + datetime.timedelta(hours=24)))]
+    assert seen == [0, 1, 2, 0]
 
 
 def test_sql_names(spark):
