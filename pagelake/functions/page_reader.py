@@ -37,6 +37,10 @@ class PageReader(HTMLParser):
         self._hidden = 0
         self._verbatim = 0
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
+
     def _end_string(self):
         if not self._pending:
             return

@@ -58,6 +58,8 @@ def crawl(
 ) -> Crawl:
     """Seeds (seed_id, url, filters?) to their pages and the first fitting subpages.
 
+    The seeds may have columns `subpage_limit` and `max_content_length` of their own.
+
     Filtering and the cut to `subpage_limit` happen inside each page's link array, so
     only chosen links are shuffled. Every page is read once: pages that are both seed
     and subpage reuse the seed's text. A chosen subpage that does not exist is lost and
@@ -76,25 +78,31 @@ def crawl(
         F.coalesce("links", F.array().cast("array<struct<pos:int,anchor_text:string,href:string,url:string>>")),
         lambda link: F.col("filters").isNull() | anchor_matches(link["anchor_text"], F.col("filters")),
     )
-    found = skew_join(seeds.select("seed_id", "url", "filters"), linked.withColumn("_found", F.lit(True)), ["url"], "left", ["seed_id"])
+    limit = F.greatest(F.col("subpage_limit") if "subpage_limit" in seeds.columns else F.lit(subpage_limit), F.lit(0))
+    own = [name for name in ("subpage_limit", "max_content_length") if name in seeds.columns]
+    found = skew_join(seeds.select("seed_id", "url", "filters", *own), linked.withColumn("_found", F.lit(True)), ["url"], "left", ["seed_id"])
     error = F.when(F.col("_found").isNull(), F.lit(settings.PAGE_NOT_FOUND)).otherwise(F.col("error"))
     kept = F.when(error.isNull(), kept)
     # Narrow from here on: a seed keeps its counts and at most `subpage_limit` links.
     asked = materialize(
         found.withColumns({"error": error, "kept": kept}).select(
-            "seed_id", "url", "filters", "error",
+            "seed_id", "url", "filters", "error", *own,
             F.size("kept").alias("links_found"),
-            F.slice("kept", 1, max(subpage_limit, 0)).alias("chosen"),
+            F.slice("kept", F.lit(1), limit).alias("chosen"),
         ),
         "chosen-links",
     )
-    chosen = asked.select("seed_id", F.inline("chosen")).select("seed_id", "pos", "anchor_text", "url")
+    own_cut = [name for name in own if name == "max_content_length"]
+    chosen = asked.select("seed_id", *own_cut, F.inline("chosen")).select("seed_id", "pos", "anchor_text", "url", *own_cut)
 
     targets = chosen.select("url").distinct()
     unread = targets.join(text.select("url"), "url", "left_anti")
     extra = materialize(pages_at(pages, unread).select(*text.columns), "subpages")
     reachable = keep_listed(text, targets, ["url"]).unionByName(extra).where(F.col("error").isNull()).drop("error")
-    subpages = skew_join(chosen, truncate(reachable, max_content_length), ["url"], "inner", ["seed_id"])
+    # A common cut is made once per page, before the page meets its seeds.
+    subpages = skew_join(chosen, truncate(reachable, None if own_cut else max_content_length), ["url"], "inner", ["seed_id"])
+    if own_cut:
+        subpages = truncate(subpages, F.col("max_content_length")).drop("max_content_length")
 
     main = skew_join(asked.select("seed_id", "url", "error"), text.drop("error"), ["url"], "left", ["seed_id"])
     return Crawl(main, subpages, crawl_summary(asked, subpages))

@@ -50,6 +50,8 @@ def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     """
     kept = [field for field in pages.schema.fields if field.name != html]
     names = [field.name for field in kept]
+    if taken := set(names) & set(ARROW_READ_TYPES):
+        raise ValueError(f"columns already exist: {sorted(taken)}")
 
     def read_batches(batches):
         for batch in batches:

@@ -54,6 +54,13 @@ def test_crawl_limit_comes_before_the_fetch(spark):
     assert reports[2] == "Crawl error: " + settings.PAGE_NOT_FOUND
 
 
+def test_crawl_limits_per_seed(spark):
+    own = seeds(spark, ("/", None), ("/", None)).selectExpr("*", "CAST(seed_id + 1 AS INT) AS subpage_limit", "IF(seed_id = 0, 3, NULL) AS max_content_length")
+    found = crawl_ops.crawl(own, site(spark)).subpages.orderBy("seed_id", "pos").collect()
+    assert [(r.seed_id, r.pos, r.content[:8]) for r in found] == [(0, 0, "Alp...\n["), (1, 0, "Alpha 5 ")]
+    assert "max_content_length" not in found[0].asDict()
+
+
 def test_flat_links(spark):
     links = fetch_ops.page_links(fetch_ops.parse_pages(site(spark)))
     home = links.where(F.col("page_url") == SITE + "/")
