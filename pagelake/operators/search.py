@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake import settings
 from pagelake.functions.text import snippet
+from pagelake.operators.requests import normalise_requests, split_valid, validate_requests
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import fits, lookup_join, skew_join, top_k
 
@@ -177,6 +180,59 @@ def unresponsive_engines(requested: DataFrame, hits: DataFrame) -> DataFrame:
     return requested.select("query_id", "engine").join(answered, ["query_id", "engine"], "left_anti")
 
 
+class Search(NamedTuple):
+    """hits: the asked page per request; counts: hits in all and shown; rejected: bad requests."""
+
+    hits: DataFrame
+    counts: DataFrame
+    rejected: DataFrame
+
+
+def search(requests: DataFrame, docs: DataFrame, page_size: int = settings.DEFAULT_RESULTS_LIMIT, now: Column | None = None) -> Search:
+    """Requests from their raw columns to a page of ranked hits each.
+
+    Requests: query_id, query, categories, engines, language, time_range, pageno,
+    max_results. Documents: doc_id, text, engine, language, categories, ts. Texts are
+    read for words once; after that only ids move until the shown rows get their text.
+    """
+    good, rejected = split_valid(validate_requests(normalise_requests(requests), "search"))
+    ranked = rank_bm25(docs.select("doc_id", "text"), good.select("query_id", "query"))
+    facts = docs.select("doc_id", "engine", "language", "categories", "ts")
+    wanted = ["engines", "categories", "language", "time_range"]
+    options = good.select("query_id", "pageno", "max_results", *(F.col(name).alias(f"wanted_{name}") for name in wanted))
+    matched = skew_join(ranked, facts, ["doc_id"], "inner", ["query_id"])
+    fitting = lookup_join(matched, options, ["query_id"], "inner", ["doc_id"]).where(fits_request(now))
+    kept = materialize(fitting.select("query_id", "doc_id", "score", "pageno", "max_results"), "hits")
+    paged = page_results(kept, F.col("pageno"), page_size, F.col("max_results")).select("query_id", "doc_id", "score", "rank")
+    hits = lookup_join(docs, paged, ["doc_id"], "inner", ["doc_id"])
+    totals = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    shown = paged.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))
+    counts = (
+        good.select("query_id", "query")
+        .join(totals, "query_id", "left")
+        .join(shown, "query_id", "left")
+        .na.fill(0, ["total", "shown"])
+        .withColumn("message", F.when(F.col("shown") == 0, F.lit(settings.NO_RESULTS)))
+    )
+    return Search(hits, counts, rejected)
+
+
+def fits_request(now: Column | None) -> Column:
+    """Whether a document fits the options beside it; engines, when named, override categories."""
+    engines, categories = F.col("wanted_engines"), F.col("wanted_categories")
+    now = F.current_timestamp() if now is None else now
+    oldest = F.lit(None)
+    for word in settings.TIME_RANGES:
+        oldest = F.when(F.col("wanted_time_range") == word, now - F.expr(f"INTERVAL 1 {word}")).otherwise(oldest)
+    return (
+        F.when(engines.isNotNull(), F.array_contains(engines, F.col("engine")))
+        .when(categories.isNotNull(), F.arrays_overlap(categories, F.col("categories")))
+        .otherwise(F.lit(True))
+        & (F.col("language") == F.col("wanted_language"))
+        & (oldest.isNull() | (F.col("ts") >= oldest))
+    )
+
+
 def numbered_entry() -> Column:
     content = F.coalesce("content", F.lit(""))
     return F.concat(

@@ -109,6 +109,35 @@ def unresponsive_engines(spark, sf):
     return ops.unresponsive_engines(requested, engine_hits(spark, sf))
 
 
+SEARCH_OPTIONS = """CASE query_id WHEN 3 THEN 'de' WHEN 4 THEN 'de' WHEN 5 THEN 'fr' WHEN 6 THEN 'fr' WHEN 8 THEN 'fr' WHEN 9 THEN 'fr' END AS language,
+  CASE WHEN query_id % 3 = 0 THEN 'src1,src2,src3,src5,src7,src11' ELSE '' END AS engines,
+  CASE WHEN query_id % 5 < 2 THEN 'long' END AS categories,
+  CASE query_id % 7 WHEN 0 THEN 'week' WHEN 1 THEN 'month' WHEN 2 THEN 'year' WHEN 3 THEN '' END AS time_range,
+  CAST(query_id % 2 + 1 AS INT) AS pageno,
+  CAST(CASE WHEN query_id % 4 < 3 THEN 3 END AS INT) AS max_results"""
+
+
+def full_search(spark, sf):
+    """Whole requests against documents with engine, language, categories and time."""
+    requests = asked(spark, sf).selectExpr("query_id", "query", *split_columns(SEARCH_OPTIONS))
+    docs = documents(spark, sf).select(
+        "doc_id", "text", F.col("source").alias("engine"), F.col("lang").alias("language"),
+        F.array(F.when(F.col("n_chars") > 1000, "long").otherwise("short"), F.col("lang")).alias("categories"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 1000).cast("int"))).alias("ts"),
+    )
+    return ops.search(requests, docs, 5, F.lit("2024-02-11 00:00:00").cast("timestamp_ntz"))
+
+
+def search_hits(spark, sf):
+    return full_search(spark, sf).hits.select("query_id", "doc_id", "engine", "rank")
+
+
+def search_counts(spark, sf):
+    found = full_search(spark, sf)
+    rejected = found.rejected.select("query_id", "query", F.col("error").alias("message"))
+    return found.counts.unionByName(rejected, allowMissingColumns=True)
+
+
 def snippets(spark, sf):
     from pagelake.functions.text import snippet
 
@@ -237,6 +266,8 @@ QUERIES = {
     "top_hit": top_hit,
     "result_counts": result_counts,
     "unresponsive_engines": unresponsive_engines,
+    "search_hits": search_hits,
+    "search_counts": search_counts,
     "snippet": snippets,
     "render_results_simple": render("simple"),
     "render_results_pretty": render("pretty"),
@@ -270,6 +301,18 @@ best AS (SELECT query_id, url, engine, min(position) AS position,
   min({{'p': position, 't': title, 'c': content}}) AS first FROM hits GROUP BY query_id, url, engine)"""
 
 
+SEARCH_CTES = f"""{MATCH_CTES},
+options AS (SELECT query_id, query, coalesce(language, 'en') AS language, engines, categories, time_range, pageno, coalesce(max_results, 20) AS max_results
+  FROM (SELECT query_id, query, {SEARCH_OPTIONS} FROM queries)),
+fitting AS (SELECT m.query_id, m.doc_id, source AS engine, pageno, max_results,
+    row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, m.doc_id) - (pageno - 1) * 5 AS rank
+  FROM matched m JOIN options o ON m.query_id = o.query_id JOIN documents d ON m.doc_id = d.doc_id
+  WHERE coalesce(time_range, '') <> 'week' AND d.lang = o.language
+    AND CASE WHEN engines <> '' THEN list_contains(string_split(engines, ','), source) WHEN categories = 'long' THEN n_chars > 1000 ELSE true END
+    AND (coalesce(time_range, '') <> 'month' OR m.doc_id % 1000 >= 24 * 10)),
+shown AS (SELECT * FROM fitting WHERE rank BETWEEN 1 AND least(5, max_results))"""
+
+
 def cut(column, n):
     return f"CASE WHEN length({column}) > {n} THEN substr({column}, 1, {n}) || '...' ELSE {column} END"
 
@@ -362,6 +405,13 @@ ORACLES = {
         CASE WHEN total IS NULL THEN 'No results found' END AS message FROM queries q LEFT JOIN c USING (query_id)""",
     "unresponsive_engines": f"""WITH {MATCH_CTES} SELECT query_id, 'src' || n AS engine FROM queries, range(25) AS r(n)
       EXCEPT SELECT query_id, engine FROM described""",
+    "search_hits": f"WITH {SEARCH_CTES} SELECT query_id, doc_id, engine, CAST(rank AS INT) AS rank FROM shown",
+    "search_counts": f"""WITH {SEARCH_CTES}, t AS (SELECT query_id, count(*) AS total FROM fitting GROUP BY query_id),
+        s AS (SELECT query_id, count(*) AS shown FROM shown GROUP BY query_id)
+      SELECT o.query_id, query, CASE WHEN time_range = 'week' THEN NULL ELSE coalesce(total, 0) END AS total,
+        CASE WHEN time_range = 'week' THEN NULL ELSE coalesce(shown, 0) END AS shown,
+        CASE WHEN time_range = 'week' THEN 'time_range must be one of: day, month, year' WHEN shown IS NULL THEN 'No results found' END AS message
+      FROM options o LEFT JOIN t ON o.query_id = t.query_id LEFT JOIN s ON o.query_id = s.query_id""",
     "snippet": f"""SELECT doc_id, {cut('text', 200)} AS simple, {cut('text', 300)} AS pretty, {cut('text', 10000)} AS numbered FROM documents""",
     **{f"render_results_{mode}": render_sql(mode) for mode in ENTRY_SQL},
 }
