@@ -20,16 +20,17 @@ def _text(value) -> Column:
 
 
 def extraction_key(
-    content: Column,
+    content: Column | None,
     schema: dict | Column,
     mode: Column | str = settings.DEFAULT_VALIDATION_MODE,
     model: Column | str = "rules",
     prompt: Column | str | None = None,
     content_format: Column | str = settings.DEFAULT_CONTENT_FORMAT,
     context: Column | None = None,
+    content_hash: Column | None = None,
 ) -> Column:
     """Hex sha256 over everything that decides a result. The url is not part of it, so
-    equal text at two urls shares one result."""
+    equal text at two urls shares one result. The content may be given by its sha256."""
     schema_text = schema if isinstance(schema, Column) else F.lit(json.dumps(schema, ensure_ascii=False))
     nothing = F.lit("")
     parts = [
@@ -40,6 +41,6 @@ def extraction_key(
         nothing if prompt is None else F.coalesce(_text(prompt), nothing),
         _text(content_format),
         nothing if context is None else F.coalesce(canonical_json(context), nothing),
-        F.sha2(content, 256),
+        F.sha2(content, 256) if content_hash is None else content_hash,
     ]
     return F.sha2(F.concat_ws("\0", *parts), 256)

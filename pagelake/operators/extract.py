@@ -15,12 +15,13 @@ from pagelake.functions.text import redact
 from pagelake.operators.cache import cache_entries, look_up
 from pagelake.operators.fetch import pages_at
 from pagelake.operators.records import validate_records
-from pagelake.operators.requests import guard_content
+from pagelake.operators.requests import content_rules, is_missing, parsed_mode, side_bytes, with_content_facts, with_first_failure
 from pagelake.operators.schema import SchemaError, compile_schema
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import keep_listed, skew_join
+from pagelake.plans.skew import fits, skew_join, union_all
 
-# Takes rows with content, title, heading and links; adds `record`, a JSON text.
+# Takes rows with content, title, heading, links and prompt and adds `record`, a JSON text;
+# may add input_tokens and output_tokens. Other columns must stay.
 Extractor = Callable[[DataFrame], DataFrame]
 
 RESULT_COLUMNS = ["status", "stage", "error", "data", "cached", "input_tokens", "output_tokens"]
@@ -54,8 +55,9 @@ def rule_extractor(rules: dict) -> Extractor:
     return run
 
 
-def extract_contents(
-    contents: DataFrame,
+def extract(
+    requests: DataFrame,
+    pages: DataFrame,
     schema: dict,
     extractor: Extractor,
     cache: DataFrame,
@@ -64,64 +66,97 @@ def extract_contents(
     model: str = "rules",
     prompt: str | None = None,
     ttl_seconds: int = settings.CACHE_TTL_SECONDS,
+    max_length: int = settings.EXTRACT_MAX_LENGTH,
+    max_body: int = settings.EXTRACT_MAX_BODY_BYTES,
     secrets: tuple[str, ...] = (),
 ) -> Extraction:
-    """Results for page contents (url, content, title, heading, links, error), one row per url.
+    """One result row per request (request_id, url, prompt?, validation_mode?).
 
-    Order of work: failed fetches, guards, cache, schema, extractor, check. The extractor
-    sees one page per missed key. Only (url, key) rows meet the results, so page text is
-    not shuffled for it, and a key shared by many pages is spread.
+    Order of work: url, fetch, guards, mode, cache, schema, extractor, check. Requests
+    that ask the same of a url are one task; tasks that come to the same key are extracted
+    once. Only hashes and sizes of page text meet the tasks; the text itself goes from
+    its page straight to the extractor, and only for missed keys.
     """
+    given = {"prompt": F.lit(prompt).cast("string"), "validation_mode": F.lit(mode)}
+    asked = requests.withColumns({name: value for name, value in given.items() if name not in requests.columns})
+    parts = ["url", "prompt", "validation_mode"]
+    asked = asked.withColumn("_task", F.sha2(F.to_json(F.struct(*parts)), 256))
+    tasks = asked.where(~is_missing(F.col("url"))).select("_task", *parts).distinct()
+
     schema_bytes = len(json.dumps(schema))
-    carried = contents.withColumn("prompt", F.lit(prompt).cast("string"))
-    guarded = guard_content(carried.withColumnRenamed("error", "fetch_error"), schema_bytes=schema_bytes)
-    failed_fetch = F.col("fetch_error").isNotNull()
-    refused = guarded.where(failed_fetch | (F.col("status") != 200)).select(
-        "url",
-        F.when(failed_fetch, 200).otherwise(F.col("status")).alias("status"),
-        F.when(failed_fetch, "fetch").alias("stage"),
-        F.when(failed_fetch, F.concat(F.lit(settings.FETCH_ERROR), F.col("fetch_error"))).otherwise(F.col("error")).alias("error"),
-    )
-    good = guarded.where(~failed_fetch & (F.col("status") == 200))
-    key = extraction_key(F.col("content"), schema, mode, model, prompt)
-    keyed = materialize(good.select("url", key.alias("key")), "keys")
-    one_page = keyed.groupBy("key").agg(F.min("url").alias("url"))
-    looked = materialize(look_up(one_page.withColumn("ts", now.cast("timestamp")), cache), "looked-up")
-    missed = looked.where("NOT hit").select("key", "url")
-    fresh = materialize(_run(contents, missed, schema, extractor, mode, secrets), "extracted")
-    none = F.lit(None)
-    found = looked.where("hit").select(
-        "key", F.lit(200).alias("status"), none.cast("string").alias("error"), "data", F.lit(True).alias("cached"),
-        none.cast("long").alias("input_tokens"), none.cast("long").alias("output_tokens"),
-    )
-    per_key = found.unionByName(fresh)
-    done = skew_join(keyed, per_key, ["key"], "inner", ["url"]).withColumn("stage", none.cast("string"))
-    results = done.select("url", *RESULT_COLUMNS).unionByName(
-        refused.select("url", "status", "stage", "error"), allowMissingColumns=True
+    contents = materialize(pages_at(pages, tasks.select("url").distinct()), "contents")
+    side = side_bytes(parts)
+    most_side = F.coalesce(tasks.agg(F.max(side)).scalar(), F.lit(0))
+    facts = with_content_facts(contents, most_side, max_body, schema_bytes)
+    facts = facts.select("url", F.col("error").alias("_fetch_error"), "_units", "_length", "_blank", "_script_blank", "_bytes", "_hash")
+    keyed = materialize(_judge(skew_join(tasks, facts, ["url"], "left", ["_task"]), schema, model, side, max_length, max_body, schema_bytes), "keys")
+
+    good = keyed.where(F.col("error").isNull())
+    one_task = good.groupBy("key").agg(F.min(F.struct("url", "prompt", "mode")).alias("task")).select("key", "task.*")
+    looked = materialize(look_up(one_task.withColumn("ts", now.cast("timestamp")), cache), "looked-up")
+    missed = looked.where("NOT hit").select("key", "url", "prompt", "mode")
+    fresh = _run(contents, missed, schema, extractor, secrets)
+    hits = looked.where("hit").select("key", F.lit(200).alias("status"), "data", F.lit(True).alias("cached"))
+    per_key = fresh.unionByName(hits, allowMissingColumns=True)
+
+    done = skew_join(good.select("_task", "key", "mode"), per_key, ["key"], "inner", ["_task"])
+    done = done.withColumn("mode", F.when(F.col("data").isNotNull(), F.col("mode"))).drop("key")
+    refused = keyed.where(F.col("error").isNotNull()).select("_task", "status", "stage", "error")
+    outcomes = done.unionByName(refused, allowMissingColumns=True)
+    results = skew_join(asked.drop("validation_mode"), outcomes, ["_task"], "left", ["request_id"])
+    absent = is_missing(F.col("url"))
+    results = results.withColumns(
+        {
+            "error": F.when(absent, F.lit("Error: " + settings.URL_REQUIRED)).otherwise(F.col("error")),
+            "status": F.when(absent, 400).otherwise(F.col("status")),
+        }
     )
-    return Extraction(
-        results.withColumn("validation_mode", F.lit(mode)), cache_entries(fresh.select("key", "data"), now, ttl_seconds)
+    kept = [name for name in requests.columns if name != "validation_mode"]
+    entries = cache_entries(fresh.select("key", "data"), now, ttl_seconds)
+    return Extraction(results.select(*kept, *RESULT_COLUMNS, F.col("mode").alias("validation_mode")), entries)
+
+
+def _judge(tasks: DataFrame, schema: dict, model: str, side: Column, max_length: int, max_body: int, schema_bytes: int) -> DataFrame:
+    """Tasks beside the facts of their page: key of the good ones, status and error of the rest."""
+    mode = parsed_mode(F.col("validation_mode"))
+    failed = F.col("_fetch_error").isNotNull() | F.col("_hash").isNull()
+    rules = [
+        (failed, 200, ""),
+        *content_rules(side, max_length, max_body, schema_bytes),
+        (~mode.isin(*settings.VALIDATION_MODES), 400, settings.MODE_INVALID),
+    ]
+    fetch_error = F.concat(F.lit(settings.FETCH_ERROR), F.coalesce("_fetch_error", F.lit(settings.PAGE_NOT_FOUND)))
+    key = extraction_key(None, schema, mode, model, F.col("prompt"), content_hash=F.col("_hash"))
+    judged = with_first_failure(tasks, rules)
+    return judged.select(
+        "_task", "url", "prompt", mode.alias("mode"), "status",
+        F.when(failed, "fetch").alias("stage"),
+        F.when(failed, fetch_error).otherwise(F.col("error")).alias("error"),
+        F.when(~failed & F.col("error").isNull(), key).alias("key"),
     )
 
 
-def _run(contents, misses, schema, extractor, mode, secrets) -> DataFrame:
+def _run(contents: DataFrame, missed: DataFrame, schema: dict, extractor: Extractor, secrets: tuple[str, ...]) -> DataFrame:
     """Extract and check the missed keys: (key, status, error, data, cached, tokens)."""
     tokens = ["input_tokens", "output_tokens"]
     try:
         field = compile_schema(schema)
     except SchemaError as problem:
-        nothing = {name: F.lit(None).cast("long") for name in tokens}
-        return misses.select(
+        return missed.select(
             "key", F.lit(400).alias("status"), F.lit(str(problem)).alias("error"), F.lit(None).cast("string").alias("data"),
-            F.lit(False).alias("cached"), *(column.alias(name) for name, column in nothing.items()),
+            F.lit(False).alias("cached"), *(F.lit(None).cast("long").alias(name) for name in tokens),
         )
-    wanted = keep_listed(contents, misses.select("url"), ["url"]).join(misses, "url")
+    page = contents.select("url", "content", "title", "heading", "links")
+    if fits(missed):
+        wanted = page.join(F.broadcast(missed), "url")
+    else:
+        wanted = skew_join(missed, page, ["url"], "inner", ["key"])
     extracted = extractor(wanted)
-    for name in tokens:
-        if name not in extracted.columns:
-            extracted = extracted.withColumn(name, F.lit(None).cast("long"))
-    narrow = extracted.select("key", "record", *tokens)
-    checked = validate_records(narrow, "record", field, mode)
+    counted = [F.col(name) if name in extracted.columns else F.lit(None).cast("long").alias(name) for name in tokens]
+    extracted = materialize(extracted.select("key", "mode", "record", *counted), "extracted")
+    checked = union_all(
+        [validate_records(extracted.where(F.col("mode") == mode), "record", field, mode) for mode in settings.VALIDATION_MODES]
+    )
     valid = F.col("valid")
     problem = redact(F.concat(F.lit(settings.EXTRACTION_FAILED), F.array_join("errors", "; ")), secrets)
     # One field is wrapped in an object to print any kind of value, then unwrapped.
@@ -137,27 +172,6 @@ def _run(contents, misses, schema, extractor, mode, secrets) -> DataFrame:
     )
 
 
-def extract(requests: DataFrame, pages: DataFrame, schema: dict, extractor: Extractor, cache: DataFrame, now: Column, **options) -> Extraction:
-    """One result row per request (request_id, url): fetch, guard, cache, extract, check.
-
-    Pages asked for many times are fetched and extracted once.
-    """
-    contents = materialize(pages_at(pages, requests.select("url").distinct()), "contents")
-    outcome = extract_contents(contents, schema, extractor, cache, now, **options)
-    missing = F.col("status").isNull()
-    absent = F.col("url").isNull() | (F.col("url") == "")
-    joined = skew_join(requests, outcome.results, ["url"], "left", ["request_id"])
-    not_found = F.lit(settings.FETCH_ERROR + settings.PAGE_NOT_FOUND)
-    results = joined.withColumns(
-        {
-            "error": F.when(absent, F.lit("Error: " + settings.URL_REQUIRED)).when(missing, not_found).otherwise(F.col("error")),
-            "stage": F.when(missing & ~absent, F.lit("fetch")).otherwise(F.col("stage")),
-            "status": F.when(absent, 400).when(missing, 200).otherwise(F.col("status")),
-        }
-    )
-    return Extraction(results, outcome.new_entries)
-
-
 def crawl_extract(subpages: DataFrame, pages: DataFrame, schema: dict, extractor: Extractor, cache: DataFrame, now: Column, **options) -> Extraction:
     """The same schema over every subpage of a crawl (seed_id, pos, url)."""
     requests = subpages.select(F.concat_ws("/", "seed_id", "pos").alias("request_id"), "seed_id", "pos", "url")

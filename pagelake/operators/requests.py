@@ -116,48 +116,66 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("error").isNull()), checked.where(F.col("error").isNotNull())
 
 
-def body_bytes(content: Column, parts: dict[str, Column], fixed_bytes: int) -> Column:
-    """Bytes of the request body that carries the content, as ASCII JSON."""
-    size = json_string_bytes(content) + F.lit(fixed_bytes)
-    for name, value in parts.items():
-        # , "name": "value"
-        size = size + F.when(value.isNull(), 0).otherwise(json_string_bytes(value) + len(name) + 8)
+BODY_FIELDS = {"url": "source_url", "prompt": "prompt", "validation_mode": "validation_mode"}
+FIXED_BODY = '{"content": "", "json_schema": , "content_format": "txt"}'
+
+
+def side_bytes(columns: list[str]) -> Column:
+    """Bytes that a request's url, prompt and mode add to the body that carries the content."""
+    size = F.lit(0)
+    for name in BODY_FIELDS:
+        if name in columns:
+            # , "name": "value"
+            added = json_string_bytes(F.col(name)) + len(BODY_FIELDS[name]) + 8
+            size = size + F.when(F.col(name).isNull(), 0).otherwise(added)
     return size
 
 
+def with_content_facts(contents: DataFrame, most_side_bytes: Column, max_body: int, schema_bytes: int) -> DataFrame:
+    """Adds what the guards and the key need of a content, so that the content itself can stay behind.
+
+    `_bytes` is the content's size in a JSON body. It is worked out exactly only where
+    six bytes for every unit, beside the largest side fields, might not fit.
+    """
+    content = F.col("content")
+    fits = F.col("_units") * 6 + most_side_bytes + len(FIXED_BODY) + schema_bytes <= max_body
+    return contents.withColumn("_units", utf16_length(content)).withColumns(
+        {
+            "_length": F.length(content),
+            "_blank": content.isNull() | is_blank(content),
+            "_script_blank": is_blank(content, SCRIPT_SPACE),
+            "_bytes": F.when(fits, F.col("_units") * 6).otherwise(json_string_bytes(content)),
+            "_hash": F.sha2(content, 256),
+        }
+    )
+
+
+def content_rules(side: Column, max_length: int, max_body: int, schema_bytes: int) -> list:
+    """The guards over `with_content_facts`, in the order in which they are applied."""
+    body = F.col("_bytes") + side + len(FIXED_BODY) + schema_bytes
+    return [
+        (F.col("_blank"), 400, settings.CONTENT_EMPTY),
+        (F.col("_length") > max_length, 413, settings.CONTENT_TOO_LONG.format(limit=max_length)),
+        (body > max_body, 413, settings.BODY_TOO_LARGE.format(limit=max_body)),
+        (F.col("_script_blank"), 400, settings.SIDECAR_EMPTY),
+        (F.col("_units") > max_length, 413, settings.SIDECAR_TOO_LONG.format(limit=max_length)),
+    ]
+
+
 def guard_content(
     pages: DataFrame,
     max_length: int = settings.EXTRACT_MAX_LENGTH,
     max_body: int = settings.EXTRACT_MAX_BODY_BYTES,
     schema_bytes: int = 2,
 ) -> DataFrame:
-    """Status and error of page content on its way to extraction, in the order the checks run.
+    """Status and error of page content on its way to extraction.
 
     `schema_bytes` is the size of the JSON schema that travels with the content; the
-    columns url, prompt and validation_mode count where they exist. The exact size is
-    worked out only for content long enough to fail.
+    columns url, prompt and validation_mode count where they exist.
     """
-    content, units = F.col("content"), F.col("_units")
-    parts = {
-        name: F.col(source)
-        for name, source in (("source_url", "url"), ("prompt", "prompt"), ("validation_mode", "validation_mode"))
-        if source in pages.columns
-    }
-    # {"content": "", "json_schema": , "content_format": "txt"}
-    fixed = len('{"content": "", "json_schema": , "content_format": "txt"}') + schema_bytes
-    exact = body_bytes(content, parts, fixed)
-    rough = units * 6 + fixed
-    for name, value in parts.items():
-        rough = rough + F.coalesce(F.length(value) * 12 + len(name) + 8, F.lit(0))
-    too_big = F.when(rough <= max_body, F.lit(False)).otherwise(exact > max_body)
-    rules = [
-        (content.isNull() | is_blank(content), 400, settings.CONTENT_EMPTY),
-        (F.length(content) > max_length, 413, settings.CONTENT_TOO_LONG.format(limit=max_length)),
-        (too_big, 413, settings.BODY_TOO_LARGE.format(limit=max_body)),
-        (is_blank(content, SCRIPT_SPACE), 400, settings.SIDECAR_EMPTY),
-        (units > max_length, 413, settings.SIDECAR_TOO_LONG.format(limit=max_length)),
-    ]
-    return with_first_failure(pages.withColumn("_units", utf16_length(content)), rules).drop("_units")
+    side = side_bytes(pages.columns)
+    facts = with_content_facts(pages, side, max_body, schema_bytes)
+    return with_first_failure(facts, content_rules(side, max_length, max_body, schema_bytes)).select(*pages.columns, "status", "error")
 
 
 def filter_results(

@@ -1,8 +1,10 @@
 import datetime
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake import settings
 from pagelake.operators import cache as cache_ops
@@ -122,6 +124,37 @@ def test_extract_statuses_and_reuse(spark):
     assert report[(3, None, None)] == 8 and report[(1, 502, None)] == 1
 
 
+def test_modes_and_prompts_per_request(spark):
+    rows = [(1, "/a", None, "strict"), (2, "/a", None, None), (3, "/a", "p", " COERCE"), (4, "/a", None, "loose"), (5, "/blank", None, "loose")]
+    requests = spark.createDataFrame([(i, SITE + u, p, m) for i, u, p, m in rows], "request_id LONG, url STRING, prompt STRING, validation_mode STRING")
+
+    def echo(pages):
+        return pages.withColumn("record", F.to_json(F.struct(F.coalesce("prompt", F.lit("none")).alias("name"), F.lit("7 kg").alias("points"))))
+
+    outcome = ops.extract(requests, site(spark), SCHEMA, echo, cache_ops.load_cache(spark, None), F.lit(NOW))
+    found = {r.request_id: r for r in outcome.results.collect()}
+    assert [found[i].status for i in range(1, 6)] == [502, 200, 200, 400, 400]
+    assert (json.loads(found[2].data)["name"], json.loads(found[3].data)["name"]) == ("none", "p")
+    assert [found[i].validation_mode for i in range(1, 6)] == [None, "coerce", "coerce", None, None]
+    assert (found[4].error, found[5].error) == (settings.MODE_INVALID, settings.CONTENT_EMPTY)
+    assert outcome.new_entries.count() == 2
+    small = ops.extract(requests, site(spark), SCHEMA, echo, cache_ops.load_cache(spark, None), F.lit(NOW), max_length=5)
+    assert small.results.where("request_id = 2").first().status == 413
+
+
+@F.pandas_udf(T.StringType())
+def shout(content: pd.Series) -> pd.Series:
+    return '{"name":"' + content.str.upper().str.slice(0, 5) + '","points":null}'
+
+
+def test_own_extractor_with_a_pandas_udf(spark):
+    requests = spark.createDataFrame([(1, SITE + "/a")], "request_id LONG, url STRING")
+    result = ops.extract(
+        requests, site(spark), SCHEMA, lambda pages: pages.withColumn("record", shout("content")), cache_ops.load_cache(spark, None), F.lit(NOW)
+    )
+    assert json.loads(result.results.first().data) == {"name": "ALPHA", "points": None}
+
+
 def test_hits_do_not_need_a_valid_schema(spark):
     bad = {**SCHEMA, "additionalProperties": True}
     refused = run(spark, schema=bad)
