@@ -15,6 +15,7 @@ from pagelake.plans.skew import fits, lookup_join, skew_join, top_k
 
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
+SCORE_PLACES = 10
 WORD = r"[\p{L}\p{N}]+"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -102,7 +103,8 @@ def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
             F.sum(F.when(~F.col("phrase"), part)).alias("score"),
         )
         .where(F.col("got") == F.col("wanted"))
-        .select("query_id", "doc_id", "score")
+        # Sums differ in the last place with the order of their parts; equal texts shall tie.
+        .select("query_id", "doc_id", F.round("score", SCORE_PLACES).alias("score"))
     )
 
 
@@ -120,7 +122,7 @@ def merge_engines(hits: DataFrame) -> DataFrame:
     merged = best.groupBy("query_id", "url").agg(
         F.array_sort(F.collect_list(F.struct("position", "engine"))).alias("found"),
         F.min(F.struct("position", "engine", "first.title", "first.content")).alias("lead"),
-        F.sum(1 / (F.lit(RRF_OFFSET) + F.col("position"))).alias("score"),
+        F.round(F.sum(1 / (F.lit(RRF_OFFSET) + F.col("position"))), SCORE_PLACES).alias("score"),
     )
     return merged.select(
         "query_id",
