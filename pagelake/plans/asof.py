@@ -22,26 +22,27 @@ def as_of(
     entry before it; that is worked out from one row per key and slice, and enters the
     slice as its first entry. Of entries at the same time the greatest wins.
     """
-    entry_type = entries.select(F.struct(entry_at, *[c for c in entries.columns if c not in (*keys, entry_at)]).alias("e")).schema["e"].dataType
+    entry = F.struct(entry_at, *[c for c in entries.columns if c not in (*keys, entry_at)])
+    entry_type = entries.select(entry.alias("e")).schema["e"].dataType
     row_type = asked.select(F.struct("*").alias("r")).schema["r"].dataType
 
     def in_slice(df, at):
-        return df.withColumn("__at", F.col(at)).withColumn("__slice", F.floor(F.col(at) / F.lit(slice_width)))
+        # A slice is named by its first moment.
+        return df.withColumn("__at", F.col(at)).withColumn("__slice", F.col(at) - F.pmod(F.col(at), F.lit(slice_width)))
 
     rows = in_slice(asked, asked_at).select(
         *keys, "__slice", "__at", F.lit(2).alias("__side"), F.lit(None).cast(entry_type).alias(found), F.struct(*asked.columns).alias("__row")
     )
-    entry = F.struct(entry_at, *[c for c in entries.columns if c not in (*keys, entry_at)])
     own = in_slice(entries, entry_at).select(
         *keys, "__slice", "__at", F.lit(1).alias("__side"), entry.alias(found), F.lit(None).cast(row_type).alias("__row")
     )
-    last = own.groupBy(*keys, "__slice").agg(F.max(found).alias(found))
-    slices = rows.select(*keys, "__slice", F.lit(None).cast(entry_type).alias(found)).distinct()
-    per_slice = last.unionByName(slices).groupBy(*keys, "__slice").agg(F.max(found).alias(found))
+    # One row per key and slice, from either side, with the slice's last entry if it has one.
+    both = own.select(*keys, "__slice", found).unionByName(rows.select(*keys, "__slice", found))
+    per_slice = both.groupBy(*keys, "__slice").agg(F.max(found).alias(found))
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.withColumn(found, F.last(found, ignorenulls=True).over(earlier)).where(F.col(found).isNotNull())
     carried = carried.select(
-        *keys, "__slice", (F.col("__slice") * slice_width).alias("__at"), F.lit(0).alias("__side"), found, F.lit(None).cast(row_type).alias("__row")
+        *keys, "__slice", F.col("__slice").alias("__at"), F.lit(0).alias("__side"), found, F.lit(None).cast(row_type).alias("__row")
     )
     so_far = (
         Window.partitionBy(*keys, "__slice").orderBy("__at", "__side", found).rowsBetween(Window.unboundedPreceding, 0)
