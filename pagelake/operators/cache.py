@@ -86,7 +86,8 @@ def cached_flag(requests: DataFrame, ttl_seconds: int, at: str = "ts", id_column
     Keys of ordinary size are scanned in time order, one batch at a time with one value
     per key in memory. Keys above `hot_rows` rows are worked out from all their slices at once.
     """
-    rows = requests.withColumn("_at", micros(F.col(at)))
+    # Requests without a time come first, all at one moment.
+    rows = requests.withColumn("_at", F.coalesce(micros(F.col(at)), F.lit(-(2**62))))
     hot = hot_keys(requests, ["key"], hot_rows)
     if hot is None:
         return _scan(rows, ttl_seconds, id_column)
@@ -107,7 +108,7 @@ def _scan(rows: DataFrame, ttl_seconds: int, id_column: str) -> DataFrame:
             keys = batch.column("key")
             at = batch.column("_at").to_numpy()
             cached = np.ones(len(at), dtype=bool)
-            runs = keys.dictionary_encode()
+            runs = keys.dictionary_encode(null_encoding="encode")
             codes = runs.indices.to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(at)]
             for first, last in zip(edges, edges[1:]):

@@ -15,7 +15,6 @@ EXTRACT_MAX_LENGTH = 512 * 1024
 EXTRACT_MAX_BODY_BYTES = 512 * 1024
 CACHE_TTL_SECONDS = 86400
 CACHE_KEY_VERSION = 2
-CACHE_KEY_PREFIX = "extract:"
 
 # Accepted words.
 TIME_RANGES = ("day", "month", "year")
@@ -28,7 +27,6 @@ DEFAULT_VALIDATION_MODE = "coerce"
 LINKS_MARKER = "\n\nLinks found on this page:"
 TRUNCATED_SUFFIX = "...\n[Content truncated]"
 NO_RESULTS = "No results found"
-NO_RESULTS_KEY = "No results found or invalid response format."
 REDACTED = "[REDACTED]"
 
 # Error messages.

@@ -44,8 +44,8 @@ def decode_responses(responses: DataFrame, body: str = "body", headers: str = "h
     """Adds `text` and `error` to raw responses; the body goes no further.
 
     Inflates gzip (by header or first bytes) and deflate, then decodes by the charset of
-    the content type. Headers are read in the JVM; only body, encoding and charset go
-    through the Arrow pass. A body that cannot be read gives an error row.
+    the content type. Headers are looked up in the JVM; the Arrow pass reads only body,
+    encoding and charset. A body that cannot be read gives an error row.
     """
     encoding = F.lower(F.trim(F.split(header("Content-Encoding", headers), ",")[0]))
     charset = F.regexp_extract(header("Content-Type", headers), r"(?i)charset=([^\s;]+)", 1)

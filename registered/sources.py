@@ -22,7 +22,6 @@ from pagelake.streaming.pages import stream_clean
 from registered.fragments import PAGE_CTES, truncated
 from registered.pages import FETCH_REQUESTS_SQL, LIMIT_SQL, contents, fetch_requests, pages
 from registered.records import (
-    CACHE_EVENTS,
     NOW,
     ORACLES as RECORD_ORACLES,
     PAGE_RULES,

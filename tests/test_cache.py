@@ -57,6 +57,9 @@ def test_cached_flag_against_brute_force(spark, hot_rows):
     rows = [(rng.choice(["hot"] * 3 + ["a", "b", "c"]), rng.randrange(0, 4000), i) for i in range(600)]
     rows += [("exact", 0, 600), ("exact", 99, 601), ("exact", 100, 602), ("exact", 100, 603), ("gap", 0, 604), ("gap", 9000, 605)]
     log = spark.createDataFrame([(k, at(t), i) for k, t, i in rows], "key STRING, ts TIMESTAMP, request_id INT")
+    log = log.unionByName(spark.createDataFrame([(None, T0, 900), (None, T0, 901), ("late", None, 902), ("late", T0, 903)], log.schema))
     flagged = ops.cached_flag(log, 100, hot_rows=hot_rows)
-    assert {r.request_id: r.cached for r in flagged.collect()} == brute_flags(rows, 100)
+    assert {r.request_id: r.cached for r in flagged.collect()} == {
+        **brute_flags(rows, 100), 900: False, 901: True, 902: False, 903: False
+    }
     assert flagged.columns == ["key", "ts", "request_id", "cached"]
