@@ -81,7 +81,7 @@ def extract(
     asked = requests.withColumns({name: value for name, value in given.items() if name not in requests.columns})
     parts = ["url", "prompt", "validation_mode"]
     asked = asked.withColumn("_task", F.sha2(F.to_json(F.struct(*parts)), 256))
-    tasks = asked.where(~is_missing(F.col("url"))).select("_task", *parts).distinct()
+    tasks = materialize(asked.where(~is_missing(F.col("url"))).select("_task", *parts).distinct(), "tasks")
 
     schema_bytes = len(json.dumps(schema))
     contents = materialize(pages_at(pages, tasks.select("url").distinct()), "contents")

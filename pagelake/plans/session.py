@@ -16,6 +16,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )
