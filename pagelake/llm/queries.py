@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import exact_dedup, sharding, url_filter
+from pagelake.llm import exact_dedup, packing, sharding, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -12,6 +12,18 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED_PARTS = r"(^|[.-])(adult|bets|casino|porn|poker|xxx)([.-]|$)"
 
 
+def vocabulary() -> dict:
+    """Where the installed byte-level vocabulary lies: as tokenizer file and as byte ranks."""
+    import public_tokenizers
+
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": ranks}
+
+
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, **vocabulary())
+
+
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host, _ = url_filter.url_host_path(F.col("url"))
@@ -31,6 +43,7 @@ def op8_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_url_filter": op5_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
