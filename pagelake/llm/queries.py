@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import exact_dedup, packing, sharding, url_filter
+from pagelake.llm import exact_dedup, packing, pii, sharding, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -31,6 +31,15 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge_urls(pages, listed, RULES)
 
 
+def op6_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return found.select(
+        "doc_id", *[number(kind) for kind in pii.BASE_KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -45,6 +54,7 @@ def op8_sharding(spark, sf_dir):
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
 }
