@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import exact_dedup, packing, pii, sharding, url_filter
+from pagelake.llm import exact_dedup, packing, pii, sharding, toxicity, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -24,6 +24,10 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, **vocabulary())
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host, _ = url_filter.url_host_path(F.col("url"))
@@ -53,6 +57,7 @@ def op8_sharding(spark, sf_dir):
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
