@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, exact_dedup, packing, pii, sharding, toxicity, url_filter
+from pagelake.llm import decontaminate, exact_dedup, near_dedup, packing, pii, sharding, toxicity, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -55,6 +55,10 @@ def op8_sharding(spark, sf_dir):
     )
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
