@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, exact_dedup, near_dedup, packing, pii, sharding, toxicity, url_filter
+from pagelake.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, sharding, toxicity, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 # Parts of host names whose pages make up the list in op5; a real list is a table of its own.
-LISTED_PARTS = r"(^|[.-])(adult|bets|casino|porn|poker|xxx)([.-]|$)"
+LISTED_PARTS = r"(^|[.-])(adult|bets|casino|pills|poker|porn|xxx)([.-]|$)"
 
 
 def vocabulary() -> dict:
@@ -20,6 +20,10 @@ def vocabulary() -> dict:
     return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": ranks}
 
 
+def op1_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, **vocabulary())
 
@@ -64,6 +68,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
