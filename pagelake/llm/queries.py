@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, sharding, toxicity, url_filter
+from pagelake.llm import decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, sharding, toxicity, url_filter
 from pagelake.llm.shared import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -12,6 +13,24 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED_PARTS = r"(^|[.-])(adult|bets|casino|pills|poker|porn|xxx)([.-]|$)"
 
 
+def document_path(doc_id="doc_id") -> Column:
+    """A place in a tree for each document, since the table has none: source, language, thousand, hundred;
+    files lie at all four depths."""
+    block = lambda n: F.coalesce(F.floor(F.col(doc_id) / n).cast("string"), F.lit("none"))
+    parts = F.array(F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), block(1000), block(100))
+    depth = (F.pmod(F.xxhash64(doc_id), F.lit(4)) + 1).cast("int")
+    return F.concat_ws("/", F.slice(parts, 1, depth), F.col(doc_id).cast("string"))
+
+
+def op2_licenses(spark, sf_dir):
+    """A directory's first document with a notice stands for its licence file."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), document_path())
+    place = licenses.directory(F.col("path"))
+    first = found.where("license IS NOT NULL").groupBy(place.alias("folder")).agg(F.min("doc_id").alias("first"))
+    marked = found.withColumn("folder", place).join(first, "folder", "left")
+    return licenses.inherited(marked, F.col("doc_id") == F.col("first")).drop("folder", "first")
+
+
 def vocabulary() -> dict:
     """Where the installed byte-level vocabulary lies: as tokenizer file and as byte ranks."""
     import public_tokenizers
@@ -69,6 +88,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
