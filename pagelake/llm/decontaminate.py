@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.shared import fresh
+
 ITEMS_PER_BLOCK = 20_000
 EDITS = 0.2
 GRAM = 3
@@ -301,4 +303,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    return with_leaks(docs, benchmark, edits, name="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    name = fresh(docs, "_leaks")
+    return with_leaks(docs, benchmark, edits, name=name).where(F.size(name) == 0).drop(name)

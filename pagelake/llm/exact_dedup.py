@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.shared import LOWER, UPPER, keep_rows, numbered, partitions
+from pagelake.llm.shared import LOWER, UPPER, keep_judged, lower_ascii, numbered, partitions
 from pagelake.plans.reuse import materialize
 
 FAN_IN = 8
@@ -108,20 +108,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each group of equal texts; all columns stay.
-
-    Rows leave by doc_id. Where one doc_id has both kept and dropped rows (repeated rows),
-    the few rows of such ids are set apart and settled by their own text.
-    """
+    """The documents with one row of each group of equal texts; all columns stay."""
     judged = materialize(exact_dedup(docs, keep, id_col, text_col), "dedup-judged")
-    per_id = judged.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go"))
-    out = materialize(per_id.where("go > 0"), "dedup-dropped").withColumnRenamed("doc_id", id_col)
-    rest = keep_rows(docs, out, "left_anti", id_col)
-    mixed = out.where("stay > 0").select(id_col)
-    if not mixed.head(1):
-        return rest
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    again = keep_rows(docs, mixed, "left_semi", id_col).withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
-    wanted = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    settled = again.join(wanted, again[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return rest.unionByName(settled.drop("_sha"))
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    return keep_judged(docs, judged, sha, "text_sha256", id_col)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import components
-from pagelake.llm.shared import keep_rows, numbered
+from pagelake.llm.shared import keep_judged, numbered
 from pagelake.plans.reuse import materialize
 
 SHINGLE = 5
@@ -264,18 +264,6 @@ def words_digest(text: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each class of near duplicates; all columns stay.
-
-    Rows leave by doc_id; ids that have both kept and dropped rows are settled by their own words.
-    """
+    """The documents with one row of each class of near duplicates; all columns stay."""
     judged = materialize(near_duplicates(docs, least, id_col, text_col), "near-judged")
-    per_id = judged.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go"))
-    out = materialize(per_id.where("go > 0"), "near-dropped").withColumnRenamed("doc_id", id_col)
-    rest = keep_rows(docs, out, "left_anti", id_col)
-    mixed = out.where("stay > 0").select(id_col)
-    if not mixed.head(1):
-        return rest
-    again = keep_rows(docs, mixed, "left_semi", id_col).withColumn("_digest", words_digest(F.col(text_col))).dropDuplicates([id_col, "_digest"])
-    wanted = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"))
-    settled = again.join(wanted, again[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return rest.unionByName(settled.drop("_digest"))
+    return keep_judged(docs, judged, words_digest(F.col(text_col)), "digest", id_col)

@@ -31,13 +31,15 @@ END_ID = 2
 ROUNDS = 800
 STEP = 0.2
 ETA = 6.0
+# A length that is covered but for this share is left to the rounding.
+LEFT_OPEN = 0.02
 # Words whose ids a worker remembers; when full it starts again.
 WORDS_KEPT = 300_000
 # A place where the text may be cut for the byte-level tokenizer: before a space after a non-space.
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 UNSAFE = re.compile(r"[^\S \n]| \s|\n ")
 # Words that stay apart when run together: one space before, no white space at the end, no mark of a special token.
-PLAIN_WORD = re.compile(r" \S(?:[^<]*[^\s<])?")
+PLAIN_WORD = re.compile(r" [^\s<](?:[^<]*[^\s<])?")
 
 
 def chunks(text: str) -> list[str]:
@@ -159,17 +161,13 @@ def fractional_cover(histogram: np.ndarray, capacity: int = CAPACITY, rounds: in
     need = histogram.astype(float)
     left, used, share = need.copy(), {}, np.arange(capacity + 1) / capacity
     for _ in range(rounds):
-        usable = left >= 1
+        usable = left > LEFT_OPEN * need
         if not usable.any():
             break
         weight = np.exp(-ETA * (1 - left / np.maximum(need, 1)))
         counts = best_configuration(np.where(usable, share * weight, 0.0), capacity)
         inside = counts > 0
-        if (over := inside & (counts > left)).any():  # fewer are left than the configuration asks
-            counts = np.where(over, np.floor(left), counts).astype(np.int64)
-            inside = counts > 0
-        most = (left[inside] / counts[inside]).min()
-        times = max(min(1.0, most), STEP * most)
+        times = STEP * (left[inside] / counts[inside]).min()
         used[counts.tobytes()] = used.get(counts.tobytes(), 0.0) + times
         left = np.maximum(0, left - counts * times)
     return used

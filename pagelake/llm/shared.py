@@ -26,6 +26,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, name: str = "narrow", row: str = "row") -> DataFrame:
     """The rows written once with a unique number each. Every later step reads the written
     number, so a retried or re-planned scan can't deal other numbers."""
@@ -54,6 +62,26 @@ def gapless_rank(df: DataFrame, group: str, row: str = "row", rank: str = "rank"
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """Semi or anti join of whole rows with a list of distinct ids, null-safe. The list is
     broadcast when its counted size allows; else both sides are shuffled."""
-    ids = ids.select(F.col(key).alias("_listed"))
+    listed = fresh(docs, "_listed")
+    ids = ids.select(F.col(key).alias(listed))
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs[key].eqNullSafe(F.col("_listed")), how)
+    return docs.join(F.broadcast(ids) if small else ids, docs[key].eqNullSafe(F.col(listed)), how)
+
+
+def keep_judged(docs: DataFrame, judged: DataFrame, fingerprint: Column, judged_print: str, id_col: str) -> DataFrame:
+    """The rows of `docs` that `judged` (doc_id, kept and a fingerprint of the text) keeps, with all columns.
+
+    Rows leave by doc_id. Ids that have both kept and dropped rows (repeated rows) are set
+    apart and settled by fingerprint, one row for each kept one.
+    """
+    per_id = judged.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go"))
+    out = materialize(per_id.where("go > 0"), "judged-ids").withColumnRenamed("doc_id", id_col)
+    rest = keep_rows(docs, out, "left_anti", id_col)
+    mixed = out.where("stay > 0").select(id_col)
+    if not mixed.head(1):
+        return rest
+    own, key, theirs = (fresh(docs, name) for name in ("_print", "_id", "_kept_print"))
+    again = keep_rows(docs, mixed, "left_semi", id_col).withColumn(own, fingerprint).dropDuplicates([id_col, own])
+    wanted = judged.where("kept").select(F.col("doc_id").alias(key), F.col(judged_print).alias(theirs))
+    settled = again.join(wanted, again[id_col].eqNullSafe(F.col(key)) & (F.col(own) == F.col(theirs)), "left_semi")
+    return rest.unionByName(settled.drop(own))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.shared import fresh
 from pagelake.plans.reuse import materialize
 
 MOST_LABELLED = 8_000
@@ -191,5 +192,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM)
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    scored = with_severity(docs, fit(docs, labels), name="_severity")
-    return scored.where(F.col("_severity.p_toxic") < toxic_from).drop("_severity")
+    name = fresh(docs, "_severity")
+    scored = with_severity(docs, fit(docs, labels), name=name)
+    return scored.where(F.col(f"{name}.p_toxic") < toxic_from).drop(name)
