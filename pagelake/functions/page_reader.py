@@ -6,6 +6,7 @@ runs it inside Arrow batches, once per page.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
@@ -112,10 +113,13 @@ class PageReader(HTMLParser):
             self._leave()
 
 
+# Where a line of page text ends: line ends of any kind, and gaps of two spaces.
+LINE_ENDS = re.compile(r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]|  ")
+
+
 def tidy_lines(text: str) -> str:
-    """One stripped chunk per line; chunks end at line breaks and double spaces."""
-    chunks = (chunk.strip() for line in text.splitlines() for chunk in line.strip().split("  "))
-    return "\n".join(chunk for chunk in chunks if chunk)
+    """The pieces between line ends, without outer blanks, one per line; empty ones go."""
+    return "\n".join(filter(None, map(str.strip, LINE_ENDS.split(text))))
 
 
 def _storable(text: str) -> str:
@@ -127,39 +131,44 @@ def _storable(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def span_text(reader: PageReader, span: list) -> str:
+    _, _, first, end = span
+    return "".join(reader.strings[first:end])
+
+
+def anchor_text(reader: PageReader, span: list) -> str:
+    _, _, first, end = span
+    return "".join(map(str.strip, reader.strings[first:end]))
+
+
+def page_anchors(reader: PageReader, url: str) -> list[dict]:
+    """Links with text, in page order. A dict by absolute url keeps the first of each."""
+    by_target: dict[str, tuple[str, str]] = {}
+    for span in reader.spans:
+        if span[0] == "a" and span[1] and (anchor := anchor_text(reader, span)):
+            by_target.setdefault(urljoin(url, span[1]), (anchor, span[1]))
+    return [
+        {"pos": pos, "anchor_text": _storable(anchor), "href": _storable(href), "url": _storable(target)}
+        for pos, (target, (anchor, href)) in enumerate(by_target.items())
+    ]
+
+
+def first_text(reader: PageReader, tag: str) -> str | None:
+    span = next((span for span in reader.spans if span[0] == tag), None)
+    return None if span is None else _storable(span_text(reader, span).strip())
+
+
 def read_page(url: str, html: str) -> dict:
     """Text, links (first per absolute url, page order), title and heading of a page."""
     reader = PageReader()
     try:
         reader.feed(html)
         reader.finish()
-        links, seen = [], set()
-        title = heading = None
-        for tag, href, first, end in reader.spans:
-            strings = reader.strings[first:end]
-            if tag == "title" and title is None:
-                title = _storable("".join(strings).strip())
-            elif tag == "h1" and heading is None:
-                heading = _storable("".join(strings).strip())
-            elif tag == "a" and href:
-                anchor = "".join(string.strip() for string in strings)
-                if anchor:
-                    target = urljoin(url, href)
-                    if target not in seen:
-                        seen.add(target)
-                        links.append(
-                            {
-                                "pos": len(links),
-                                "anchor_text": _storable(anchor),
-                                "href": _storable(href),
-                                "url": _storable(target),
-                            }
-                        )
+        return {
+            "text": _storable(tidy_lines("".join(reader.strings))),
+            "links": page_anchors(reader, url),
+            "title": first_text(reader, "title"),
+            "heading": first_text(reader, "h1"),
+        }
     except (AssertionError, ValueError) as problem:
         return {"error": str(problem)}
-    return {
-        "text": _storable(tidy_lines("".join(reader.strings))),
-        "links": links,
-        "title": title,
-        "heading": heading,
-    }

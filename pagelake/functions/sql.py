@@ -26,13 +26,13 @@ SQL_FUNCTIONS = {
       ELSE concat(substring(content, 1, n), {SUFFIX}) END""",
     "url_parts(url STRING) RETURNS ARRAY<STRING>": """array(coalesce(try_parse_url(url, 'PROTOCOL'), ''),
       coalesce(try_parse_url(url, 'HOST'), ''), coalesce(try_parse_url(url, 'PATH'), ''))""",
-    "extraction_key(content STRING, json_schema STRING, mode STRING, model STRING, prompt STRING) RETURNS STRING": f"""sha2(concat_ws(
-      chr(0), '{settings.CACHE_KEY_VERSION}', model, mode, to_json(parse_json(json_schema)), coalesce(prompt, ''),
-      '{settings.DEFAULT_CONTENT_FORMAT}', '', sha2(content, 256)), 256)""",
+    "extraction_key(content STRING, json_schema STRING, mode STRING, model STRING, prompt STRING) RETURNS STRING": f"""sha2(concat(
+      '{settings.CACHE_KEY_VERSION}', chr(0), coalesce(model, ''), chr(0), coalesce(mode, ''), chr(0), to_json(try_parse_json(json_schema)), chr(0),
+      coalesce(prompt, ''), chr(0), '{settings.DEFAULT_CONTENT_FORMAT}', chr(0), '', chr(0), sha2(content, 256)), 256)""",
 }
 
 
-@udtf(returnType="pos INT, anchor_text STRING, href STRING, url STRING")
+@udtf(returnType="pos INT, anchor_text STRING, href STRING, url STRING", useArrow=True)
 class PageLinks:
     def eval(self, html: str, url: str):
         for link in read_page(url, html).get("links") or []:

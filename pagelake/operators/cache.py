@@ -53,21 +53,22 @@ def look_up(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds
     """Requests (key, ts, ...) with `hit`, and `data` and `created_at` of the live entry.
 
     The latest entry of the key up to the request's time counts: it is a hit while it
-    lives and has data.
+    lives and has data. A request without a key is always a miss.
     """
     entries = cache.select(
         "key", micros(F.col("created_at")).alias("_created"), micros(F.col("expires_at")).alias("_expires"), "data", "created_at"
     )
     asked = requests.withColumn("_asked", micros(F.col(at)))
     looked = as_of(asked, entries, ["key"], "_asked", "_created", slice_seconds * SECOND, found="_entry")
-    live = F.coalesce((F.col("_asked") < F.col("_entry._expires")) & F.col("_entry.data").isNotNull(), F.lit(False))
+    alive = (F.col("_asked") < F.col("_entry._expires")) & F.col("_entry.data").isNotNull()
+    live = F.coalesce(alive & F.col("key").isNotNull(), F.lit(False))
     found = [F.when(live, F.col(f"_entry.{name}")).alias(name) for name in ("data", "created_at")]
     return looked.select(*requests.columns, live.alias("hit"), *found)
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of `look_up`."""
-    looked = look_up(requests, cache, at, slice_seconds)
+    """(hits, misses) of `look_up`, which is worked out once for both."""
+    looked = materialize(look_up(requests, cache, at, slice_seconds), "looked-up")
     return looked.where("hit").drop("hit"), looked.where("NOT hit").select(*requests.columns)
 
 
@@ -84,16 +85,19 @@ def cached_flag(requests: DataFrame, ttl_seconds: int, at: str = "ts", id_column
     of `ttl_seconds`, the requests inside it are cached and do not prolong it.
 
     Keys of ordinary size are scanned in time order, one batch at a time with one value
-    per key in memory. Keys above `hot_rows` rows are worked out from all their slices at once.
+    per key in memory. Keys above `hot_rows` rows are worked out from all their slices at
+    once. Both give the same labels: of the requests at a start exactly one is the miss, the
+    one with the least id (a null id first). Null keys are one key.
     """
     # Requests without a time come first, all at one moment.
     rows = requests.withColumn("_at", F.coalesce(micros(F.col(at)), F.lit(-(2**62))))
     hot = hot_keys(requests, ["key"], hot_rows)
     if hot is None:
         return _scan(rows, ttl_seconds, id_column)
-    hot = F.broadcast(hot.select("key"))
-    ordinary = _scan(rows.join(hot, "key", "left_anti"), ttl_seconds, id_column)
-    return ordinary.unionByName(_hot_flags(rows.join(hot, "key", "left_semi"), ttl_seconds, id_column))
+    hot = F.broadcast(hot.select(F.col("key").alias("_hot_key")))
+    same = F.col("key").eqNullSafe(F.col("_hot_key"))
+    ordinary = _scan(rows.join(hot, same, "left_anti"), ttl_seconds, id_column)
+    return ordinary.unionByName(_hot_flags(rows.join(hot, same, "left_semi"), ttl_seconds, id_column))
 
 
 def _scan(rows: DataFrame, ttl_seconds: int, id_column: str) -> DataFrame:
@@ -134,25 +138,27 @@ def _hot_flags(rows: DataFrame, ttl_seconds: int, id_column: str) -> DataFrame:
     forward in time); doubling the step reaches all starts in log2(lives) rounds.
     """
     ttl = ttl_seconds * SECOND
-    points = rows.groupBy("key", "_at").agg(F.min(id_column).alias("_first"))
-    points = materialize(points, "request-times")
+    names = [name for name in rows.columns if name != "_at"]
+    # Keys as text that is never null, so that joins meet null keys as well; rows with a number each.
+    marked = F.concat(F.when(F.col("key").isNull(), "n").otherwise("k"), F.coalesce(F.col("key").cast("string"), F.lit("")))
+    rows = materialize(rows.withColumns({"_key": marked, "_row": F.monotonically_increasing_id()}), "requests")
+    first = F.min(F.struct(F.col(id_column).isNotNull().alias("known"), F.col(id_column).alias("id"), F.col("_row").alias("row")))
+    points = materialize(rows.groupBy("_key", "_at").agg(first.alias("_first")), "request-times")
     # Forward in time is backward in negated time.
-    asked = points.select("key", "_at", (-(F.col("_at") + ttl)).alias("_from"))
-    later = points.select("key", (-F.col("_at")).alias("_minus"), F.col("_at").alias("_next"))
-    step = as_of(asked, later, ["key"], "_from", "_minus", ttl)
-    step = materialize(step.select("key", "_at", F.col("found._next").alias("_next")).where(F.col("_next").isNotNull()), "step")
-    starts = materialize(points.groupBy("key").agg(F.min("_at").alias("_at")), "starts")
+    asked = points.select("_key", "_at", (-(F.col("_at") + ttl)).alias("_from"))
+    later = points.select("_key", (-F.col("_at")).alias("_minus"), F.col("_at").alias("_next"))
+    step = as_of(asked, later, ["_key"], "_from", "_minus", min(ttl, SLICE_SECONDS * SECOND))
+    step = materialize(step.select("_key", "_at", F.col("found._next").alias("_next")).where(F.col("_next").isNotNull()), "step")
+    starts = materialize(points.groupBy("_key").agg(F.min("_at").alias("_at")), "starts")
     known = starts.count()
     while True:
-        reached = starts.join(step, ["key", "_at"]).select("key", F.col("_next").alias("_at"))
+        reached = starts.join(step, ["_key", "_at"]).select("_key", F.col("_next").alias("_at"))
         starts = materialize(starts.unionByName(reached).distinct(), "starts")
         count = starts.count()
         if count == known:
             break
         known = count
-        onward = step.select("key", F.col("_at").alias("_next"), F.col("_next").alias("_after"))
-        step = materialize(step.join(onward, ["key", "_next"]).select("key", "_at", F.col("_after").alias("_next")), "step")
-    misses = points.join(starts, ["key", "_at"], "left_semi").select("key", "_at", F.col("_first").alias(id_column), F.lit(False).alias("_hit"))
-    flagged = rows.join(misses, ["key", "_at", id_column], "left")
-    names = [name for name in rows.columns if name != "_at"]
-    return flagged.select(*names, F.coalesce("_hit", F.lit(True)).alias("cached"))
+        onward = step.select("_key", F.col("_at").alias("_next"), F.col("_next").alias("_after"))
+        step = materialize(step.join(onward, ["_key", "_next"]).select("_key", "_at", F.col("_after").alias("_next")), "step")
+    misses = points.join(starts, ["_key", "_at"], "left_semi").select(F.col("_first.row").alias("_row"), F.lit(False).alias("_hit"))
+    return rows.join(misses, "_row", "left").select(*names, F.coalesce("_hit", F.lit(True)).alias("cached"))

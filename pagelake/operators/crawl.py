@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelake import settings
 from pagelake.functions.text import as_array, truncate_content
-from pagelake.operators.fetch import page_links, pages_at, truncate
+from pagelake.operators.fetch import pages_at, truncate
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import keep_listed, skew_join, top_k
 
@@ -72,6 +72,9 @@ def crawl(
     text = read.select("url", "content", "content_length", "error")
     linked = read.select("url", "error", "links")
     if links is not None:
+        # Only the seeds' own links are gathered.
+        seeds_read = linked.select(F.col("url").alias("page_url"))
+        links = keep_listed(links, seeds_read, ["page_url"])
         linked = linked.drop("links").join(nest_links(links), "url", "left")
 
     kept = F.filter(
@@ -164,4 +167,4 @@ def render_crawl(crawled: Crawl, max_content_length: int | None = None) -> DataF
     )
 
 
-__all__ = ["Crawl", "crawl", "crawl_summary", "filter_links", "nest_links", "page_links", "render_crawl", "select_subpages"]
+__all__ = ["Crawl", "crawl", "crawl_summary", "filter_links", "nest_links", "render_crawl", "select_subpages"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,15 +16,26 @@ from pagelake.functions.text import redact
 from pagelake.operators.cache import cache_entries, look_up
 from pagelake.operators.fetch import pages_at
 from pagelake.operators.records import validate_records
-from pagelake.operators.requests import content_rules, is_missing, parsed_mode, side_bytes, with_content_facts, with_first_failure
+from pagelake.operators.requests import (
+    content_rules,
+    is_missing,
+    parsed_format,
+    parsed_mode,
+    schema_rules,
+    side_bytes,
+    with_content_facts,
+    with_first_failure,
+)
 from pagelake.operators.schema import SchemaError, compile_schema
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import fits, skew_join, union_all
 
-# Takes rows with content, title, heading, links and prompt and adds `record`, a JSON text;
+# Takes rows with content, title, heading, links, prompt and json_schema and adds `record`, a JSON text;
 # may add input_tokens and output_tokens. Other columns must stay.
 Extractor = Callable[[DataFrame], DataFrame]
 
+# Each schema is checked by a branch of its own in the plan.
+MOST_SCHEMAS = 50
 RESULT_COLUMNS = ["status", "stage", "error", "data", "cached", "input_tokens", "output_tokens"]
 
 
@@ -58,7 +70,7 @@ def rule_extractor(rules: dict) -> Extractor:
 def extract(
     requests: DataFrame,
     pages: DataFrame,
-    schema: dict,
+    schema: dict | None,
     extractor: Extractor,
     cache: DataFrame,
     now: Column,
@@ -69,33 +81,52 @@ def extract(
     max_length: int = settings.EXTRACT_MAX_LENGTH,
     max_body: int = settings.EXTRACT_MAX_BODY_BYTES,
     secrets: tuple[str, ...] = (),
+    most_schemas: int = MOST_SCHEMAS,
 ) -> Extraction:
-    """One result row per request (request_id, url, prompt?, validation_mode?).
-
-    Order of work: url, fetch, guards, mode, cache, schema, extractor, check. Requests
-    that ask the same of a url are one task; tasks that come to the same key are extracted
-    once. Only hashes and sizes of page text meet the tasks; the text itself goes from
-    its page straight to the extractor, and only for missed keys.
+    """One result row per request (request_id, url, prompt?, validation_mode?, json_schema?,
+    content?, content_format?, extraction_context?).
+
+    Without `schema` each request has its own in `json_schema`. A request with `content` is
+    worked on that text, any other on the page at its url; the result has every request
+    column but the content. Order of work: url, schema, fetch, guards, options, cache, schema
+    compiler, extractor, check. Requests that ask the same of a text are one task; tasks that
+    come to the same key are extracted once. Only hashes and sizes of text meet the tasks; the
+    text itself goes to the extractor, and only for missed keys. Schemas are compiled on the
+    driver; of the missed ones those beyond `most_schemas`, by text, give error rows.
     """
-    given = {"prompt": F.lit(prompt).cast("string"), "validation_mode": F.lit(mode)}
+    given = {
+        "prompt": F.lit(prompt).cast("string"), "validation_mode": F.lit(mode), "content": F.lit(None).cast("string"),
+        "content_format": F.lit(settings.DEFAULT_CONTENT_FORMAT), "extraction_context": F.lit(None).cast("string"),
+    }
+    own_schemas = schema is None
     asked = requests.withColumns({name: value for name, value in given.items() if name not in requests.columns})
-    parts = ["url", "prompt", "validation_mode"]
+    if not own_schemas:
+        asked = asked.withColumn("json_schema", F.lit(json.dumps(schema)))
+    source = F.when(F.col("content").isNotNull(), F.concat(F.lit("content "), F.sha2("content", 256)))
+    asked = asked.withColumn("_source", source.when(~is_missing(F.col("url")), F.concat(F.lit("page "), F.col("url"))))
+    parts = ["_source", "url", "prompt", "validation_mode", "json_schema", "content_format", "extraction_context"]
     asked = asked.withColumn("_task", F.sha2(F.to_json(F.struct(*parts)), 256))
-    tasks = materialize(asked.where(~is_missing(F.col("url"))).select("_task", *parts).distinct(), "tasks")
-
-    schema_bytes = len(json.dumps(schema))
-    contents = materialize(pages_at(pages, tasks.select("url").distinct()), "contents")
-    side = side_bytes(parts)
-    most_side = F.coalesce(tasks.agg(F.max(side)).scalar(), F.lit(0))
-    facts = with_content_facts(contents, most_side, max_body, schema_bytes)
-    facts = facts.select("url", F.col("error").alias("_fetch_error"), "_units", "_length", "_blank", "_script_blank", "_bytes", "_hash")
-    keyed = materialize(_judge(skew_join(tasks, facts, ["url"], "left", ["_task"]), schema, model, side, max_length, max_body, schema_bytes), "keys")
+    tasks = materialize(asked.where(F.col("_source").isNotNull()).select("_task", *parts).distinct(), "tasks")
+
+    fields = ["_source", "content", "title", "heading", "links", "error"]
+    fetched = pages_at(pages, tasks.where(F.col("_source").startswith("page ")).select("url").distinct())
+    contents = fetched.withColumn("_source", F.concat(F.lit("page "), F.col("url"))).select(*fields)
+    if "content" in requests.columns:
+        texts = asked.where(F.col("content").isNotNull()).select("_source", "content").dropDuplicates(["_source"])
+        contents = contents.unionByName(texts, allowMissingColumns=True)
+    contents = materialize(contents, "contents")
+    side, schema_bytes = side_bytes(parts), F.octet_length("json_schema")
+    most = tasks.agg(F.coalesce(F.max(side), F.lit(0)).alias("side"), F.coalesce(F.max(schema_bytes), F.lit(0)).alias("schema")).first()
+    facts = with_content_facts(contents, F.lit(most["side"]), max_body, most["schema"])
+    facts = facts.select("_source", F.col("error").alias("_fetch_error"), "_units", "_length", "_blank", "_script_blank", "_bytes", "_hash")
+    beside = skew_join(tasks, facts, ["_source"], "left", ["_task"])
+    keyed = materialize(_judge(beside, own_schemas, model, content_rules(side, max_length, max_body, schema_bytes)), "keys")
 
     good = keyed.where(F.col("error").isNull())
-    one_task = good.groupBy("key").agg(F.min(F.struct("url", "prompt", "mode")).alias("task")).select("key", "task.*")
+    one_task = good.groupBy("key").agg(F.min(F.struct("_source", "url", "prompt", "mode", "json_schema")).alias("task")).select("key", "task.*")
     looked = materialize(look_up(one_task.withColumn("ts", now.cast("timestamp")), cache), "looked-up")
-    missed = looked.where("NOT hit").select("key", "url", "prompt", "mode")
-    fresh = _run(contents, missed, schema, extractor, secrets)
+    missed = looked.where("NOT hit").select("key", "_source", "url", "prompt", "mode", "json_schema")
+    fresh = _run(contents, missed, extractor, secrets, most_schemas)
     hits = looked.where("hit").select("key", F.lit(200).alias("status"), "data", F.lit(True).alias("cached"))
     per_key = fresh.unionByName(hits, allowMissingColumns=True)
 
@@ -103,73 +134,96 @@ def extract(
     done = done.withColumn("mode", F.when(F.col("data").isNotNull(), F.col("mode"))).drop("key")
     refused = keyed.where(F.col("error").isNotNull()).select("_task", "status", "stage", "error")
     outcomes = done.unionByName(refused, allowMissingColumns=True)
-    results = skew_join(asked.drop("validation_mode"), outcomes, ["_task"], "left", ["request_id"])
-    absent = is_missing(F.col("url"))
+    kept = [name for name in requests.columns if name not in ("validation_mode", "content")]
+    results = skew_join(asked.select(*dict.fromkeys([*kept, "_task", "_source"])), outcomes, ["_task"], "left", ["request_id"])
+    absent = F.col("_source").isNull()
     results = results.withColumns(
         {
             "error": F.when(absent, F.lit("Error: " + settings.URL_REQUIRED)).otherwise(F.col("error")),
             "status": F.when(absent, 400).otherwise(F.col("status")),
         }
     )
-    kept = [name for name in requests.columns if name != "validation_mode"]
     entries = cache_entries(fresh.select("key", "data"), now, ttl_seconds)
     return Extraction(results.select(*kept, *RESULT_COLUMNS, F.col("mode").alias("validation_mode")), entries)
 
 
-def _judge(tasks: DataFrame, schema: dict, model: str, side: Column, max_length: int, max_body: int, schema_bytes: int) -> DataFrame:
-    """Tasks beside the facts of their page: key of the good ones, status and error of the rest."""
-    mode = parsed_mode(F.col("validation_mode"))
+def _judge(tasks: DataFrame, own_schemas: bool, model: str, guards: list) -> DataFrame:
+    """Tasks beside the facts of their text: key of the good ones, status and error of the rest."""
+    mode, content_format = parsed_mode(F.col("validation_mode")), parsed_format(F.col("content_format"))
+    context = F.col("extraction_context")
     failed = F.col("_fetch_error").isNotNull() | F.col("_hash").isNull()
+    checks = schema_rules(F.col("json_schema")) if own_schemas else []
+    bad_schema = reduce(Column.__or__, [F.coalesce(rule, F.lit(False)) for rule, _, _ in checks], F.lit(False))
     rules = [
+        *checks,
         (failed, 200, ""),
-        *content_rules(side, max_length, max_body, schema_bytes),
+        *guards,
+        (~content_format.isin(*settings.CONTENT_FORMATS), 400, settings.FORMAT_INVALID),
         (~mode.isin(*settings.VALIDATION_MODES), 400, settings.MODE_INVALID),
+        (context.isNotNull() & F.try_parse_json(context).isNull(), 400, settings.CONTEXT_INVALID),
     ]
     fetch_error = F.concat(F.lit(settings.FETCH_ERROR), F.coalesce("_fetch_error", F.lit(settings.PAGE_NOT_FOUND)))
-    key = extraction_key(None, schema, mode, model, F.col("prompt"), content_hash=F.col("_hash"))
+    key = extraction_key(None, F.col("json_schema"), mode, model, F.col("prompt"), content_format, context, content_hash=F.col("_hash"))
     judged = with_first_failure(tasks, rules)
+    failed = failed & ~bad_schema
     return judged.select(
-        "_task", "url", "prompt", mode.alias("mode"), "status",
+        "_task", "_source", "url", "prompt", mode.alias("mode"), "json_schema", "status",
         F.when(failed, "fetch").alias("stage"),
         F.when(failed, fetch_error).otherwise(F.col("error")).alias("error"),
         F.when(~failed & F.col("error").isNull(), key).alias("key"),
     )
 
 
-def _run(contents: DataFrame, missed: DataFrame, schema: dict, extractor: Extractor, secrets: tuple[str, ...]) -> DataFrame:
+def _run(contents: DataFrame, missed: DataFrame, extractor: Extractor, secrets: tuple[str, ...], most_schemas: int) -> DataFrame:
     """Extract and check the missed keys: (key, status, error, data, cached, tokens)."""
     tokens = ["input_tokens", "output_tokens"]
-    try:
-        field = compile_schema(schema)
-    except SchemaError as problem:
-        return missed.select(
-            "key", F.lit(400).alias("status"), F.lit(str(problem)).alias("error"), F.lit(None).cast("string").alias("data"),
+    fields, problems = {}, {}
+    for row in missed.select("json_schema").distinct().orderBy("json_schema").limit(most_schemas).collect():
+        try:
+            fields[row["json_schema"]] = compile_schema(json.loads(row["json_schema"]))
+        except (SchemaError, ValueError) as problem:
+            problems[row["json_schema"]] = str(problem)
+
+    def refused(rows: DataFrame, problem: Column) -> DataFrame:
+        return rows.select(
+            "key", F.lit(400).alias("status"), problem.alias("error"), F.lit(None).cast("string").alias("data"),
             F.lit(False).alias("cached"), *(F.lit(None).cast("long").alias(name) for name in tokens),
         )
-    page = contents.select("url", "content", "title", "heading", "links")
+
+    named = F.col("json_schema")
+    message = F.lit(settings.TOO_MANY_SCHEMAS.format(limit=most_schemas))
+    for text, problem in problems.items():
+        message = F.when(named == text, F.lit(problem)).otherwise(message)
+    bad = refused(missed.where(~named.isin(*fields)) if fields else missed, message)
+    if not fields:
+        return bad
+    page = contents.select("_source", "content", "title", "heading", "links")
+    missed = missed.where(named.isin(*fields))
     if fits(missed):
-        wanted = page.join(F.broadcast(missed), "url")
+        wanted = page.join(F.broadcast(missed), "_source")
     else:
-        wanted = skew_join(missed, page, ["url"], "inner", ["key"])
+        wanted = skew_join(missed, page, ["_source"], "inner", ["key"])
     extracted = extractor(wanted)
     counted = [F.col(name) if name in extracted.columns else F.lit(None).cast("long").alias(name) for name in tokens]
-    extracted = materialize(extracted.select("key", "mode", "record", *counted), "extracted")
-    checked = union_all(
-        [validate_records(extracted.where(F.col("mode") == mode), "record", field, mode) for mode in settings.VALIDATION_MODES]
-    )
-    valid = F.col("valid")
-    problem = redact(F.concat(F.lit(settings.EXTRACTION_FAILED), F.array_join("errors", "; ")), secrets)
+    extracted = materialize(extracted.select("key", "mode", "json_schema", "record", *counted), "extracted")
     # One field is wrapped in an object to print any kind of value, then unwrapped.
     printed = F.to_json(F.struct("data"), {"ignoreNullFields": "false"})
     data = F.substring(printed, F.lit(9), F.length(printed) - 9)
-    return checked.select(
-        "key",
-        F.when(valid, 200).otherwise(502).alias("status"),
-        F.when(~valid, problem).alias("error"),
-        F.when(valid, data).alias("data"),
-        F.lit(False).alias("cached"),
-        *tokens,
-    )
+    valid = F.col("valid")
+    problem = redact(F.concat(F.lit(settings.EXTRACTION_FAILED), F.array_join("errors", "; ")), secrets)
+    checked = [
+        validate_records(extracted.where((F.col("mode") == mode) & (named == text)), "record", field, mode).select(
+            "key",
+            F.when(valid, 200).otherwise(502).alias("status"),
+            F.when(~valid, problem).alias("error"),
+            F.when(valid, data).alias("data"),
+            F.lit(False).alias("cached"),
+            *tokens,
+        )
+        for text, field in fields.items()
+        for mode in settings.VALIDATION_MODES
+    ]
+    return union_all([*checked, bad])
 
 
 def crawl_extract(subpages: DataFrame, pages: DataFrame, schema: dict, extractor: Extractor, cache: DataFrame, now: Column, **options) -> Extraction:

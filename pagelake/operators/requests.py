@@ -21,15 +21,24 @@ def comma_list(text: Column) -> Column:
     return F.when(text != "", F.split(text, ",", -1))
 
 
-def normalise_requests(requests: DataFrame) -> DataFrame:
-    """Defaults and limits for whichever request columns the table has."""
+def normalise_requests(
+    requests: DataFrame,
+    most_results: int | None = settings.MAX_RESULTS_LIMIT,
+    most_subpages: int | None = settings.MAX_SUBPAGE_LIMIT,
+    most_content: int | None = settings.MAX_FETCH_CONTENT,
+) -> DataFrame:
+    """Defaults and limits for whichever request columns the table has. A limit of None lifts it."""
+
+    def capped(value: Column, most: int | None) -> Column:
+        return value if most is None else F.least(value, F.lit(most))
+
     rules = {
         "language": lambda c: F.coalesce(c, F.lit(settings.DEFAULT_LANGUAGE)),
         "pageno": lambda c: F.greatest(F.coalesce(c, F.lit(settings.DEFAULT_PAGENO)), F.lit(1)),
-        "max_results": lambda c: F.least(F.coalesce(c, F.lit(settings.DEFAULT_RESULTS_LIMIT)), F.lit(settings.MAX_RESULTS_LIMIT)),
-        "subpage_limit": lambda c: F.least(F.coalesce(c, F.lit(settings.DEFAULT_SUBPAGE_LIMIT)), F.lit(settings.MAX_SUBPAGE_LIMIT)),
+        "max_results": lambda c: capped(F.coalesce(c, F.lit(settings.DEFAULT_RESULTS_LIMIT)), most_results),
+        "subpage_limit": lambda c: capped(F.coalesce(c, F.lit(settings.DEFAULT_SUBPAGE_LIMIT)), most_subpages),
         # `least` skips nulls, and no limit must stay no limit.
-        "max_content_length": lambda c: F.when(c.isNotNull(), F.least(c, F.lit(settings.MAX_FETCH_CONTENT))),
+        "max_content_length": lambda c: F.when(c.isNotNull(), capped(c, most_content)),
         "categories": comma_list,
         "engines": comma_list,
     }
@@ -84,6 +93,15 @@ def request_options(requests: DataFrame) -> DataFrame:
     )
 
 
+def schema_rules(schema: Column) -> list:
+    """A JSON Schema must be there and be an object; malformed text is not one."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(schema)).startswith("OBJECT<"), F.lit(False))
+    return [
+        (schema.isNull() | (F.trim(schema) == "null"), 400, settings.SCHEMA_REQUIRED),
+        (~is_object, 400, settings.SCHEMA_TYPE),
+    ]
+
+
 def request_rules(kind: str, columns: list[str]) -> list:
     """The checks of a request kind, in the order that decides which error wins."""
     if kind == "search":
@@ -95,12 +113,9 @@ def request_rules(kind: str, columns: list[str]) -> list:
     if kind in ("fetch", "crawl"):
         return [(is_missing(F.col("url")), 400, settings.URL_REQUIRED)]
     if kind == "extract":
-        schema = F.col("json_schema")
-        is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(schema)).startswith("OBJECT<"), F.lit(False))
         return [
             (is_missing(F.col("url")), 400, "Error: " + settings.URL_REQUIRED),
-            (schema.isNull() | (F.trim(schema) == "null"), 400, settings.SCHEMA_REQUIRED),
-            (~is_object, 400, settings.SCHEMA_TYPE),
+            *schema_rules(F.col("json_schema")),
             *option_rules(columns),
         ]
     raise ValueError(f"unknown request kind: {kind}")

@@ -18,6 +18,11 @@ NULLABLE_KEYWORD = 'JSON Schema keyword nullable is not supported in v1; use typ
 ADDITIONAL_PROPERTIES = "additionalProperties: true is not supported; omit or set to false for strict objects"
 UNSUPPORTED_KEYWORD = "Unsupported JSON Schema keyword or property: {}"
 UNSUPPORTED_TYPE = "Unsupported JSON Schema type: {}"
+NOT_AN_OBJECT = "json_schema must be a JSON object"
+NODE_NOT_AN_OBJECT = "Schema must be an object (at {})"
+ITEMS_REQUIRED = "array type requires items (at {})"
+TYPE_REQUIRED = "Missing or invalid type (at {})"
+PROPERTIES_REQUIRED = "object type requires properties (at {})"
 TYPE_LIST = 'type arrays must be exactly ["<type>", "null"] in v1'
 
 LEAF_TYPES = {
@@ -27,6 +32,7 @@ LEAF_TYPES = {
     "boolean": T.BooleanType(),
 }
 PROMPT_KEY = "prompt"
+NAME_GAPS = re.compile(r"[_\s-]+")
 
 
 class SchemaError(ValueError):
@@ -41,7 +47,7 @@ def compile_schema(schema: dict) -> T.StructField:
     if _names_nullable(schema):
         raise SchemaError(NULLABLE_KEYWORD)
     if not isinstance(schema, dict):
-        raise SchemaError("json_schema must be a JSON object")
+        raise SchemaError(NOT_AN_OBJECT)
     return _field("data", schema, "$")
 
 
@@ -53,7 +59,7 @@ def _names_nullable(node) -> bool:
 
 def _field(name: str, node, at: str) -> T.StructField:
     if not isinstance(node, dict):
-        raise SchemaError(f"Schema must be an object (at {at})")
+        raise SchemaError(NODE_NOT_AN_OBJECT.format(at))
     kind, nullable = _kind(node.get("type"), at)
     keywords = {"object": OBJECT_KEYWORDS, "array": ARRAY_KEYWORDS}.get(kind, LEAF_KEYWORDS)
     for keyword in node:
@@ -63,7 +69,7 @@ def _field(name: str, node, at: str) -> T.StructField:
         data_type = _struct(node, at)
     elif kind == "array":
         if "items" not in node:
-            raise SchemaError(f"array type requires items (at {at})")
+            raise SchemaError(ITEMS_REQUIRED.format(at))
         item = _field("item", node["items"], f"{at}.items")
         data_type = T.ArrayType(item.dataType, item.nullable)
     else:
@@ -80,8 +86,8 @@ def _kind(declared, at: str) -> tuple[str, bool]:
         if len(named) != 1 or len(named) == len(declared):
             raise SchemaError(f"{TYPE_LIST} (at {at})")
         declared = named[0]
-    elif not isinstance(declared, str):
-        raise SchemaError(f"Missing or invalid type (at {at})")
+    if not isinstance(declared, str):
+        raise SchemaError(TYPE_REQUIRED.format(at))
     if declared not in ("object", "array") and declared not in LEAF_TYPES:
         raise SchemaError(f"{UNSUPPORTED_TYPE.format(declared)} (at {at})")
     return declared, nullable
@@ -95,7 +101,7 @@ def _struct(node: dict, at: str) -> T.StructType:
         raise SchemaError(f"{UNSUPPORTED_KEYWORD.format('additionalProperties')} (at {at})")
     properties = node.get("properties")
     if not isinstance(properties, dict):
-        raise SchemaError(f"object type requires properties (at {at})")
+        raise SchemaError(PROPERTIES_REQUIRED.format(at))
     required = node.get("required")
     required = required if isinstance(required, list) else []
     fields = []
@@ -108,7 +114,7 @@ def _struct(node: dict, at: str) -> T.StructType:
 
 def humanize(key: str) -> str:
     """`team_name` -> `Team Name`."""
-    return " ".join(word.capitalize() for word in re.split(r"[_\-\s]+", key) if word)
+    return " ".join(map(str.capitalize, NAME_GAPS.sub(" ", key).split()))
 
 
 def fields_schema(fields: str | dict, prompt: str | None = None) -> tuple[dict, str | None]:
@@ -127,9 +133,9 @@ def fields_schema(fields: str | dict, prompt: str | None = None) -> tuple[dict,
         own_prompt = fields.pop(PROMPT_KEY, None)
         own_prompt = str(own_prompt) if own_prompt is not None and str(own_prompt).strip() else None
     if any(not isinstance(name, str) or not name.strip() for name in fields):
-        raise ValueError("schema field names must be non-empty strings")
+        raise ValueError("a field needs a name that is text")
     if not fields:
-        raise ValueError("schema must define at least one field")
+        raise ValueError("there is no field to extract")
     properties = {
         name: {"type": "string", "description": humanize(name) if text is None else str(text)} for name, text in fields.items()
     }

@@ -139,18 +139,23 @@ def merge_engines(hits: DataFrame) -> DataFrame:
 def page_results(
     hits: DataFrame,
     pageno: Column | int = 1,
-    page_size: int = settings.DEFAULT_RESULTS_LIMIT,
+    page_size: int | None = None,
     max_results: Column | int = settings.DEFAULT_RESULTS_LIMIT,
     id_column: str = "doc_id",
 ) -> DataFrame:
-    """The asked page of each query's hits by score, at most max_results of it. `rank` counts within the page."""
+    """The asked page of each query's hits by score, at most max_results of it. `rank` counts within the page.
+
+    Without a page size a page has max_results hits. Pages beyond the last hit are empty, however far.
+    """
     if isinstance(pageno, int) and isinstance(max_results, int):
-        before = page_size * (max(pageno, 1) - 1)
-        last = before + max(min(max_results, page_size), 0)
+        size = max(max_results, 0) if page_size is None else page_size
+        before = size * (max(pageno, 1) - 1)
+        last = before + max(min(max_results, size), 0)
     else:
-        before = F.lit(page_size) * (F.greatest(F.lit(pageno) if isinstance(pageno, int) else pageno, F.lit(1)) - 1)
-        shown = F.lit(max_results) if isinstance(max_results, int) else max_results
-        last = before + F.greatest(F.least(shown, F.lit(page_size)), F.lit(0))
+        shown = F.greatest(F.lit(max_results) if isinstance(max_results, int) else max_results, F.lit(0)).cast("long")
+        size = shown if page_size is None else F.lit(page_size).cast("long")
+        before = size * (F.greatest(F.lit(pageno) if isinstance(pageno, int) else pageno, F.lit(1)).cast("long") - 1)
+        last = before + F.least(shown, size)
     order = [F.col("score").desc(), F.col(id_column)]
     ranked = top_k(hits, ["query_id"], order, last, [id_column])
     return ranked.where(F.col("rank") > before).withColumn("rank", (F.col("rank") - before).cast("int"))
@@ -190,7 +195,7 @@ class Search(NamedTuple):
     rejected: DataFrame
 
 
-def search(requests: DataFrame, docs: DataFrame, page_size: int = settings.DEFAULT_RESULTS_LIMIT, now: Column | None = None) -> Search:
+def search(requests: DataFrame, docs: DataFrame, page_size: int | None = None, now: Column | None = None) -> Search:
     """Requests from their raw columns to a page of ranked hits each.
 
     Requests: query_id, query, categories, engines, language, time_range, pageno,
@@ -266,17 +271,33 @@ def pretty_entry() -> Column:
     )
 
 
-def json_entry() -> Column:
-    return F.to_json(F.struct("url", "title", "content", "engine"))
+# The fields of a hit in JSON, as far as the page has them.
+HIT_FIELDS = ["url", "title", "content", "engine", "parsed_url", "template", "engines", "positions", "score"]
+# The other parts of a response in JSON, as far as the queries have them.
+RESPONSE_PARTS = ["answers", "corrections", "infoboxes", "suggestions", "unresponsive_engines"]
+
+
+def json_entry(columns: list[str]) -> Column:
+    """All fields of a hit; null fields stay."""
+    return F.to_json(F.struct(*[name for name in HIT_FIELDS if name in columns]), {"ignoreNullFields": "false"})
+
+
+def json_parts(columns: list[str]) -> Column:
+    """The response's other parts, each after a comma."""
+    printed = lambda name: F.to_json(F.struct(name), {"ignoreNullFields": "false"})
+    inside = [F.concat(F.lit(","), F.substring(printed(name), F.lit(2), F.length(printed(name)) - 2)) for name in RESPONSE_PARTS if name in columns]
+    return F.concat(F.lit(""), *inside)
 
 
 def render_results(queries: DataFrame, paged: DataFrame, mode: str) -> DataFrame:
     """One text per query from a page of hits (`rank` from 1, `total` hits in all).
 
     Modes: simple, pretty, numbered, json. `queries` has query_id, query and total;
-    `paged` comes from `page_results`, so a query holds no more rows than its page.
+    `paged` comes from `page_results`, so a query holds no more rows than its page. In JSON
+    the hits have all fields of `paged` and the response all parts of `queries`. A query
+    with an `error` shows that and nothing else.
     """
-    entry = {"simple": simple_entry, "pretty": pretty_entry, "numbered": numbered_entry, "json": json_entry}[mode]()
+    entry = json_entry(paged.columns) if mode == "json" else {"simple": simple_entry, "pretty": pretty_entry, "numbered": numbered_entry}[mode]()
     lines = paged.select("query_id", "rank", entry.alias("entry"))
     grouped = lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("entries"))
     rows = queries.join(grouped, "query_id", "left")
@@ -301,7 +322,10 @@ def render_results(queries: DataFrame, paged: DataFrame, mode: str) -> DataFrame
         ),
         "json": F.concat(
             F.lit('{"query":'), F.to_json(F.struct("query")).substr(F.lit(10), F.length(F.to_json(F.struct("query"))) - 10),
-            F.lit(',"number_of_results":'), total, F.lit(',"results":['), F.array_join(entries, ","), F.lit("]}"),
+            F.lit(',"number_of_results":'), total, F.lit(',"results":['), F.array_join(entries, ","), F.lit("]"), json_parts(queries.columns), F.lit("}"),
         ),
     }[mode]
+    if "error" in queries.columns:
+        prefix = settings.SEARCH_ERROR if mode == "numbered" else settings.RESPONSE_ERROR
+        text = F.when(F.col("error").isNotNull(), F.concat(F.lit(prefix), F.col("error"))).otherwise(text)
     return rows.select("query_id", text.alias("report"))

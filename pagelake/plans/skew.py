@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is hot from this many rows on, and a slot of it holds about as many.
 HOT_ROWS = 1_000_000
 # Keys past the heaviest 1000 own less than a thousandth of the rows each.
 MOST_HOT_KEYS = 1000
-MOST_SLOTS = 512
 TOP_SLOTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark limits window groups before the shuffle up to this rank (its default threshold).
@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame
     table size: any other key is small against the whole, so it needs no spreading.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
-    slots = F.least(F.ceil(F.col("_rows") / rows), F.lit(MOST_SLOTS)).cast("int").alias("_slots")
+    slots = F.ceil(F.col("_rows") / rows).cast("int").alias("_slots")
     heaviest = counts.orderBy(F.col("_rows").desc()).limit(MOST_HOT_KEYS).select(*keys, slots)
     found = heaviest.collect()
     return df.sparkSession.createDataFrame(found, heaviest.schema) if found else None
@@ -36,22 +36,26 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spre
 
     Rows of a hot key are spread over slots by a hash of `spread_by` (so a retried
     task places them alike); only the right rows of hot keys are repeated, once per
-    slot. All other keys stay in slot 0. Without hot keys it is a plain join.
+    slot. All other keys stay in slot 0. A hot null key, which meets nothing, is spread as
+    well. Without hot keys it is a plain join.
     """
     hot = hot_keys(left, keys, rows)
     if hot is None:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys])
+    gone = ["_slots", *(f"_hot_{key}" for key in keys)]
     slot = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_slots")).cast("int"), F.lit(0))
     slots = F.sequence(F.lit(0), F.coalesce(F.col("_slots"), F.lit(1)) - 1)
-    spread = left.join(hot, keys, "left").withColumn("_slot", slot).drop("_slots")
-    repeated = right.join(hot, keys, "left").withColumn("_slot", F.explode(slots)).drop("_slots")
+    spread = left.join(hot, same, "left").withColumn("_slot", slot).drop(*gone)
+    repeated = right.join(hot, same, "left").withColumn("_slot", F.explode(slots)).drop(*gone)
     return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
 
 
 def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether the whole table, measured, is small enough to send to every executor."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    texts = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.octet_length(F.to_json(F.struct(f.name))) if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType) else F.lit(8) for f in df.schema.fields]
+    size = df.agg(F.sum(reduce(Column.__add__, texts))).first()[0]
     return (size or 0) <= max_bytes
 
 

@@ -43,7 +43,12 @@ SIDECAR_TOO_LONG = "content exceeds EXTRACT_MAX_LENGTH ({limit} Unicode code uni
 FORMAT_INVALID = 'content_format must be one of: "txt", "markdown", "html"'
 MODE_INVALID = 'validation_mode must be "strict" or "coerce"'
 FETCH_ERROR = "Fetch error: "
+SEARCH_ERROR = "Search error: "
+RESPONSE_ERROR = "Error: "
 EXTRACTION_FAILED = "extraction failed: "
 # Our own message: a url that the page table does not hold.
 PAGE_NOT_FOUND = "page not found"
 PAGE_WITHOUT_BODY = "page has no body"
+# Our own messages: an unreadable context, more schemas than one call compiles.
+CONTEXT_INVALID = "extraction_context must be JSON"
+TOO_MANY_SCHEMAS = "one call takes at most {limit} different schemas"

@@ -92,10 +92,11 @@ def parse_envelopes(df: DataFrame, json_column: str) -> DataFrame:
     return parsed.select(*kept, *columns, error.alias("error"))
 
 
-def read_search_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Stored search responses, one JSON document per line, with the file they came from."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return parse_envelopes(lines, "value")
+def read_search_responses(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Stored search responses with the file they came from: one JSON document per line, or,
+    with `one_per_file`, one per file, however it is indented."""
+    texts = spark.read.text(path, wholetext=one_per_file).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_envelopes(texts, "value")
 
 
 def explode_envelope(envelopes: DataFrame, part: str, keep: list[str] = ("query",)) -> DataFrame:

@@ -79,12 +79,18 @@ def due(at: int) -> int:
 def stream_cached_flag(requests: DataFrame, ttl_seconds: int, delay: str, at: str = "ts", id_column: str = "request_id") -> DataFrame:
     """Adds `cached` to a stream of (key, ts, id): the labels of `operators.cache.cached_flag`.
 
-    Needs the RocksDB state store. Rows behind the watermark are dropped; memory and
+    A request without a time has no place in event time: it is left out here and is what
+    `without_time` returns, for a stream of its own. Needs the RocksDB state store. Rows behind the watermark are dropped; memory and
     state per key hold the requests of one delay, and micro-batches bound the rest.
     """
-    timed = requests.select(
+    timed = requests.where(F.col(at).isNotNull()).select(
         "key", F.col(id_column).cast("long").alias("request_id"), F.col(at).cast("timestamp").alias("ts"), micros(F.col(at)).alias("at")
     ).withWatermark("ts", delay)
     return timed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=ResultLives(ttl_seconds * SECOND), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+
+
+def without_time(requests: DataFrame, at: str = "ts") -> DataFrame:
+    """The requests that `stream_cached_flag` leaves out, for a quarantine."""
+    return requests.where(F.col(at).isNull())

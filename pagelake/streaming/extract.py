@@ -31,13 +31,15 @@ def stream_extract(
     cache_path: str,
     results_path: str,
     checkpoint: str,
+    trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Start `operators.extract.extract` per micro-batch of (request_id, url, asked_at).
 
     Results and new cache rows go to one folder per batch, replaced when the batch is
     replayed, so a restart neither loses nor doubles rows. The batch's time is its latest
-    request, which a replay sees alike.
+    request, which a replay sees alike. `trigger` takes the arguments of Spark's trigger, for
+    example {"processingTime": "1 minute"} for a stream that goes on; by default what is there is worked off.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -54,6 +56,6 @@ def stream_extract(
     return (
         requests.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -74,7 +74,7 @@ def page_results(spark, sf):
 
 def page_results_first(spark, sf):
     hits = scored(spark, sf).withColumn("score", F.round("score", 5))
-    return ops.page_results(hits, pageno=1, page_size=20, max_results=100).select("query_id", "doc_id", "rank")
+    return ops.page_results(hits, pageno=1, max_results=100).select("query_id", "doc_id", "rank")
 
 
 def top_hit(spark, sf):
@@ -398,7 +398,7 @@ ORACLES = {
         round(sum(1.0::DOUBLE / (60 + position)), 6) AS score FROM best GROUP BY query_id, url""",
     "page_results": f"""WITH {MATCH_CTES} SELECT query_id, doc_id, score, CAST(nr - query_id % 3 * 20 AS INT) AS rank FROM ranked
       WHERE nr > query_id % 3 * 20 AND nr <= query_id % 3 * 20 + 15""",
-    "page_results_first": f"WITH {MATCH_CTES} SELECT query_id, doc_id, CAST(nr AS INT) AS rank FROM ranked WHERE nr <= 20",
+    "page_results_first": f"WITH {MATCH_CTES} SELECT query_id, doc_id, CAST(nr AS INT) AS rank FROM ranked WHERE nr <= 100",
     "top_hit": f"WITH {MATCH_CTES} SELECT query_id, doc_id, title FROM ranked WHERE nr = 1",
     "result_counts": f"""WITH {MATCH_CTES}, c AS (SELECT query_id, count(*) AS total FROM matched GROUP BY query_id)
       SELECT q.query_id, query, coalesce(total, 0) AS total, least(coalesce(total, 0), 20) AS shown,

@@ -83,6 +83,10 @@ def envelopes(spark, sf):
             .otherwise(F.array().cast("array<struct<answer:string,type:string,engine:string>>"))
             .alias("answers"),
             F.array(F.col("lang"), F.col("source")).alias("suggestions"),
+            F.array(F.struct(F.col("lang").alias("correction"), F.col("source").alias("original"))).alias("corrections"),
+            F.when(F.col("doc_id") % 5 == 0, F.array(F.struct(F.col("source").alias("infobox"), F.col("text").alias("content"), F.col("lang").alias("engine"))))
+            .otherwise(F.array().cast("array<struct<infobox:string,content:string,engine:string>>"))
+            .alias("infoboxes"),
             F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("bing"))).otherwise(F.array().cast("array<string>")).alias("unresponsive_engines"),
         )
     )
@@ -110,6 +114,14 @@ def explode_suggestions(spark, sf):
     return responses.explode_envelope(envelopes(spark, sf).where("error IS NULL"), "suggestions", ["doc_id"])
 
 
+def explode_corrections(spark, sf):
+    return responses.explode_envelope(envelopes(spark, sf).where("error IS NULL"), "corrections", ["doc_id"])
+
+
+def explode_infoboxes(spark, sf):
+    return responses.explode_envelope(envelopes(spark, sf).where("error IS NULL"), "infoboxes", ["doc_id"])
+
+
 def explode_unresponsive(spark, sf):
     return responses.explode_envelope(envelopes(spark, sf).where("error IS NULL"), "unresponsive_engines", ["doc_id"])
 
@@ -212,6 +224,8 @@ QUERIES = {
     "explode_answers": explode_answers,
     "explode_suggestions": explode_suggestions,
     "explode_unresponsive": explode_unresponsive,
+    "explode_corrections": explode_corrections,
+    "explode_infoboxes": explode_infoboxes,
     "engine_listing": engine_listing,
     "engines_by_category": engines_by_category,
     "results_json": results_json,
@@ -240,6 +254,9 @@ ORACLES = {
       UNION ALL SELECT doc_id, 2, source FROM documents WHERE doc_id % 13 <> 0""",
     "explode_unresponsive": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 END AS position, CASE WHEN doc_id % 4 = 0 THEN 'bing' END AS value
       FROM documents WHERE doc_id % 13 <> 0""",
+    "explode_corrections": "SELECT doc_id, 1 AS position, lang AS correction, source AS original FROM documents WHERE doc_id % 13 <> 0",
+    "explode_infoboxes": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 END AS position, CASE WHEN doc_id % 5 = 0 THEN source END AS infobox,
+      CASE WHEN doc_id % 5 = 0 THEN text END AS content, CASE WHEN doc_id % 5 = 0 THEN lang END AS engine FROM documents WHERE doc_id % 13 <> 0""",
     "engine_listing": f"""WITH {CATALOG_CTE} SELECT name, name || ': ' || CASE WHEN docs % 2 = 0 THEN 'documents: ' || docs ELSE 'No description' END AS line
       FROM sources""",
     "engines_by_category": "SELECT DISTINCT lang AS category, source AS name FROM documents WHERE source NOT LIKE '%3'",

@@ -63,3 +63,20 @@ def test_cached_flag_against_brute_force(spark, hot_rows):
         **brute_flags(rows, 100), 900: False, 901: True, 902: False, 903: False
     }
     assert flagged.columns == ["key", "ts", "request_id", "cached"]
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 2, 1])
+def test_one_miss_per_start_whatever_the_way(spark, hot_rows):
+    """Repeated rows, null ids and null times: exactly one miss per life, the least id, null first."""
+    rows = [("a", T0, 1), ("a", T0, 1), ("a", T0, None), ("b", T0, None), ("b", T0, None), (None, T0, 5), (None, T0, 4), (None, None, 3), ("c", T0, 2), ("c", T0, 1)]
+    log = spark.createDataFrame(rows, "key STRING, ts TIMESTAMP, request_id INT")
+    flagged = ops.cached_flag(log, 100, hot_rows=hot_rows).collect()
+    assert len(flagged) == len(rows)
+    misses = sorted((str(r.key), str(r.request_id)) for r in flagged if not r.cached)
+    assert misses == [("None", "3"), ("None", "4"), ("a", "None"), ("b", "None"), ("c", "1")]
+
+
+def test_requests_without_key_are_misses(spark):
+    table = cache(spark, (None, "1", 0, 100), ("a", "1", 0, 100))
+    hits, misses = ops.cache_lookup(requests(spark, (None, 5), ("a", 5)), table)
+    assert [r.key for r in hits.collect()] == ["a"] and [r.key for r in misses.collect()] == [None]

@@ -190,3 +190,50 @@ def test_key_changes_with_every_part(spark, part, other):
 
     shuffled = json.loads(json.dumps(SCHEMA, sort_keys=True))
     assert key() == key(schema=shuffled) == key(prompt=None) != key(**{part: other})
+
+
+def page_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "page_id LONG, url STRING, html STRING")
+
+
+def test_one_page_per_url(spark):
+    pages = page_rows(spark, (2, "http://x/", "<p>two</p>"), (1, "http://x/", "<p>one</p>"), (1, "http://x/", "<p>one</p>"), (3, "http://y/", "<a href='/'>x</a>"))
+    asked = spark.createDataFrame([(1, "http://x/"), (2, "http://y/"), (3, None)], "request_id INT, url STRING")
+    found = fetch_ops.fetch(asked, pages).orderBy("request_id").collect()
+    assert [(r.request_id, r.status_code) for r in found] == [(1, 200), (2, 200), (3, None)] and found[0].content.startswith("one")
+
+
+SIZED = {"type": "object", "properties": {"size": {"type": "integer"}}, "required": ["size"]}
+NAMED = {"type": "object", "properties": {"name": {"type": "string"}}, "required": ["name"]}
+
+
+def test_schema_and_content_of_each_request(spark):
+    pages = page_rows(spark, (1, "http://x/", "<p>size 5 name Bo</p>"))
+    rows = [
+        (1, "http://x/", json.dumps(SIZED), None, None, None),
+        (2, "http://x/", json.dumps(NAMED), None, None, None),
+        (3, None, json.dumps(SIZED), "size 9", "markdown", '{"a": 1}'),
+        (4, "http://x/", "{not json", None, None, None),
+        (5, "http://x/", None, None, None, None),
+        (6, "http://x/", '{"type": ["null", {}]}', None, None, None),
+        (7, "http://x/", json.dumps(SIZED), "  ", None, None),
+        (8, "http://x/", json.dumps(SIZED), "size 1", "pdf", None),
+        (9, "http://x/", json.dumps(SIZED), "size 1", None, "{cut"),
+        (10, None, json.dumps(SIZED), None, None, None),
+        (11, "http://gone/", json.dumps(SIZED), None, None, None),
+    ]
+    asked = spark.createDataFrame(rows, "request_id INT, url STRING, json_schema STRING, content STRING, content_format STRING, extraction_context STRING")
+
+    def run(df):
+        record = F.when(F.col("json_schema").contains("size"), F.to_json(F.struct(F.regexp_extract("content", "size ([0-9]+)", 1).cast("int").alias("size"))))
+        return df.withColumn("record", record.otherwise(F.to_json(F.struct(F.regexp_extract("content", "name (\\w+)", 1).alias("name")))))
+
+    empty = spark.createDataFrame([], cache_ops.CACHE_SCHEMA)
+    out = ops.extract(asked, pages, None, run, empty, F.lit("2024-01-01").cast("timestamp"))
+    got = {r.request_id: r for r in out.results.collect()}
+    assert len(got) == len(rows) and "content" not in out.results.columns
+    assert [got[k].data for k in (1, 2, 3)] == ['{"size":5}', '{"name":"Bo"}', '{"size":9}']
+    assert [got[k].status for k in range(4, 12)] == [400, 400, 400, 400, 400, 400, 400, 200]
+    assert got[11].stage == "fetch" and out.new_entries.count() == 3
+    few = ops.extract(asked.where("request_id < 3"), pages, None, run, empty, F.lit("2024-01-01").cast("timestamp"), most_schemas=1)
+    assert sorted(r.status for r in few.results.collect()) == [200, 400]

@@ -37,9 +37,32 @@ def test_lookup_join_both_ways(spark, monkeypatch):
     left = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
     right = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
     small = skew.lookup_join(left, right, ["k"], "inner", ["id"])
-    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     assert not skew.fits(right, 10) and skew.fits(right, 10**6)
-    assert rows_of(small) == rows_of(skew.skew_join(left, right, ["k"], "inner", ["id"], rows=10))
+    monkeypatch.setattr(skew, "fits", lambda df: False)
+    large = skew.lookup_join(left, right, ["k"], "inner", ["id"])
+    assert "ResolvedHint (strategy=broadcast)" not in large._jdf.queryExecution().analyzed().toString()
+    assert rows_of(small) == rows_of(large) == rows_of(skew.skew_join(left, right, ["k"], "inner", ["id"], rows=10))
+
+
+def test_null_keys_of_a_left_join_are_spread(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"))
+    right = spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = skew.skew_join(left, right, ["k"], "left", ["id"], rows=100)
+    assert rows_of(joined.select("id", "k", "v")) == rows_of(left.join(right, ["k"], "left").select("id", "k", "v"))
+    assert {row._slots for row in skew.hot_keys(left, ["k"], rows=100).where("k IS NULL").collect()} == {10}
+
+
+def test_fetch_reads_only_files_with_listed_urls(spark, tmp_path):
+    pages = spark.read.parquet(PAGES)
+    for k in range(4):
+        pages.where(f"page_id % 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path))
+    urls = stored.where("page_id = 2").select("url")
+    assert len(fetch.listed_files(stored, urls)) == 1
+    assert fetch.listed_files(spark.createDataFrame([("u", "h")], "url STRING, html STRING"), urls) is None
+    found = fetch.pages_at(stored, urls)
+    assert found.count() == 1
+    assert "file_path" in plan(found) and fetch.pages_at(stored, urls.where("1 = 0")).count() == 0
 
 
 def test_top_k_ways_agree(spark):

@@ -56,13 +56,11 @@ def check(spark, schema, mode, *records):
     return [json.loads(row.d)["data"] if row.valid else row.errors for row in found]
 
 
-def test_presence_and_null(spark):
-    schema = obj({"title": {"type": "string"}, "heading": {"type": "string"}}, ["title"])
-    assert check(spark, schema, "coerce", {"title": "Hello", "heading": "World"}, {"title": "Hello", "heading": None}, {"title": "Hello"}) == [
-        {"title": "Hello", "heading": "World"},
-        {"title": "Hello", "heading": None},
-        ["$.heading: missing"],
-    ]
+def test_optional_fields_may_be_null_but_not_absent(spark):
+    schema = obj({"port": {"type": "string"}, "depth": {"type": "number"}, "note": {"type": "string"}}, ["port"])
+    full, bare = {"port": "Kiel", "depth": 4.5, "note": "quiet"}, {"port": "Ystad", "depth": None, "note": None}
+    found = check(spark, schema, "strict", full, bare, {"port": "Riga", "note": "x"}, {"depth": 1, "note": "y"})
+    assert found == [full, bare, ["$.depth: missing"], ["$.port: missing"]]
 
 
 def test_integers(spark):

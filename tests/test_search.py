@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -113,3 +114,19 @@ def test_counts_top_and_silent_engines(spark):
     assert search.top_hit(hits(spark)).first().title == "t0"
     requested = spark.createDataFrame([("q", "e"), ("q", "f"), ("z", "e")], "query_id STRING, engine STRING")
     assert {tuple(r) for r in search.unresponsive_engines(requested, hits(spark)).collect()} == {("q", "f"), ("z", "e")}
+
+
+def test_pages_far_beyond_the_hits_are_empty(spark):
+    far = search.page_results(hits(spark), F.lit(2_000_000_000), None, F.lit(100))
+    assert far.count() == 0
+    assert search.page_results(hits(spark), 1, None, 100).count() == hits(spark).count()
+
+
+def test_json_has_every_field_and_errors_stand_alone(spark):
+    queries = spark.createDataFrame([(1, "q", 1, None, ["s"]), (2, "r", 0, "down", [])], "query_id INT, query STRING, total LONG, error STRING, suggestions ARRAY<STRING>")
+    paged = spark.createDataFrame([(1, 1, "u", None, "c", "e", ["e", "f"], [1, 2], 0.5)], "query_id INT, rank INT, url STRING, title STRING, content STRING, engine STRING, engines ARRAY<STRING>, positions ARRAY<INT>, score DOUBLE")
+    shown = {r.query_id: r.report for r in search.render_results(queries, paged, "json").collect()}
+    body = json.loads(shown[1])
+    assert body["results"] == [{"url": "u", "title": None, "content": "c", "engine": "e", "engines": ["e", "f"], "positions": [1, 2], "score": 0.5}]
+    assert body["suggestions"] == ["s"] and shown[2] == "Error: down"
+    assert search.render_results(queries.where("query_id = 2"), paged, "numbered").first().report == "Search error: down"
