@@ -16,7 +16,6 @@ from pagelake.plans.skew import fits, lookup_join, skew_join, top_k
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
 SCORE_PLACES = 10
-WORD = r"[\p{L}\p{N}]+"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -38,18 +37,25 @@ def query_needs(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.inline(F.array_distinct(F.concat(terms, several))))
 
 
+# A last token that every document has and no word equals: its counts are the documents and their lengths.
+END = ""
+
+
 def doc_words(docs: DataFrame) -> DataFrame:
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
-    return tokens.withColumn("doc_len", F.size("tokens"))
+    """Words of each document and END, and the number of words. Null text has none."""
+    found = F.coalesce(words(F.col("text")), F.array().cast("array<string>"))
+    tokens = docs.select("doc_id", F.concat(found, F.array(F.lit(END))).alias("tokens"))
+    return tokens.withColumn("doc_len", F.size("tokens") - 1)
 
 
 def unit_counts(docs: DataFrame, needs: DataFrame) -> DataFrame:
-    """(doc_id, doc_len, unit, phrase, tf) for the asked units only.
+    """(doc_id, doc_len, unit, phrase, tf) for the asked units, and for END one row per document.
 
     Every group holds one document's rows and all of them start in one task, so counts
     are complete before the shuffle.
     """
-    units = needs.select("unit", "phrase", F.split("unit", " ").alias("unit_words")).distinct()
+    end = needs.sparkSession.range(1).select(F.lit(END).alias("unit"), F.lit(False).alias("phrase"))
+    units = needs.select("unit", "phrase").unionByName(end).distinct().withColumn("unit_words", F.split("unit", " "))
     # The outer form keeps the optimizer from splitting every text once more to drop empty ones.
     tokens = doc_words(docs).select("doc_id", "doc_len", "tokens", F.posexplode_outer("tokens").alias("at", "word"))
     placed = broadcast_units(tokens, units) if fits(units) else aligned_units(tokens.drop("tokens"), units)
@@ -80,22 +86,31 @@ def match_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Matching documents per query with a BM25 score over the query's words."""
-    needs = query_needs(queries)
-    # Used three times below and small beside the corpus.
-    counts = materialize(unit_counts(docs, needs), "unit-counts")
-    doc_len = F.regexp_count("text", F.lit(WORD))
-    sizes = docs.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg(doc_len).alias("mean_len"))).scalar()
+    """Matching documents per query with a BM25 score over the query's words.
+
+    Texts are read once. A query starts from its rarest unit: only documents that have that
+    one meet the query at all, so a frequent word costs as many rows as the query's rarest.
+    """
+    needs = materialize(query_needs(queries), "query-needs")
+    counted = materialize(unit_counts(docs, needs), "unit-counts")
+    sizes = counted.where(F.col("unit") == END).agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))).scalar()
     total, mean_len = sizes["docs"], sizes["mean_len"]
-    spread = counts.where(~F.col("phrase")).groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    counts = counted.where(F.col("unit") != END)
+    spread = counts.groupBy("unit", "phrase").agg(F.count(F.lit(1)).alias("df"))
     wanted = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = needs.join(wanted, "query_id").join(spread, "unit", "left").withColumn("idf", idf)
+    asked = needs.join(wanted, "query_id").join(spread, ["unit", "phrase"], "left").withColumn("idf", idf)
+    asked = materialize(asked, "asked-units")
+    rarest = asked.groupBy("query_id").agg(F.count("df").alias("known"), F.max("wanted").alias("wanted"), F.min(F.struct("df", "unit", "phrase")).alias("r"))
+    rarest = rarest.where("known = wanted").select("query_id", "r.unit", "r.phrase")
+    begun = lookup_join(counts.select("doc_id", "unit", "phrase"), rarest, ["unit", "phrase"], "inner", ["doc_id"])
+    begun = begun.select("query_id", "doc_id")
+    pairs = lookup_join(begun, asked.drop("df"), ["query_id"], "inner", ["doc_id"])
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / mean_len))
     # Each row knows how many units its query wants, so hits of one query need not meet again.
     return (
-        lookup_join(counts, asked, ["unit", "phrase"], "inner", ["doc_id"])
+        pairs.join(counts, ["doc_id", "unit", "phrase"])
         .groupBy("query_id", "doc_id")
         .agg(
             F.count(F.lit(1)).alias("got"),

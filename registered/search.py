@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import requests as req
 from pagelake.operators import search as ops
+from pagelake.plans.reuse import materialize
 from pagelake.sources.pages import load_documents
 
 # Asked of every document: single words, pairs, quoted phrases, and one without hits.
@@ -78,8 +79,8 @@ def page_results_first(spark, sf):
 
 
 def top_hit(spark, sf):
-    hits = described(spark, sf, scored(spark, sf).withColumn("score", F.round("score", 5)))
-    return ops.top_hit(hits).select("query_id", "doc_id", "title")
+    first = ops.top_hit(scored(spark, sf).withColumn("score", F.round("score", 5)))
+    return described(spark, sf, first).select("query_id", "doc_id", "title")
 
 
 def engine_hits(spark, sf):
@@ -149,9 +150,11 @@ def snippets(spark, sf):
 
 def render(mode):
     def query(spark, sf):
-        hits = described(spark, sf, scored(spark, sf).withColumn("score", F.round("score", 5)))
+        hits = materialize(scored(spark, sf).withColumn("score", F.round("score", 5)), "hits")
         counts = ops.result_counts(asked(spark, sf), hits)
-        return ops.render_results(counts, ops.page_results(hits, max_results=10), mode)
+        # Only ids are ranked and cut; the shown ones get their text.
+        paged = described(spark, sf, ops.page_results(hits, max_results=10))
+        return ops.render_results(counts, paged.drop("score"), mode)
 
     return query
 
