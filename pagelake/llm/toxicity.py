@@ -4,7 +4,7 @@ Severity grades 0 (clean) to 3 are ordered. The model gives P(grade > k) = sigmo
 one weight vector shared by all thresholds t_1 < t_2 < t_3. Features are words and
 word beginnings of three to seven letters, with 1 + log(count) as value; they are chosen by
 their z-score between toxic and clean rows. Labels say toxic or not; the grades of toxic
-rows are thirds by how much of their text is made of words that are seldom clean.
+rows are thirds by how many words they have that are seldom clean.
 
 The model is fitted on at most MOST_LABELLED labelled rows, a hash sample of all of them.
 Everything else covers all rows: scoring is one pass over whole texts without a shuffle.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ GRADES = 4
 TOXIC_FROM = 0.3
 BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"\w+")
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 200_000
 SCORE = "struct<expected_severity double, p_toxic double, grade int>"
 
 
@@ -159,14 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_feat
     pairs = counted.select("doc_id", "toxic", F.explode(F.arrays_zip("features", "counts")).alias("x"))
     pairs = pairs.select("doc_id", "toxic", F.col("x.features").alias("feature"), F.col("x.counts").alias("n")).join(chosen, "feature")
     lists = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("used"))  # at most most_features
-    rows = counted.select("doc_id", "toxic").join(lists, "doc_id", "left").orderBy("doc_id").collect()
-    grade = np.zeros(len(rows), np.int64)
-    strength = np.array([sum(n for at, n in r["used"] or () if at in telling) for r in rows], float)
-    bad_rows = np.array([r["toxic"] > 0 for r in rows])
-    grade[bad_rows] = 1 + np.searchsorted(np.quantile(strength[bad_rows], [1 / 3, 2 / 3]), strength[bad_rows], side="left")
-    row = np.repeat(np.arange(len(rows)), [len(r["used"] or ()) for r in rows])
-    column = np.array([at for r in rows for at, _ in r["used"] or ()], np.int64)
-    value = 1 + np.log(np.array([n for r in rows for _, n in r["used"] or ()], float))
+    rows = counted.select("doc_id", "toxic").join(lists, "doc_id", "left").orderBy("doc_id")
+    rows = rows.select("toxic", F.coalesce("used.at", F.array()).alias("at"), F.coalesce("used.n", F.array()).alias("n")).toArrow()
+    toxic_rows = rows["toxic"].to_numpy() > 0
+    row = np.repeat(np.arange(len(toxic_rows)), pc.list_value_length(rows["at"]).to_numpy())
+    column, times = (pc.list_flatten(rows[name]).to_numpy().astype(np.int64) for name in ("at", "n"))
+    # Grades of toxic rows: thirds by how many telling words they have.
+    strength = np.bincount(row, times * np.isin(column, list(telling)), len(toxic_rows))
+    grade = np.zeros(len(toxic_rows), np.int64)
+    grade[toxic_rows] = 1 + np.searchsorted(np.quantile(strength[toxic_rows], [1 / 3, 2 / 3]), strength[toxic_rows], side="left")
+    value = 1 + np.log(times)
     weights, thresholds = fit_ordinal(row, column, value, grade, len(index))
     return Model({f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 1e-6}, thresholds)
 
