@@ -22,6 +22,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("top"))
+    ends = ends.unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    per_node = ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    return not per_node.where("low > 1 OR low = 1 AND top = 1").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), a < b; the root is the least node, itself not listed.
 
@@ -29,12 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path. Null ends are left out.
     """
     now = materialize(edges.where("a < b").select("a", "b").distinct(), "edges")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    while seen[0]:
+    while not _are_stars(now):
         now = materialize(_small_star(_large_star(now)), "edges")
-        found = mark(now)
-        if found == seen:
-            break
-        seen = found
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`roots` of a graph after more edges (a, b): only the classes that these edges join are worked on."""
+    top = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = edges.select("a", "b").join(top("a"), "a", "left").join(top("b"), "b", "left")
+    a, b = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    joined = components(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(old.unionByName(joined), "roots")

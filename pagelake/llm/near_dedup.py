@@ -5,21 +5,24 @@ A document is the weighted set of its five-word shingles. A shingle's weight is
 DF_BUCKETS hashed counters, so a shingle counts as no rarer than its counter's share
 of other shingles, at every corpus size alike. A sample picks one (shingle, level); two
 documents pick the same with probability equal to their weighted Jaccard similarity.
-BANDS bands of ROWS samples find candidates; the exact weighted similarity decides.
+BANDS bands of ROWS samples find candidates. All samples of a candidate pair estimate its
+similarity; unless that is DOUBT standard deviations too low, the exact weighted similarity decides.
 
 Texts with equal words are one representative from the start. In a bucket every member is
 first compared with the bucket's smallest one, which settles large groups of near copies
 with one comparison each. A member leaves when it is in the smallest one's class
 and, by the triangle inequality of the distance, can't be close to any member that is not.
-What remains is compared with growing sets of leaders until every pair of different classes in a
-bucket has been compared. So no link is lost and no bucket is expanded into all pairs of a class.
+LEADERS more of each bucket meet the open members, classes are merged, and open members of small
+buckets are compared pair by pair; those of crowded buckets (a frequent
+passage brings unlike texts together) are dealt again by FINE_KEYS longer keys from the same samples,
+and meet only there. So a group of near copies costs one comparison a member, and a
+frequent passage no more than its few alike texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,18 +31,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.components import components
-from pagelake.llm.shared import keep_judged, numbered
+from pagelake.llm.components import components, merged
+from pagelake.llm.shared import keep_judged, keep_rows, numbered
 from pagelake.plans.reuse import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 20, 6
+# A pair whose samples agree by this many standard deviations less than asked is not measured.
+DOUBT = 5.0
 DF_BUCKETS = 1 << 16
 POOL = 1 << 16
 SEED = 20100713
-FIRST_LEADERS = 64
-WORDS_KEPT = 400_000
+# Above so many open rows a bucket is dealt again by finer keys: FINE_KEYS keys of FINE_ROWS samples each.
+# Of pairs with similarity 0.8 they miss about one in two hundred, of pairs with 0.5 they pass one in sixty.
+CROWDED = 8
+# So many further rows of each bucket meet all its open ones before that.
+LEADERS = 4
+FINE_KEYS, FINE_ROWS = 300, 14
+WORDS_KEPT = 200_000
+HASHES_AT_ONCE = 24
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -62,18 +73,22 @@ class Shingler:
                 known[w] = xxhash.xxh64_intdigest(w)
             return np.array([known[w] for w in found], np.uint64)
 
-    def shingles(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct 32-bit shingle hashes, sorted, and their counts. A text of fewer words is one shingle."""
+    def stream(self, hashes: np.ndarray) -> np.ndarray:
+        """The 32-bit hash of every run of five words. A text of fewer words is one run."""
         n = len(hashes)
-        if not n:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
         size = min(SHINGLE, n)
+        if not n:
+            return np.empty(0, np.uint32)
         mixed = np.zeros(n - size + 1, np.uint64)
         for k in range(size):
             mixed += (hashes[k : n - size + 1 + k] ^ (hashes[k : n - size + 1 + k] >> np.uint64(31))) * ODD[k]
             mixed ^= mixed >> np.uint64(27)
         mixed *= MIX
-        return np.unique((mixed >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        return (mixed >> np.uint64(32)).astype(np.uint32)
+
+    def shingles(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingle hashes, sorted, and their counts."""
+        return np.unique(self.stream(hashes), return_counts=True)
 
 
 class Sampler:
@@ -90,29 +105,43 @@ class Sampler:
         scale = 1 + self.idf[shingles & np.uint32(DF_BUCKETS - 1)]
         return scale if counts is None else scale * (1 + np.log(counts)).astype(np.float32)
 
-    def band_keys(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One key per band from its `rows` samples (shingle, level)."""
+    def samples(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """One 64-bit name of a (shingle, level) per sample."""
         if self.tables is None:
             draw = np.random.default_rng(SEED)
             gamma = lambda: -np.log1p(-draw.random(POOL)) - np.log1p(-draw.random(POOL))
             odd = draw.integers(1 << 62, size=self.bands * self.rows, dtype=np.uint64) | np.uint64(1)
             self.tables = gamma().astype(np.float32), np.log(gamma()).astype(np.float32), draw.random(POOL, np.float32), odd
-        r, log_c, beta, odd = self.tables
+        r_table, c_table, beta_table, odd = self.tables
         spread = shingles.astype(np.uint64) * MIX
         spread ^= spread >> np.uint64(32)
-        at = ((spread[:, None] * odd) >> np.uint64(48)).astype(np.int64)
-        r, beta = r[at], beta[at]
-        level = np.floor(np.log(weights)[:, None] / r + beta)
-        score = log_c[at] - r * (level - beta) - r
-        best = score.argmin(0)
-        picked = shingles[best].astype(np.uint64) * ODD[0] + level[best, np.arange(len(best))].astype(np.int64).view(np.uint64)
+        log_w, picked = np.log(weights), np.empty(len(odd), np.uint64)
+        for begin in range(0, len(odd), HASHES_AT_ONCE):
+            some = odd[begin : begin + HASHES_AT_ONCE]
+            at = ((spread * some[:, None]) >> np.uint64(48)).astype(np.intp)
+            r = r_table.take(at)
+            level = log_w / r
+            level += beta_table.take(at)
+            np.floor(level, out=level)
+            score = c_table.take(at) - r * (level - beta_table.take(at) + 1)
+            best = score.argmin(1)
+            chosen = level[np.arange(len(some)), best].astype(np.int64).view(np.uint64)
+            picked[begin : begin + HASHES_AT_ONCE] = (shingles[best].astype(np.uint64) * ODD[0] + chosen) * MIX
+        return picked ^ (picked >> np.uint64(32))
+
+    def band_keys(self, picked: np.ndarray) -> np.ndarray:
+        """One key per band of `rows` samples."""
         picked = picked.reshape(self.bands, self.rows)
         key = np.arange(1, self.bands + 1).astype(np.uint64) * ODD[1]
         for k in range(self.rows):
-            key = (key ^ (picked[:, k] * MIX)) * ODD[2 + k % 3]
+            key = (key ^ picked[:, k]) * ODD[2 + k % 3]
             key ^= key >> np.uint64(29)
         return key.view(np.int64)
 
+    def doubt(self, least: float) -> float:
+        """How far an estimate may lie below the asked similarity by chance."""
+        return DOUBT * float(np.sqrt(least * (1 - least) / (self.bands * self.rows)))
+
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted shingle sets."""
@@ -132,8 +161,8 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         shingler, counters = Shingler(), np.zeros(DF_BUCKETS + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                shingles, _ = shingler.shingles(shingler.word_hashes(text.as_py()))
-                counters[np.unique(shingles & np.uint32(DF_BUCKETS - 1))] += 1
+                stream = shingler.stream(shingler.word_hashes(text.as_py()))
+                counters[np.unique(stream.astype(np.uint16))] += 1
                 counters[DF_BUCKETS] += 1
         used = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counters[used], pa.int64())], names=["bucket", "documents"])
@@ -152,29 +181,45 @@ def sampler_for(frequencies: np.ndarray, bands: int = BANDS, rows: int = ROWS) -
 
 
 def vectors(docs: DataFrame, sampler: Sampler, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the words, band keys, shingles and counts (null if all are one), row. Written once."""
+    """doc_id, digest of the words, band keys, sketch (16 bits of each sample), shingles and counts (null if all are one), row. Written once."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            digests, bands, sets, times = [], [], [], []
+            digests, bands, sketches, sets, times = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingler.word_hashes(text.as_py())
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 shingles, counts = shingler.shingles(hashes)
                 repeated = bool(len(counts)) and counts.max() > 1
-                bands.append(sampler.band_keys(shingles, sampler.weights(shingles, counts)).tolist() if len(shingles) else [])
+                picked = sampler.samples(shingles, sampler.weights(shingles, counts if repeated else None)) if len(shingles) else None
+                bands.append([] if picked is None else sampler.band_keys(picked))
+                sketches.append(b"" if picked is None else picked.astype("<u2").tobytes())
                 sets.append(shingles.astype("<u4").tobytes())
                 times.append(counts.astype("<u4").tobytes() if repeated else None)
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(times, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "bands", "shingles", "times"])
+            columns = [pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (sketches, sets, times))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "bands", "sketch", "shingles", "times"])
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return numbered(pairs.mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, shingles binary, times binary"), "near-vectors")
+    return numbered(pairs.mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, sketch binary, shingles binary, times binary"), "near-vectors")
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with the given columns of both rows. Only rows of some pair are shuffled."""
+    needed = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    used = keep_rows(rows.select("row", *columns), needed, "left_semi", "row")
+    side = lambda end: used.select(F.col("row").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sampler: Sampler) -> DataFrame:
-    """The pairs (a, b) with their exact weighted similarity. `sets` has row, shingles, times."""
+def measured(pairs: DataFrame, rows: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) with `similarity`: exact where the estimate leaves doubt, else an upper bound below `least`."""
+    margin = sampler.doubt(least)
+
+    @F.pandas_udf("double")
+    def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
+        load = lambda raw: np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), -1)
+        return pd.Series((load(a) == load(b)).mean(1))
 
     @F.pandas_udf("double")
     def measure(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
@@ -184,47 +229,84 @@ def verified(pairs: DataFrame, sets: DataFrame, sampler: Sampler) -> DataFrame:
 
         return pd.Series([similarity(*load(a, x), *load(b, y)) for a, x, b, y in zip(sa, ta, sb, tb)])
 
-    side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"s{end}"), F.col("times").alias(f"t{end}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.select("a", "b", measure("sa", "ta", "sb", "tb").alias("similarity"))
+    guessed = _of_pairs(rows, pairs, ["sketch"]).select("a", "b", estimate("sketch_a", "sketch_b").alias("guess"))
+    guessed = materialize(guessed, "near-guessed")
+    likely = _of_pairs(rows, guessed.where(F.col("guess") >= least - margin).select("a", "b"), ["shingles", "times"])
+    exact = likely.select("a", "b", measure("shingles_a", "times_a", "shingles_b", "times_b").alias("similarity"))
+    rest = guessed.where(F.col("guess") < least - margin).select("a", "b", (F.col("guess") + margin).alias("similarity"))
+    return materialize(exact.unionByName(rest), "near-pairs")
 
 
-def near_links(reps: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
+def near_links(reps: DataFrame, rows: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
     """Components (node, root) of the representatives under similarity of at least `least`.
 
-    `reps` is a written table: row, bands, shingles, times.
+    `reps` has row and bands; `rows` is the written table of `vectors`.
     """
     spots = reps.select("row", F.explode("bands").alias("bucket"))
     leaders = spots.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(spots.join(leaders, "bucket"), "near-buckets")
     far = 1 - least
     first = members.where("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
-    seen = [materialize(verified(first, reps.drop("bands"), sampler), "near-pairs")]
-    roots = components(seen[0].where(F.col("similarity") >= least))
+    stars_measured = measured(materialize(first, "near-stars"), rows, sampler, least)
+    roots = components(stars_measured.where(F.col("similarity") >= least))
 
     def classed(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    measured = members.where("row <> leader").join(seen[0].select(F.col("a").alias("leader"), F.col("b").alias("row"), "similarity"), ["leader", "row"])
-    measured = classed(classed(measured, "row", "own"), "leader", "theirs").withColumn("apart", 1 - F.col("similarity"))
-    outside = measured.where("own <> theirs").groupBy("bucket").agg(F.min("apart").alias("nearest"))
-    stay = measured.join(outside, "bucket").where((F.col("own") != F.col("theirs")) | (F.col("apart") >= F.col("nearest") - far))
-    active = materialize(stay.select("bucket", "row"), "near-open")
-    width = FIRST_LEADERS
-    while True:
-        crowded = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        active = classed(active.join(crowded, "bucket"), "row", "own")
-        ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("row"))).where(F.col("rank") <= width)
-        ahead = materialize(ranked, "near-leaders")
-        if not ahead.head(1):
-            return roots
-        theirs = ahead.select("bucket", F.col("row").alias("a"), F.col("own").alias("class_a"))
-        pairs = active.select("bucket", F.col("row").alias("b"), "own").join(theirs, "bucket").where("a < b AND own <> class_a").select("a", "b").distinct()
-        known = reduce(DataFrame.unionByName, [s.select("a", "b") for s in seen])
-        seen.append(materialize(verified(pairs.join(known, ["a", "b"], "left_anti"), reps.drop("bands"), sampler), "near-pairs"))
-        active = materialize(active.join(ahead.select("bucket", "row"), ["bucket", "row"], "left_anti").select("bucket", "row"), "near-open")
-        roots = components(reduce(DataFrame.unionByName, seen).where(F.col("similarity") >= least))
-        width *= 2
+    stars = members.where("row <> leader").join(stars_measured.select(F.col("a").alias("leader"), F.col("b").alias("row"), "similarity"), ["leader", "row"])
+    stars = classed(classed(stars, "row", "own"), "leader", "theirs").withColumn("apart", 1 - F.col("similarity"))
+    stars = materialize(stars, "near-measured")
+    outside = stars.where("own <> theirs").groupBy("bucket").agg(F.min("apart").alias("nearest"))
+    stay = stars.join(outside, "bucket").where((F.col("own") != F.col("theirs")) | (F.col("apart") >= F.col("nearest") - far))
+    active = materialize(stay.select("bucket", "row", "own"), "near-open")
+    known = stars_measured.select("a", "b")
+
+    def mixed(df: DataFrame) -> DataFrame:
+        """The open rows of buckets that hold several classes, with the bucket's size."""
+        sizes = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("x"), F.max("own").alias("y"))
+        return materialize(df.join(sizes.where("x <> y").select("bucket", "n"), "bucket"), "near-open")
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        """The pairs of different classes in a bucket that were not measured yet."""
+        sides = [df.select("bucket", F.col("row").alias(end), F.col("own").alias(f"own_{end}")) for df, end in ((one, "a"), (two, "b"))]
+        pairs = sides[0].join(sides[1], "bucket").where("a < b AND own_a <> own_b").select("a", "b").distinct()
+        return materialize(pairs.join(known, ["a", "b"], "left_anti"), "near-pairs")
+
+    # A few more leaders merge most of what belongs together.
+    active = mixed(active)
+    ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("row")))
+    ahead = materialize(ranked.where(F.col("rank") <= LEADERS), "near-leaders")
+    more = measured(met(ahead, active), rows, sampler, least)
+    known = known.unionByName(more.select("a", "b"))
+    roots = merged(roots, more.where(F.col("similarity") >= least))
+    rest = active.join(ahead.select("bucket", "row"), ["bucket", "row"], "left_anti").select("bucket", "row")
+    active = mixed(classed(rest, "row", "own"))
+    small = active.where(F.col("n") <= CROWDED).select("bucket", "row", "own")
+    crowd = materialize(active.where(F.col("n") > CROWDED).select("row", "own").distinct(), "near-crowd")
+    sketches = keep_rows(rows.select("row", "sketch"), crowd.select("row"), "left_semi", "row").join(crowd, "row")
+    fine = sketches.select(F.explode(finer_keys(F.col("sketch"))).alias("bucket"), "row", "own")
+    open_rows = small.unionByName(fine)
+    last = measured(met(open_rows, open_rows), rows, sampler, least)
+    return merged(roots, last.where(F.col("similarity") >= least))
+
+
+def finer_keys(sketch: Column) -> Column:
+    """FINE_KEYS keys of a sketch, each of FINE_ROWS of its samples."""
+    draw = np.random.default_rng(SEED + 1)
+    subsets = np.stack([draw.choice(BANDS * ROWS, FINE_ROWS, replace=False) for _ in range(FINE_KEYS)])
+    odd = draw.integers(1 << 62, size=FINE_ROWS, dtype=np.uint64) | np.uint64(1)
+
+    @F.pandas_udf("array<long>")
+    def keys(raw: pd.Series) -> pd.Series:
+        out = []
+        for begin in range(0, len(raw), 256):
+            values = np.frombuffer(b"".join(raw[begin : begin + 256]), "<u2").reshape(-1, BANDS * ROWS).astype(np.uint64)
+            mixed = ((values[:, subsets] + np.uint64(1)) * odd).sum(2, dtype=np.uint64)
+            mixed = (mixed ^ (mixed >> np.uint64(31)) ^ (np.arange(FINE_KEYS, dtype=np.uint64) * MIX)) * ODD[1]
+            out.extend(mixed.view(np.int64))
+        return pd.Series(out)
+
+    return keys(sketch)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,8 +323,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     same = rows.groupBy("digest").agg(F.min(order).alias("best"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
     same = materialize(same, "near-same")
-    reps = materialize(rows.join(same.select("row"), "row", "left_semi").select("row", "bands", "shingles", "times"), "near-representatives")
-    roots = near_links(reps, sampler, least)
+    reps = rows.select("row", "bands").join(same.select("row"), "row", "left_semi")
+    roots = near_links(reps, rows, sampler, least)
     owned = same.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     whole = owned.groupBy("root").agg(F.min("best").alias("kept"), F.sum("n").alias("class_size"))
     classes = owned.select("digest", "root").join(whole, "root").select("digest", F.col("kept.doc_id").alias("class_id"), F.col("kept.row").alias("kept_row"), "class_size")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelake.llm import exact_dedup, near_dedup, queries
-from pagelake.llm.components import components
+from pagelake.llm.components import components, merged
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,7 +82,7 @@ def test_near_duplicates_lose_no_link(spark, documents):
 
 
 def test_chains_and_crowded_buckets_are_settled(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FIRST_LEADERS", 2)
+    monkeypatch.setattr(near_dedup, "CROWDED", 2)
     base = [f"w{k}" for k in range(200)]
     rows, n = [], 0
     for chain in range(6):  # each step changes some words, so ends of a chain are far apart
@@ -117,7 +117,7 @@ def test_similarity_of_samples_follows_weighted_jaccard():
     a = np.unique(draw.integers(1 << 32, size=300, dtype=np.uint64).astype(np.uint32))
     b = np.unique(np.concatenate([a[:240], draw.integers(1 << 32, size=60, dtype=np.uint64).astype(np.uint32)]))
     wa, wb = sampler.weights(a, None), sampler.weights(b, None)
-    same = (sampler.band_keys(a, wa) == sampler.band_keys(b, wb)).mean()
+    same = (sampler.samples(a, wa) == sampler.samples(b, wb)).mean()
     assert abs(same - near_dedup.similarity(a, wa, b, wb)) < 0.08
 
 
@@ -126,6 +126,8 @@ def test_components_of_a_long_path(spark):
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {107: 100, 101: 100}
     assert components(edges.where("1 = 0")).count() == 0
+    parts = components(edges.where("a % 2 = 0"))
+    assert {r.node: r.root for r in merged(parts, edges.where("a % 2 = 1")).collect()} == found
 
 
 def test_registered_columns(spark):
