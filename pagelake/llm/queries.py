@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelake.llm import decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, sharding, toxicity, url_filter
-from pagelake.llm.shared import table
+from pagelake.llm.shared import LOWER, UPPER, table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 # Parts of host names whose pages make up the list in op5; a real list is a table of its own.
@@ -99,7 +99,33 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+def rules_sql(says: bool) -> str:
+    """The longest fitting rule, or its verdict, as SQL over host and path."""
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, _, start = rule.partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{verdict if says else rule}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
 ORACLES = {
+    "op5_url_filter": f"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))) AS params
+  FROM p
+), c AS (
+  SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+  FROM h
+), l AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND regexp_matches(host, '{LISTED_PARTS}'))
+SELECT page_id, host, path, {rules_sql(False)} AS rule, l.canonical IS NOT NULL AS listed,
+  coalesce({rules_sql(True)}, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN l ON c.canonical = l.canonical""",
     "op7_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
