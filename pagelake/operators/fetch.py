@@ -93,6 +93,8 @@ def truncate(df: DataFrame, limit, column: str = "content") -> DataFrame:
     )
 
 
+# What a page table may tell of the response that a page came with.
+RESPONSE_COLUMNS = ["status_code", "headers"]
 # Above so many files a list of them is no cheaper than the scan.
 MOST_FILES = 2_000
 
@@ -137,26 +139,32 @@ def pages_at(pages: DataFrame, urls: DataFrame) -> DataFrame:
     if files is not None:
         pages = pages.where(F.col("_metadata.file_path").isin(files)) if files else pages.where(F.lit(False))
     listed = keep_listed(pages, urls, ["url"])
-    return with_links_section(parse_pages(one_page_per_url(listed).select("url", "html")))
+    told = [name for name in RESPONSE_COLUMNS if name in pages.columns]
+    return with_links_section(parse_pages(one_page_per_url(listed).select("url", "html", *told)))
 
 
 def fetch(requests: DataFrame, pages: DataFrame, limit: Column | int | None = None, id_column: str = "request_id") -> DataFrame:
     """Each request's page as clean text, or an error row.
 
     `content_length` counts the cut content; `full_length` the content before the cut.
-    A fixed limit is applied once per page, before the page meets its requests.
+    A fixed limit is applied once per page, before the page meets its requests. Pages with
+    a `status_code` give it to the result, 400 and above as an error; `headers` come along.
     """
+    told = [name for name in RESPONSE_COLUMNS if name in pages.columns]
     found = pages_at(pages, requests.select("url").distinct()).select(
         "url", "content", F.col("content_length").alias("full_length"), "original_content_length",
-        "title", "heading", "error", F.lit(True).alias("_found"),
+        "title", "heading", "error", *told, F.lit(True).alias("_found"),
     )
+    if "status_code" in told:
+        refused = F.when(F.col("status_code") >= 400, F.concat(F.lit(settings.HTTP_ERROR), F.col("status_code").cast("string")))
+        found = found.withColumn("error", F.coalesce(refused, "error")).withColumn("content", F.when(refused.isNull(), F.col("content")))
     if not isinstance(limit, Column):
         found = truncate(found, limit)
     joined = skew_join(requests, found, ["url"], "left", [id_column])
     failed = F.when(F.col("_found").isNull(), F.lit(settings.PAGE_NOT_FOUND)).otherwise(F.col("error"))
     rows = (
         joined.withColumn("error", failed)
-        .withColumn("status_code", F.when(F.col("error").isNull(), F.lit(200)))
+        .withColumn("status_code", F.coalesce("status_code", F.when(F.col("error").isNull(), 200)) if "status_code" in told else F.when(F.col("error").isNull(), F.lit(200)))
         .drop("_found")
     )
     return truncate(rows, limit) if isinstance(limit, Column) else rows

@@ -43,6 +43,7 @@ SIDECAR_TOO_LONG = "content exceeds EXTRACT_MAX_LENGTH ({limit} Unicode code uni
 FORMAT_INVALID = 'content_format must be one of: "txt", "markdown", "html"'
 MODE_INVALID = 'validation_mode must be "strict" or "coerce"'
 FETCH_ERROR = "Fetch error: "
+HTTP_ERROR = "HTTP Error "
 SEARCH_ERROR = "Search error: "
 RESPONSE_ERROR = "Error: "
 EXTRACTION_FAILED = "extraction failed: "

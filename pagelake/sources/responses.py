@@ -73,6 +73,14 @@ def decode_responses(responses: DataFrame, body: str = "body", headers: str = "h
     return prepared.mapInArrow(decode_batches, schema)
 
 
+def pages_from_responses(raw: DataFrame, body: str = "body", headers: str = "headers") -> DataFrame:
+    """Raw responses (url, body, headers, status_code and others) as a page table for fetch, crawl and extract.
+
+    The page's html is the decoded body; a body that cannot be decoded leaves a page without html.
+    """
+    return decode_responses(raw, body, headers).withColumnRenamed("text", "html").drop("error")
+
+
 def read_body(raw: bytes, encoding: str | None) -> bytes:
     if encoding in GZIP_NAMES or raw.startswith(GZIP_MAGIC):
         return gzip.decompress(raw)

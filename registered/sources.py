@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagelake.functions.sql import register
 from pagelake.operators import cache as cache_ops
+from pagelake.operators import fetch as fetch_ops
 from pagelake.operators.extract import rule_extractor
 from pagelake.plans.reuse import scratch_path
 from pagelake.plans.session import STATE_STORE
@@ -58,6 +59,19 @@ def decode_responses(spark, sf):
     return decoded.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
 
 
+def fetch_responses(spark, sf):
+    """Every page as a packed response, a tenth of them refused; each fetched with its status and type."""
+    refused = F.col("page_id") % 10 == 0
+    kind = F.when(F.col("page_id") % 2 == 0, "text/html; charset=utf-8").otherwise("text/html")
+    raw = pages(spark, sf).select(
+        "page_id", "url", compress(F.encode("html", "UTF-8"), F.lit("gzip")).alias("body"),
+        F.create_map(F.lit("Content-Type"), kind).alias("headers"), F.when(refused, 404).otherwise(200).alias("status_code"),
+    )
+    asked = pages(spark, sf).select(F.col("page_id").alias("request_id"), "url")
+    found = fetch_ops.fetch(asked, responses.pages_from_responses(raw))
+    return found.select("request_id", "status_code", "error", "content", F.col("headers")["Content-Type"].alias("kind"))
+
+
 def envelopes(spark, sf):
     """A search response per document: its lines are the hits. Some responses are cut off."""
     line = F.struct(
@@ -219,6 +233,7 @@ def streamed_extract(spark, sf):
 
 QUERIES = {
     "decode_responses": decode_responses,
+    "fetch_responses": fetch_responses,
     "parse_envelopes": parse_envelopes,
     "explode_results": explode_results,
     "explode_answers": explode_answers,
@@ -241,6 +256,9 @@ LINES_CTE = """lines AS (SELECT doc_id, source, lang, unnest(ls) AS title, gener
 CATALOG_CTE = """sources AS (SELECT source AS name, count(*) AS docs FROM documents GROUP BY source)"""
 ORACLES = {
     "decode_responses": """SELECT doc_id, CASE WHEN doc_id % 7 <> 6 THEN text END AS text, doc_id % 7 = 6 AS failed FROM documents""",
+    "fetch_responses": f"""WITH {PAGE_CTES} SELECT page_id AS request_id, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status_code,
+      CASE WHEN page_id % 10 = 0 THEN 'HTTP Error 404' END AS error, CASE WHEN page_id % 10 > 0 THEN content END AS content,
+      CASE WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS kind FROM fetched""",
     "parse_envelopes": """SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'query ' || doc_id END AS query,
       CASE WHEN doc_id % 13 <> 0 THEN len(string_split(text, chr(10))) END AS number_of_results,
       CASE WHEN doc_id % 13 <> 0 THEN CAST(len(string_split(text, chr(10))) AS INT) END AS hits,
