@@ -52,10 +52,19 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spre
     return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
 
 
+def field_bytes(field: T.StructField) -> Column:
+    """About how many bytes a value takes: its text, or its JSON, or eight."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(field.dataType, T.AtomicType):
+        return F.lit(8)
+    return F.octet_length(F.to_json(F.struct(value)))
+
+
 def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether the whole table, measured, is small enough to send to every executor."""
-    texts = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.octet_length(F.to_json(F.struct(f.name))) if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType) else F.lit(8) for f in df.schema.fields]
-    size = df.agg(F.sum(reduce(Column.__add__, texts))).first()[0]
+    size = df.agg(F.sum(reduce(Column.__add__, map(field_bytes, df.schema.fields)))).first()[0]
     return (size or 0) <= max_bytes
 
 
