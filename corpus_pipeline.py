@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from pagelake.llm.queries import vocabulary
-from pagelake.llm.shared import table
+from pagelake.llm.shared import small_batches, table
 from pagelake.plans.reuse import materialize
 
 
@@ -23,11 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -38,6 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    small_batches(spark)
     return packing.pack_documents(docs, **vocabulary())
 
 

@@ -49,7 +49,7 @@ CROWDED = 8
 # So many further rows of each bucket meet all its open ones before that.
 LEADERS = 4
 FINE_KEYS, FINE_ROWS = 300, 14
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 HASHES_AT_ONCE = 24
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)

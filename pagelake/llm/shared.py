@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagelake.plans.reuse import materialize
 
+# Documents are wide rows: a batch between Spark and Python holds so many at most.
+ROWS_PER_BATCH = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A window task ranks about as many rows.
 ROWS_PER_SLICE = 250_000
@@ -14,7 +17,15 @@ ROWS_PER_SLICE = 250_000
 BROADCAST_IDS = 1_000_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches hold ROWS_PER_BATCH rows at most; smaller settings stay."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= ROWS_PER_BATCH:
+        spark.conf.set(BATCH_SETTING, ROWS_PER_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, with the session set for wide rows."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

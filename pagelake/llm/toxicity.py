@@ -35,7 +35,7 @@ GRADES = 4
 TOXIC_FROM = 0.3
 BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"\w+")
-CHUNKS_KEPT = 200_000
+CHUNKS_KEPT = 150_000
 SCORE = "struct<expected_severity double, p_toxic double, grade int>"
 
 
