@@ -139,7 +139,9 @@ class Matcher:
 def with_notice(docs: DataFrame, matcher: Matcher, text_col: str = "text", name: str = "notice") -> DataFrame:
     @F.pandas_udf(NOTICE)
     def notice(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([matcher.notice(t) or {} for t in texts], columns=["license", "cosine", "start", "stop"])
+        found = [matcher.notice(t) or {} for t in texts]
+        kinds = {"license": "object", "cosine": "Float64", "start": "Int32", "stop": "Int32"}  # batches without any notice as well
+        return pd.DataFrame({name: pd.Series([f.get(name) for f in found], dtype=kind) for name, kind in kinds.items()})
 
     return docs.withColumn(name, notice(F.col(text_col).cast("string"))).withColumn(name, F.when(F.col(f"{name}.license").isNotNull(), F.col(name)))
 
