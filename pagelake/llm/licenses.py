@@ -1,10 +1,13 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
 A notice is a span of words; its vector is tf * idf over its words, with document frequencies
-counted over all documents. Words in more than a third of the documents weigh nothing, so a
-span without a telling template word has cosine 0 and need not be looked at: telling words
-near each other make a cluster, and the best span of a cluster is the notice. Licence files are
-clusters as well, as long as they may be. A file without a notice inherits from the
+counted over all documents. Every word weighs something, however common, so a notice that stands in
+all documents is found like a rare one. Which spans are compared follows from the templates alone:
+a span begins and ends with words of its template (others at its ends only lower the cosine), is at most
+1 / least ** 2 times as long (a longer one can't reach the least cosine unless its other words are lighter)
+and holds the template's licence names where the template is too short to do without.
+Starts whose words to come make up too little of the template are left out; they can't reach
+the cosine either. A file without a notice inherits from the
 licence file of its nearest ancestor directory; that is worked out once per directory.
 """
 
@@ -24,9 +27,7 @@ from pagelake.llm.shared import numbered
 from pagelake.plans.reuse import materialize
 
 LEAST_COSINE = 0.6
-GAP = 30
-MOST_SPANS = 40
-COMMON_SHARE = 1 / 3
+SHORT = 16
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -52,6 +53,8 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 ]
+# A template of at most SHORT words stands for a licence by these; without them 'under the License, version 2.0' would do.
+NAMES = frozenset("mit apache gnu lesser affero bsd clause mozilla unencumbered cc0 cc sa nc nd".split())
 NOTICE = "struct<license string, cosine double, start int, stop int>"
 
 
@@ -82,58 +85,70 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]], frequencies: dict[str, int], documents: int, least: float = LEAST_COSINE):
         self.least = least
         self.unknown = math.log(1 + documents) + 1  # a word that no template has
-        self.idf = {
-            w: 0.0 if frequencies.get(w, 0) > COMMON_SHARE * max(documents, 3) else math.log((1 + documents) / (1 + frequencies.get(w, 0))) + 1
-            for w in vocabulary(templates)
-        }
-        self.templates = []
+        self.idf = {w: math.log((1 + documents) / (1 + frequencies.get(w, 0))) + 1 for w in vocabulary(templates)}
+        self.templates = []  # (licence, most words of a span, weights, names that a span must hold)
         for name, text in templates:
-            vector = self.vector(WORD.findall(text.lower()))
+            words = WORD.findall(text.lower())
+            vector = {w: n * self.idf[w] for w, n in Counter(words).items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
             if norm:
-                self.templates.append((name, len(WORD.findall(text.lower())), {w: x / norm for w, x in vector.items()}))
-        self.telling = frozenset(w for w, x in self.idf.items() if x)
-
-    def vector(self, words: list[str]) -> dict[str, float]:
-        return {w: n * self.idf.get(w, self.unknown) for w, n in Counter(words).items()}
-
-    def best(self, words: list[str]) -> tuple[float, str]:
-        vector = self.vector(words)
-        norm = math.sqrt(sum(x * x for x in vector.values()))
-        found = [(sum(x * t.get(w, 0.0) for w, x in vector.items()) / norm, name) for name, _, t in self.templates] if norm else []
-        return max(found, key=lambda f: f[0], default=(0.0, ""))
-
-    def spans(self, hits: list[int]) -> list[tuple[int, int]]:
-        """Spans to compare in a cluster: all between two hits of a short one; of a long one the whole
-        and, from every hit, runs as long as each template."""
-        if len(hits) <= MOST_SPANS:
-            return [(a, b + 1) for k, a in enumerate(hits) for b in hits[k:]]
-        sizes = {n for _, n, _ in self.templates}
-        return [(hits[0], hits[-1] + 1), *[(a, min(a + n, hits[-1] + 1)) for a in hits for n in sizes]]
+                names = NAMES.intersection(words) if len(words) <= SHORT else frozenset()
+                self.templates.append((name, math.ceil(len(words) / least**2), {w: x / norm for w, x in vector.items()}, names))
+
+    def starts(self, hits: list[tuple[int, str]], template: tuple) -> Iterator[int]:
+        """Starts of spans that may reach the least cosine: by Cauchy and Schwarz it is at most the
+        norm of what the template's words in the span make up of the template."""
+        _, length, weights, names = template
+        own = [(k, w) for k, w in hits if w in weights]
+        counts: Counter = Counter()
+        share, stop = 0.0, 0
+        for k, w in own:
+            while stop < len(own) and own[stop][0] < k + length:
+                if not counts[own[stop][1]]:
+                    share += weights[own[stop][1]] ** 2
+                counts[own[stop][1]] += 1
+                stop += 1
+            if share >= self.least**2 - 1e-9 and all(counts[n] for n in names):
+                yield k
+            counts[w] -= 1
+            if not counts[w]:
+                share -= weights[w] ** 2
+
+    def extent(self, words: list[str], start: int, limit: int, template: tuple) -> tuple[float, int]:
+        """Cosine and stop of the best span from a start, at most up to the limit; the shortest of equals."""
+        _, length, weights, names = template
+        counts: dict[str, int] = {}
+        missing, dot, square, best = set(names), 0.0, 0.0, (0.0, start)
+        for k in range(start, min(start + length, limit)):
+            w = words[k]
+            n, x = counts.get(w, 0), self.idf.get(w, self.unknown)
+            counts[w] = n + 1
+            square += (2 * n + 1) * x * x
+            if w in weights:
+                dot += x * weights[w]
+                missing.discard(w)
+                if not missing and dot > (best[0] + 1e-9) * math.sqrt(square):
+                    best = (dot / math.sqrt(square), k + 1)
+        return best
 
     def notice(self, text: str | None) -> dict | None:
         """The best notice of a whole text (the first of equals), with its place in characters."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        if self.telling.isdisjoint(words):
-            return None
-        hits = [k for k, w in enumerate(words) if w in self.telling]
-        clusters, begin = [], 0
-        for k in range(1, len(hits) + 1):
-            if k == len(hits) or hits[k] - hits[k - 1] > GAP:
-                clusters.append(hits[begin:k])
-                begin = k
-        best = (self.least, "", 0, 0)
-        for cluster in clusters:
-            for a, b in self.spans(cluster):
-                cosine, name = self.best(words[a:b])
-                if cosine > best[0] or cosine == best[0] and not best[1] and cosine >= self.least:
-                    best = (cosine, name, a, b)
-        cosine, name, a, b = best
-        if not name:
+        hits = [(k, w) for k, w in enumerate(words) if w in self.idf]
+        known = {w for _, w in hits}
+        best = (self.least - 2e-9, 0, 0, 0)
+        for t, template in enumerate(self.templates):
+            if template[3] <= known and sum(x * x for w, x in template[2].items() if w in known) >= self.least**2 - 1e-9:
+                for start in self.starts(hits, template):
+                    cosine, stop = self.extent(words, start, len(words), template)
+                    if cosine > best[0] + 1e-9 or best[2] and cosine > best[0] - 1e-9 and start < best[1]:
+                        best = (cosine, start, stop, t)
+        cosine, a, b, t = best
+        if not b:
             return None
         places = [m.span() for m in WORD.finditer(low)][a:b]
-        return {"license": name, "cosine": round(cosine, 6), "start": places[0][0], "stop": places[-1][1]}
+        return {"license": self.templates[t][0], "cosine": round(cosine, 6), "start": places[0][0], "stop": places[-1][1]}
 
 
 def with_notice(docs: DataFrame, matcher: Matcher, text_col: str = "text", name: str = "notice") -> DataFrame:

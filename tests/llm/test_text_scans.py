@@ -204,6 +204,26 @@ def test_long_licence_files_and_odd_rows(spark, odd, empty):
     assert licenses.scan_licenses(empty, F.lit("x")).count() == 0
 
 
+def test_notices_in_every_document_are_found(spark):
+    """The share of documents that carry a notice doesn't decide whether it is found."""
+    lines = {k: text for k, (_, text) in enumerate(licenses.TEMPLATES)}
+    for share in (1, 3, 10):
+        for k, line in lines.items():
+            texts = [f"alpha{n} beta{n} gamma{n}. {line} delta{n}" if n % share == 0 else f"under the license, version 2.0, work {n}" for n in range(30)]
+            terms, words = licenses.vocabulary(licenses.TEMPLATES), [set(licenses.WORD.findall(t.lower())) for t in texts]
+            matcher = licenses.Matcher(licenses.TEMPLATES, {w: sum(w in own for own in words) for w in terms}, len(texts))
+            for n, text in enumerate(texts):
+                found = matcher.notice(text)
+                if n % share == 0:
+                    assert found["license"] == licenses.TEMPLATES[k][0] and found["cosine"] == 1
+                    assert text[found["start"] : found["stop"]] in line
+                else:
+                    assert found is None
+    rows = [(n, f"# Licensed under the Apache License, Version 2.0.\nx{n} = {n}") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.license for r in licenses.scan_licenses(docs, F.lit("x")).collect()} == {"Apache-2.0"}
+
+
 def test_inheritance_from_the_nearest_ancestor(spark):
     rows = [("LICENSE", "MIT"), ("a/LICENSE.txt", "ISC"), ("a/COPYING", "GPL-3.0"), ("a/x.py", None), ("a/b/y.py", None), ("a/b/own.py", "BSD-3-Clause"), ("c/d/e.py", None), ("top.py", None), (None, None), (None, "MIT"), ("a/b/notice.py", "MIT")]
     files = spark.createDataFrame(rows, "path string, license string")
