@@ -6,7 +6,10 @@ Goldenberg and Koucky): both strings are read with the same random bits, which d
 output symbol whether to advance, so strings a few edits apart give outputs a few positions
 apart in Hamming distance. A repetition samples BITS output positions and passes a window whose
 samples equal the item's. The number of repetitions is set on the benchmark itself: edited
-copies of its items are made until the share that passes reaches the target recall.
+copies of its items are made until the share that passes reaches the target recall; the walk drifts
+the more, the longer an item is, and a length class that MOST_REPETITIONS don't bring to the target does
+without it. What the walk leaves open is not dropped: a window that holds all of its item's words
+but as many as may be edited passes as well, so no leak is lost to chance.
 Windows that pass are verified by an exact alignment of the item inside its surroundings.
 
 Which windows are looked at loses nothing: k edits leave a run of at least
@@ -117,7 +120,8 @@ class Detector:
             self.classes.setdefault(int(len(symbols) - 1).bit_length(), []).append(k)
         self.class_of = {k: c for c, members in self.classes.items() for k in members}
         self.embedded = {c: self.embed_items(c, 1) for c in self.classes}
-        self.repetitions = {c: self.calibrate(c, target) for c in self.classes}
+        self.reached = {c: self.calibrate(c, target) for c in self.classes}  # repetitions, recall of the walk on edited copies
+        self.repetitions = {c: r if recall >= target else 0 for c, (r, recall) in self.reached.items()}  # 0: no walk
         self.embedded = {c: self.embed_items(c, self.repetitions[c]) for c in self.classes}
 
     def keys(self, symbols: np.ndarray, g: int) -> np.ndarray:
@@ -144,8 +148,8 @@ class Detector:
         table = self.padded([self.items[k][1] for k in self.classes[c]], c)
         return [walk(table, self.samples(c, r), r) for r in range(repetitions)]
 
-    def calibrate(self, c: int, target: float) -> int:
-        """Repetitions until the target share of edited copies passes in at least one.
+    def calibrate(self, c: int, target: float) -> tuple[int, float]:
+        """Repetitions until the target share of edited copies passes in at least one, MOST_REPETITIONS at most, and that share.
 
         A copy has as many random edits as are allowed and stands at the place that one of
         its whole grams gives, as in a search.
@@ -181,17 +185,17 @@ class Detector:
                 owner.append((m, which))
             which += bool(places)
         if not copies:
-            return 1
+            return 1, 1.0
         rows = self.padded(copies, c)
         items, trial = (np.array(x) for x in zip(*owner))
         passed = np.zeros(which, bool)
         for r in range(MOST_REPETITIONS):
-            steps = self.samples(c, r)
-            same = (walk(rows, steps, r) == walk(table, steps, r)[items]).all(1)
-            passed[trial[same]] = True
+            steps, left = self.samples(c, r), np.flatnonzero(~passed[trial])
+            same = (walk(rows[left], steps, r) == walk(table, steps, r)[items[left]]).all(1)
+            passed[trial[left[same]]] = True
             if passed.mean() >= target:
-                return r + 1
-        return MOST_REPETITIONS
+                break
+        return r + 1, float(passed.mean())
 
     def windows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and places (window starts, may be negative) that a gram of the document gives."""
@@ -214,14 +218,30 @@ class Detector:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
+    def region(self, k: int, p: int) -> tuple[int, int]:
+        """Where a run may lie that is a leak of item k and has one of its whole grams give place p."""
+        n, most = len(self.items[k][1]), allowed(len(self.items[k][1]), self.edits)
+        return max(0, p - most), max(0, p) + n + 2 * most
+
+    def holding(self, symbols: list[np.ndarray], doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows have all words of their item around them but as many as may be edited; no leak lacks more."""
+        seen, result = np.zeros(self.base, bool), np.zeros(len(doc), bool)
+        for w, (d, k, p) in enumerate(zip(doc.tolist(), item.tolist(), place.tolist())):
+            wanted, (low, high) = self.items[k][1], self.region(k, p)
+            around = symbols[d][low:high]
+            seen[around] = True
+            result[w] = np.count_nonzero(seen[wanted]) >= len(wanted) - allowed(len(wanted), self.edits)
+            seen[around] = False
+        return result
+
     def passing(self, symbols: list[np.ndarray], doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all samples of some repetition."""
+        """Which windows agree with their item in all samples of some repetition, or else hold enough of its words."""
         passed = np.zeros(len(doc), bool)
         classes = np.array([self.class_of[k] for k in range(len(self.items))], np.int64)
         for c, members in self.classes.items():
             of_class = np.flatnonzero(classes[item] == c)
             row_of = {k: r for r, k in enumerate(members)}
-            for part in np.array_split(of_class, -(-len(of_class) // WINDOWS_AT_ONCE)) if len(of_class) else ():
+            for part in np.array_split(of_class, -(-len(of_class) // WINDOWS_AT_ONCE)) if len(of_class) and self.repetitions[c] else ():
                 rows = []
                 for d, k, p in zip(doc[part], item[part], place[part]):
                     n, text = len(self.items[k][1]), symbols[d]
@@ -236,6 +256,8 @@ class Detector:
                     open_rows = open_rows[~same]
                     if not len(open_rows):
                         break
+        rest = np.flatnonzero(~passed)
+        passed[rest] = self.holding(symbols, doc[rest], item[rest], place[rest])
         return passed
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -260,8 +282,8 @@ class Detector:
                 continue
             wanted, text = self.items[k][1], symbols[d]
             most = allowed(len(wanted), self.edits)
-            low = max(0, p - most)
-            distance, start, stop = fit_distance(wanted, text[low : max(0, p) + len(wanted) + 2 * most])
+            low, high = self.region(k, p)
+            distance, start, stop = fit_distance(wanted, text[low:high])
             if distance <= most and (known is None or distance < known[0]):
                 best[d, k] = (distance, low + start, low + stop)
         for (d, k), (distance, start, stop) in sorted(best.items()):

@@ -157,6 +157,27 @@ def test_edited_copies_reach_the_target_recall(items, texts):
     assert found >= 0.95 * 200
 
 
+def test_items_of_all_lengths_are_found(items):
+    """Items of every length class, edited as far as allowed, are all found, whether or not the walk reaches its target."""
+    draw = random.Random(5)
+    lengths = (20, 34, 59, 100, 128, 200, 256, 300)
+    longer = [(10_000 + n, " ".join(f"w{draw.randrange(3000)}" for _ in range(n))) for n in lengths]
+    for benchmark in (items, longer):
+        detector = decontaminate.Detector(benchmark)
+        for c, (repetitions, recall) in detector.reached.items():
+            assert detector.repetitions[c] == (repetitions if recall >= decontaminate.TARGET_RECALL else 0)
+        found = {c: [] for c in detector.classes}
+        for k, (item_id, symbols) in enumerate(detector.items):
+            words = decontaminate.words(dict(benchmark)[item_id])
+            for _ in range(2 if benchmark is items else 25):
+                copy = edited(words, draw, decontaminate.allowed(len(words)))
+                hits = detector.leaks([" ".join(["lead"] * draw.randrange(9) + copy + ["trail"] * draw.randrange(9))])[0]
+                found[detector.class_of[k]].append(any(h[0] == item_id for h in hits))
+        for c, hits in found.items():
+            assert all(hits), (c, np.mean(hits))
+        assert 0 in detector.repetitions.values()
+
+
 def test_leaks_equal_brute_force(spark, documents, texts, items):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     wanted = {(r.item_id, tuple(decontaminate.words(r.text))) for r in benchmark.collect()}
