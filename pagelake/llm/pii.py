@@ -42,7 +42,7 @@ LOOSE_PHONE = re.compile(r"(?<![\w+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][
 LOOSE_EMAIL = re.compile(r"(?<!\w)[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}){1,4}(?!\w)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 NATIONAL_ID = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
-SECRET = re.compile(r"(?<!\w)([A-Za-z_]{2,32}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{16,256})(?![A-Za-z0-9+/_-])")
+SECRET = re.compile(r"(?<!\w)([A-Za-z_]{2,32}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{16,}+)")
 
 # Gazetteers (fixed values): common top-level domains, calling codes, card networks' first digits, names of credentials.
 TOP_LEVEL = set("com org net edu gov mil int info biz io co de fr es it nl pl uk us ca au ch at be se no fi dk pt ru cn jp kr br mx in eu example".split())

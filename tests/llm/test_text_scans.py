@@ -40,6 +40,14 @@ def test_adversarial_runs_stay_linear():
         assert isinstance(pii.find_candidates(text), list)
 
 
+def test_credentials_of_any_length_are_candidates():
+    for size in (15, 16, 256, 257, 5000):
+        text = "the token=" + "aB3+" * (size // 4) + "x" * (size % 4) + " end"
+        found = [(s, e) for kind, s, e, *_ in pii.find_candidates(text) if kind == "secret"]
+        assert found == ([(10, 10 + size)] if size >= 16 else [])
+    assert isinstance(pii.find_candidates("key=" + "a" * 500_000 + "\n" + "ab=ab-" * 50_000), list)
+
+
 def test_reliabilities_are_recovered():
     """Votes drawn from known reliabilities: EM finds them and labels better than the majority."""
     draw = np.random.default_rng(7)
