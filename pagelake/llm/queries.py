@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, sharding, toxicity, url_filter
+from pagelake.llm import alignment, decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, sharding, toxicity, url_filter
 from pagelake.llm.shared import LOWER, UPPER, table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -86,6 +86,13 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_licenses": op2_licenses,
@@ -97,6 +104,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_alignment": op13_alignment,
 }
 
 def rules_sql(says: bool) -> str:
