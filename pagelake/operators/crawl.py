@@ -12,6 +12,7 @@ from pagelake.functions.text import as_array, truncate_content
 from pagelake.operators.fetch import pages_at, truncate
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import keep_listed, skew_join, top_k
+from pagelake.sources.page_store import PageStore
 
 
 class Crawl(NamedTuple):
@@ -51,7 +52,7 @@ def nest_links(links: DataFrame) -> DataFrame:
 
 def crawl(
     seeds: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageStore,
     subpage_limit: int = settings.DEFAULT_SUBPAGE_LIMIT,
     max_content_length: int | None = None,
     links: DataFrame | None = None,
@@ -166,5 +167,3 @@ def render_crawl(crawled: Crawl, max_content_length: int | None = None) -> DataF
         )
     )
 
-
-__all__ = ["Crawl", "crawl", "crawl_summary", "filter_links", "nest_links", "render_crawl", "select_subpages"]

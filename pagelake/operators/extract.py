@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from pagelake import settings
 from pagelake.functions.keys import extraction_key
-from pagelake.functions.text import redact
+from pagelake.functions.text import first_chars, redact
 from pagelake.operators.cache import cache_entries, look_up
 from pagelake.operators.fetch import pages_at
-from pagelake.operators.records import validate_records
 from pagelake.operators.requests import (
     content_rules,
     is_missing,
@@ -26,16 +25,17 @@ from pagelake.operators.requests import (
     with_content_facts,
     with_first_failure,
 )
-from pagelake.operators.schema import SchemaError, compile_schema
+from pagelake.operators.schema_table import check_records, compile_schemas
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import fits, skew_join, union_all
+from pagelake.plans.skew import fits, keep_listed, lookup_join, skew_join
+from pagelake.sources.page_store import PageStore
 
-# Takes rows with content, title, heading, links, prompt and json_schema and adds `record`, a JSON text;
-# may add input_tokens and output_tokens. Other columns must stay.
+# Takes rows with content, title, heading, links, prompt, json_schema and max_input_tokens and adds `record`, a
+# JSON text; may add input_tokens and output_tokens. Other columns must stay.
 Extractor = Callable[[DataFrame], DataFrame]
 
-# Each schema is checked by a branch of its own in the plan.
-MOST_SCHEMAS = 50
+# A token cap keeps so many characters of the text per token.
+CHARS_PER_TOKEN = 4
 RESULT_COLUMNS = ["status", "stage", "error", "data", "cached", "input_tokens", "output_tokens"]
 
 
@@ -69,7 +69,7 @@ def rule_extractor(rules: dict) -> Extractor:
 
 def extract(
     requests: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageStore,
     schema: dict | None,
     extractor: Extractor,
     cache: DataFrame,
@@ -81,22 +81,25 @@ def extract(
     max_length: int = settings.EXTRACT_MAX_LENGTH,
     max_body: int = settings.EXTRACT_MAX_BODY_BYTES,
     secrets: tuple[str, ...] = (),
-    most_schemas: int = MOST_SCHEMAS,
 ) -> Extraction:
     """One result row per request (request_id, url, prompt?, validation_mode?, json_schema?,
-    content?, content_format?, extraction_context?).
+    content?, content_format?, extraction_context?, max_input_tokens?).
 
     Without `schema` each request has its own in `json_schema`. A request with `content` is
     worked on that text, any other on the page at its url; the result has every request
     column but the content. Order of work: url, schema, fetch, guards, options, cache, schema
     compiler, extractor, check. Requests that ask the same of a text are one task; tasks that
-    come to the same key are extracted once. Only hashes and sizes of text meet the tasks; the
-    text itself goes to the extractor, and only for missed keys. Schemas are compiled on the
-    driver; of the missed ones those beyond `most_schemas`, by text, give error rows.
+    come to the same key are extracted once. Texts are read for their hashes and sizes, which alone meet
+    the tasks and the cache; they are written for the extractor for missed keys only. Schemas are rows,
+    compiled beside the data, as many as there are.
+
+    `max_input_tokens` caps what the extractor sees of a text. It is no part of the key, so of
+    the requests of one key the loosest cap holds; null and not finite numbers are none.
     """
     given = {
         "prompt": F.lit(prompt).cast("string"), "validation_mode": F.lit(mode), "content": F.lit(None).cast("string"),
         "content_format": F.lit(settings.DEFAULT_CONTENT_FORMAT), "extraction_context": F.lit(None).cast("string"),
+        "max_input_tokens": F.lit(None).cast("double"),
     }
     own_schemas = schema is None
     asked = requests.withColumns({name: value for name, value in given.items() if name not in requests.columns})
@@ -104,29 +107,39 @@ def extract(
         asked = asked.withColumn("json_schema", F.lit(json.dumps(schema)))
     source = F.when(F.col("content").isNotNull(), F.concat(F.lit("content "), F.sha2("content", 256)))
     asked = asked.withColumn("_source", source.when(~is_missing(F.col("url")), F.concat(F.lit("page "), F.col("url"))))
-    parts = ["_source", "url", "prompt", "validation_mode", "json_schema", "content_format", "extraction_context"]
+    cap = F.col("max_input_tokens").try_cast("double")
+    asked = asked.withColumn("_cap", F.when(cap.isNull() | F.isnan(cap) | (F.abs(cap) == F.lit(float("inf"))), F.lit(None)).otherwise(cap))
+    parts = ["_source", "url", "prompt", "validation_mode", "json_schema", "content_format", "extraction_context", "_cap"]
     asked = asked.withColumn("_task", F.sha2(F.to_json(F.struct(*parts)), 256))
     tasks = materialize(asked.where(F.col("_source").isNotNull()).select("_task", *parts).distinct(), "tasks")
 
-    fields = ["_source", "content", "title", "heading", "links", "error"]
-    fetched = pages_at(pages, tasks.where(F.col("_source").startswith("page ")).select("url").distinct())
-    contents = fetched.withColumn("_source", F.concat(F.lit("page "), F.col("url"))).select(*fields)
-    if "content" in requests.columns:
-        texts = asked.where(F.col("content").isNotNull()).select("_source", "content").dropDuplicates(["_source"])
-        contents = contents.unionByName(texts, allowMissingColumns=True)
-    contents = materialize(contents, "contents")
+    own_texts = asked.where(F.col("content").isNotNull()).select("_source", "content") if "content" in requests.columns else None
+
+    def texts_of(sources: DataFrame) -> DataFrame:
+        """The texts of the listed tasks (_source, url), one per source."""
+        fetched = pages_at(pages, sources.where(F.col("_source").startswith("page ")).select("url").distinct())
+        texts = fetched.withColumn("_source", F.concat(F.lit("page "), F.col("url")))
+        texts = texts.select("_source", "content", "title", "heading", "links", "error")
+        if own_texts is None:
+            return texts
+        listed = sources.where(F.col("_source").startswith("content ")).select("_source").distinct()
+        return texts.unionByName(keep_listed(own_texts, listed, ["_source"]).dropDuplicates(["_source"]), allowMissingColumns=True)
+
     side, schema_bytes = side_bytes(parts), F.octet_length("json_schema")
     most = tasks.agg(F.coalesce(F.max(side), F.lit(0)).alias("side"), F.coalesce(F.max(schema_bytes), F.lit(0)).alias("schema")).first()
-    facts = with_content_facts(contents, F.lit(most["side"]), max_body, most["schema"])
+    facts = with_content_facts(texts_of(tasks), F.lit(most["side"]), max_body, most["schema"])
     facts = facts.select("_source", F.col("error").alias("_fetch_error"), "_units", "_length", "_blank", "_script_blank", "_bytes", "_hash")
+    facts = materialize(facts, "content-facts")
     beside = skew_join(tasks, facts, ["_source"], "left", ["_task"])
     keyed = materialize(_judge(beside, own_schemas, model, content_rules(side, max_length, max_body, schema_bytes)), "keys")
 
     good = keyed.where(F.col("error").isNull())
-    one_task = good.groupBy("key").agg(F.min(F.struct("_source", "url", "prompt", "mode", "json_schema")).alias("task")).select("key", "task.*")
+    loosest = F.max(F.coalesce("_cap", F.lit(float("inf"))))
+    one_task = good.groupBy("key").agg(F.min(F.struct("_source", "url", "prompt", "mode", "json_schema")).alias("task"), loosest.alias("_cap"))
+    one_task = one_task.select("key", "task.*", F.when(F.col("_cap") < float("inf"), F.col("_cap")).alias("max_input_tokens"))
     looked = materialize(look_up(one_task.withColumn("ts", now.cast("timestamp")), cache), "looked-up")
-    missed = looked.where("NOT hit").select("key", "_source", "url", "prompt", "mode", "json_schema")
-    fresh = _run(contents, missed, extractor, secrets, most_schemas)
+    missed = looked.where("NOT hit").select("key", "_source", "url", "prompt", "mode", "json_schema", "max_input_tokens")
+    fresh = _run(texts_of, missed, extractor, secrets)
     hits = looked.where("hit").select("key", F.lit(200).alias("status"), "data", F.lit(True).alias("cached"))
     per_key = fresh.unionByName(hits, allowMissingColumns=True)
 
@@ -167,66 +180,51 @@ def _judge(tasks: DataFrame, own_schemas: bool, model: str, guards: list) -> Dat
     judged = with_first_failure(tasks, rules)
     failed = failed & ~bad_schema
     return judged.select(
-        "_task", "_source", "url", "prompt", mode.alias("mode"), "json_schema", "status",
+        "_task", "_source", "url", "prompt", mode.alias("mode"), "json_schema", "_cap", "status",
         F.when(failed, "fetch").alias("stage"),
         F.when(failed, fetch_error).otherwise(F.col("error")).alias("error"),
         F.when(~failed & F.col("error").isNull(), key).alias("key"),
     )
 
 
-def _run(contents: DataFrame, missed: DataFrame, extractor: Extractor, secrets: tuple[str, ...], most_schemas: int) -> DataFrame:
+def _run(texts_of: Callable[[DataFrame], DataFrame], missed: DataFrame, extractor: Extractor, secrets: tuple[str, ...]) -> DataFrame:
     """Extract and check the missed keys: (key, status, error, data, cached, tokens)."""
     tokens = ["input_tokens", "output_tokens"]
-    fields, problems = {}, {}
-    for row in missed.select("json_schema").distinct().orderBy("json_schema").limit(most_schemas).collect():
-        try:
-            fields[row["json_schema"]] = compile_schema(json.loads(row["json_schema"]))
-        except (SchemaError, ValueError) as problem:
-            problems[row["json_schema"]] = str(problem)
-
-    def refused(rows: DataFrame, problem: Column) -> DataFrame:
-        return rows.select(
-            "key", F.lit(400).alias("status"), problem.alias("error"), F.lit(None).cast("string").alias("data"),
-            F.lit(False).alias("cached"), *(F.lit(None).cast("long").alias(name) for name in tokens),
-        )
-
-    named = F.col("json_schema")
-    message = F.lit(settings.TOO_MANY_SCHEMAS.format(limit=most_schemas))
-    for text, problem in problems.items():
-        message = F.when(named == text, F.lit(problem)).otherwise(message)
-    bad = refused(missed.where(~named.isin(*fields)) if fields else missed, message)
-    if not fields:
+    schemas = materialize(compile_schemas(missed.select("json_schema").distinct()), "schemas")
+    told = lookup_join(missed, schemas.select("json_schema", "problem"), ["json_schema"], "inner", ["key"])
+    bad = told.where(F.col("problem").isNotNull()).select(
+        "key", F.lit(400).alias("status"), F.col("problem").alias("error"), F.lit(None).cast("string").alias("data"),
+        F.lit(False).alias("cached"), *(F.lit(None).cast("long").alias(name) for name in tokens),
+    )
+    deepest = schemas.agg(F.max("depth")).first()[0]
+    if deepest is None:
         return bad
-    page = contents.select("_source", "content", "title", "heading", "links")
-    missed = missed.where(named.isin(*fields))
-    if fits(missed):
-        wanted = page.join(F.broadcast(missed), "_source")
+    good = materialize(told.where(F.col("problem").isNull()).drop("problem"), "missed-keys")
+    page = materialize(texts_of(good.select("_source", "url").distinct()).drop("error"), "contents")
+    if fits(good):
+        wanted = page.join(F.broadcast(good), "_source")
     else:
-        wanted = skew_join(missed, page, ["_source"], "inner", ["key"])
-    extracted = extractor(wanted)
+        wanted = skew_join(good, page, ["_source"], "inner", ["key"])
+    cap = F.col("max_input_tokens")
+    length = F.greatest(F.floor(cap * CHARS_PER_TOKEN), F.lit(0)).cast("int")
+    extracted = extractor(wanted.withColumn("content", F.when(cap.isNull(), F.col("content")).otherwise(first_chars(F.col("content"), length))))
     counted = [F.col(name) if name in extracted.columns else F.lit(None).cast("long").alias(name) for name in tokens]
     extracted = materialize(extracted.select("key", "mode", "json_schema", "record", *counted), "extracted")
-    # One field is wrapped in an object to print any kind of value, then unwrapped.
-    printed = F.to_json(F.struct("data"), {"ignoreNullFields": "false"})
-    data = F.substring(printed, F.lit(9), F.length(printed) - 9)
+    ruled = lookup_join(extracted, schemas.select("json_schema", "rules"), ["json_schema"], "inner", ["key"])
     valid = F.col("valid")
     problem = redact(F.concat(F.lit(settings.EXTRACTION_FAILED), F.array_join("errors", "; ")), secrets)
-    checked = [
-        validate_records(extracted.where((F.col("mode") == mode) & (named == text)), "record", field, mode).select(
-            "key",
-            F.when(valid, 200).otherwise(502).alias("status"),
-            F.when(~valid, problem).alias("error"),
-            F.when(valid, data).alias("data"),
-            F.lit(False).alias("cached"),
-            *tokens,
-        )
-        for text, field in fields.items()
-        for mode in settings.VALIDATION_MODES
-    ]
-    return union_all([*checked, bad])
+    checked = check_records(ruled, "record", "rules", "mode", deepest).select(
+        "key",
+        F.when(valid, 200).otherwise(502).alias("status"),
+        F.when(~valid, problem).alias("error"),
+        "data",
+        F.lit(False).alias("cached"),
+        *tokens,
+    )
+    return checked.unionByName(bad)
 
 
-def crawl_extract(subpages: DataFrame, pages: DataFrame, schema: dict, extractor: Extractor, cache: DataFrame, now: Column, **options) -> Extraction:
+def crawl_extract(subpages: DataFrame, pages: DataFrame | PageStore, schema: dict, extractor: Extractor, cache: DataFrame, now: Column, **options) -> Extraction:
     """The same schema over every subpage of a crawl (seed_id, pos, url)."""
     requests = subpages.select(F.concat_ws("/", "seed_id", "pos").alias("request_id"), "seed_id", "pos", "url")
     return extract(requests, pages, schema, extractor, cache, now, **options)

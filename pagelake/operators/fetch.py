@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from pagelake.functions.page_reader import read_page
 from pagelake.functions.text import links_section, truncate_content, url_parts
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import keep_listed, skew_join
+from pagelake.sources.page_store import PageStore, one_page_per_url
 
 LINK_TYPE = T.StructType(
     [
@@ -95,55 +95,21 @@ def truncate(df: DataFrame, limit, column: str = "content") -> DataFrame:
 
 # What a page table may tell of the response that a page came with.
 RESPONSE_COLUMNS = ["status_code", "headers"]
-# Above so many files a list of them is no cheaper than the scan.
-MOST_FILES = 2_000
 
-
-def listed_files(pages: DataFrame, urls: DataFrame) -> list[str] | None:
-    """The files that hold a listed url, found without reading bodies; None if that is no help
-    (the table isn't read from files, or too many of them have one)."""
-    try:
-        files = pages.select("url", F.col("_metadata.file_path").alias("_file"))
-    except AnalysisException:
-        return None
-    found = keep_listed(files, urls, ["url"]).select("_file").distinct().limit(MOST_FILES + 1).collect()
-    return [row["_file"] for row in found] if len(found) <= MOST_FILES else None
-
-
-def one_page_per_url(pages: DataFrame) -> DataFrame:
-    """Of several page rows with one url the one with the least page_id; without page ids, any one.
-
-    Decided on urls and ids alone. Only if some url is repeated, the chosen rows are met by
-    their id, and rows that are repeated whole are folded.
-    """
-    ids = ["url", "page_id"] if "page_id" in pages.columns else ["url"]
-    narrow = pages.select(*ids)
-    if not narrow.groupBy("url").count().where("count > 1").head(1):
-        return pages
-    if len(ids) == 2:
-        first = materialize(narrow.groupBy("url").agg(F.min("page_id").alias("_first")), "first-pages")
-        first = first.withColumnRenamed("url", "_url")
-        same = (F.col("url") == F.col("_url")) & F.col("page_id").eqNullSafe(F.col("_first"))
-        pages = pages.join(first, same, "left_semi")
-    return pages.dropDuplicates(["url"])
-
-
-def pages_at(pages: DataFrame, urls: DataFrame) -> DataFrame:
+def pages_at(pages: DataFrame | PageStore, urls: DataFrame) -> DataFrame:
     """Pages whose url is listed, one per url, read and with links.
 
-    The first step reads urls only and names the files that hold listed ones; bodies are
-    read from those files and parsed for listed urls alone.
+    A page table is scanned once; of a store only the folders of the listed urls are opened. Bodies
+    are parsed for listed urls alone.
     """
     urls = materialize(urls, "listed-urls")
-    files = listed_files(pages, urls)
-    if files is not None:
-        pages = pages.where(F.col("_metadata.file_path").isin(files)) if files else pages.where(F.lit(False))
-    listed = keep_listed(pages, urls, ["url"])
+    table = pages.holding(urls) if isinstance(pages, PageStore) else pages
+    listed = keep_listed(table, urls, ["url"])
     told = [name for name in RESPONSE_COLUMNS if name in pages.columns]
     return with_links_section(parse_pages(one_page_per_url(listed).select("url", "html", *told)))
 
 
-def fetch(requests: DataFrame, pages: DataFrame, limit: Column | int | None = None, id_column: str = "request_id") -> DataFrame:
+def fetch(requests: DataFrame, pages: DataFrame | PageStore, limit: Column | int | None = None, id_column: str = "request_id") -> DataFrame:
     """Each request's page as clean text, or an error row.
 
     `content_length` counts the cut content; `full_length` the content before the cut.

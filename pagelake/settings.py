@@ -50,6 +50,5 @@ EXTRACTION_FAILED = "extraction failed: "
 # Our own message: a url that the page table does not hold.
 PAGE_NOT_FOUND = "page not found"
 PAGE_WITHOUT_BODY = "page has no body"
-# Our own messages: an unreadable context, more schemas than one call compiles.
+# Our own message: an unreadable context.
 CONTEXT_INVALID = "extraction_context must be JSON"
-TOO_MANY_SCHEMAS = "one call takes at most {limit} different schemas"

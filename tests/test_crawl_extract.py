@@ -235,5 +235,32 @@ def test_schema_and_content_of_each_request(spark):
     assert [got[k].data for k in (1, 2, 3)] == ['{"size":5}', '{"name":"Bo"}', '{"size":9}']
     assert [got[k].status for k in range(4, 12)] == [400, 400, 400, 400, 400, 400, 400, 200]
     assert got[11].stage == "fetch" and out.new_entries.count() == 3
-    few = ops.extract(asked.where("request_id < 3"), pages, None, run, empty, F.lit("2024-01-01").cast("timestamp"), most_schemas=1)
-    assert sorted(r.status for r in few.results.collect()) == [200, 400]
+
+
+def test_token_cap(spark):
+    """The loosest cap of one key holds, whatever the order of requests; caps that are no numbers are none."""
+    pages = page_rows(spark, (1, "http://x/", "<p>" + "a" * 100 + "</p>"))
+    rows = [(1, "p", 3.0), (2, "p", 5.9), (3, "q", None), (4, "q", 2.0), (5, "r", float("nan")), (6, "s", float("inf")), (7, "t", -4.0), (8, "v", 10.0)]
+    asked = spark.createDataFrame(rows, "request_id INT, prompt STRING, max_input_tokens DOUBLE").withColumn("url", F.lit("http://x/"))
+    run = lambda df: df.withColumn("record", F.to_json(F.struct(F.length("content").alias("size"))))
+    empty = spark.createDataFrame([], cache_ops.CACHE_SCHEMA)
+    for some in (asked, asked.orderBy(F.col("request_id").desc()), asked.withColumn("max_input_tokens", F.col("max_input_tokens").cast("string"))):
+        out = ops.extract(some, pages, SIZED, run, empty, F.lit("2024-01-01").cast("timestamp"))
+        sizes = {r.request_id: r.data for r in out.results.collect()}
+        assert sizes == {1: '{"size":23}', 2: '{"size":23}', 3: '{"size":100}', 4: '{"size":100}', 5: '{"size":100}', 6: '{"size":100}', 7: '{"size":0}', 8: '{"size":40}'}
+
+
+def test_hits_alone_write_no_text(spark, tmp_path, monkeypatch):
+    pages = page_rows(spark, (1, "http://x/", "<p>size 5</p>"))
+    asked = spark.createDataFrame([(1, "http://x/")], "request_id INT, url STRING")
+    run = lambda df: df.withColumn("record", F.lit('{"size": 5}'))
+    at = F.lit("2024-01-01").cast("timestamp")
+    written = []
+    keep = ops.materialize
+    monkeypatch.setattr(ops, "materialize", lambda df, name="table": written.append((name, df.columns)) or keep(df, name))
+    first = ops.extract(asked, pages, SIZED, run, spark.createDataFrame([], cache_ops.CACHE_SCHEMA), at)
+    entries = keep(first.new_entries)
+    assert ("contents" in dict(written)) and entries.count() == 1
+    written.clear()
+    again = ops.extract(asked, pages, SIZED, run, entries, at).results.collect()
+    assert again[0].cached and not any("content" in columns for name, columns in written)

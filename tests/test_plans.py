@@ -10,6 +10,7 @@ from pagelake.operators.records import validate_records
 from pagelake.operators.schema import compile_schema
 from pagelake.plans import reuse, skew
 from pagelake.plans.asof import as_of
+from pagelake.sources import page_store
 
 PAGES = "/root/testdata/sf0.001/pages.parquet"
 
@@ -52,17 +53,56 @@ def test_null_keys_of_a_left_join_are_spread(spark):
     assert {row._slots for row in skew.hot_keys(left, ["k"], rows=100).where("k IS NULL").collect()} == {10}
 
 
-def test_fetch_reads_only_files_with_listed_urls(spark, tmp_path):
+def files_read(df):
+    assert "PartitionFilters: [bucket" in plan(df) or "PartitionFilters: [isnotnull(bucket" in plan(df)
+    return {r[0].rsplit("/", 2)[1] for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+def test_store_opens_only_folders_of_asked_urls(spark, tmp_path):
     pages = spark.read.parquet(PAGES)
-    for k in range(4):
-        pages.where(f"page_id % 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path))
-    stored = spark.read.parquet(str(tmp_path))
-    urls = stored.where("page_id = 2").select("url")
-    assert len(fetch.listed_files(stored, urls)) == 1
-    assert fetch.listed_files(spark.createDataFrame([("u", "h")], "url STRING, html STRING"), urls) is None
-    found = fetch.pages_at(stored, urls)
-    assert found.count() == 1
-    assert "file_path" in plan(found) and fetch.pages_at(stored, urls.where("1 = 0")).count() == 0
+    page_store.write_page_store(pages, str(tmp_path), 16)
+    store = page_store.PageStore(spark, str(tmp_path))
+    assert store.buckets == 16 and store.columns == pages.columns and rows_of(store.table().drop("bucket")) == rows_of(pages)
+    urls = pages.where("page_id IN (2, 7)").select("url")
+    wanted = {f"bucket={r[0]}" for r in urls.select(page_store.bucket_of(F.col("url"), 16)).collect()}
+    assert files_read(store.holding(urls)) == wanted and len(wanted) < 16
+    found = fetch.pages_at(store, urls.unionByName(spark.createDataFrame([(None,), ("http://gone/",)], "url STRING")))
+    assert rows_of(found) == rows_of(fetch.pages_at(pages, urls)) and found.count() == 2
+    assert fetch.pages_at(store, urls.where("1 = 0")).count() == 0
+
+
+def test_hundred_thousand_urls_read_their_folders(spark, tmp_path):
+    pages = spark.range(200_000).select("id", F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("<p>x</p>").alias("html"))
+    page_store.write_page_store(pages.withColumnRenamed("id", "page_id"), str(tmp_path), 64)
+    store = page_store.PageStore(spark, str(tmp_path))
+    every = page_store.bucket_of(F.col("url"), 64)
+    urls = pages.where(every % 4 == 1).select("url").unionByName(pages.where(every % 4 == 3).select(F.concat("url", F.lit("/none")).alias("url")).where(every % 4 == 1))
+    urls = urls.unionByName(pages.select("url").where(every % 4 == 1))
+    assert urls.count() >= 100_000
+    assert files_read(store.holding(urls)) == {f"bucket={k}" for k in range(1, 64, 4)}
+    assert fetch.pages_at(store, urls.distinct()).count() == pages.where(every % 4 == 1).count()
+
+
+def test_store_grows(spark, tmp_path):
+    """Added pages are seen, repeated ones count once, and the number of buckets stays."""
+    rows = lambda *r: spark.createDataFrame(list(r), "page_id LONG, url STRING, html STRING")
+    page_store.write_page_store(rows((5, "u", "<p>five</p>"), (6, None, "x"), (7, "w", "<p>w</p>")), str(tmp_path), 4)
+    page_store.write_page_store(rows((3, "u", "<p>three</p>"), (7, "w", "<p>w</p>")), str(tmp_path), 99)
+    store = page_store.PageStore(spark, str(tmp_path))
+    found = fetch.pages_at(store, rows((0, "u", ""), (0, "w", "")).select("url")).collect()
+    assert store.buckets == 4 and {(r.url, r.text) for r in found} == {("u", "three"), ("w", "w")}
+
+
+def test_choice_among_equal_ids_does_not_depend_on_order(spark):
+    rows = [(1, "u", "<p>one</p>"), (1, "u", "<p>two</p>"), (1, "u", "<p>two</p>"), (None, "v", "a"), (None, "v", None), (4, "w", "w"), (2, None, "n"), (2, None, "n")]
+    chosen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        table = spark.createDataFrame(order, "page_id LONG, url STRING, html STRING").repartition(3)
+        kept = page_store.one_page_per_url(table).where("url IS NOT NULL")
+        chosen.add(tuple(map(tuple, rows_of(kept))))
+        bare = page_store.one_page_per_url(table.drop("page_id")).where("url IS NOT NULL")
+        assert bare.count() == 3
+    assert len(chosen) == 1 and len(chosen.pop()) == 3
 
 
 def test_top_k_ways_agree(spark):
