@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.llm import alignment, decontaminate, exact_dedup, html_text, licenses, near_dedup, packing, pii, sharding, toxicity, url_filter
+from pagelake.llm import alignment, decontaminate, exact_dedup, html_text, jaccard_join, licenses, near_dedup, packing, pii, sharding, spelling, toxicity, url_filter
 from pagelake.llm.shared import LOWER, UPPER, table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -86,11 +86,20 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark, sf_dir):
     import public_tokenizers
 
-    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    return alignment.alignment(table(spark, sf_dir, "documents"), *files)
+    known = vocabulary()
+    second = public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, sf_dir, "documents"), known["tokenizer_path"], second, ranks=known["ranks"])
 
 
 QUERIES = {
@@ -104,6 +113,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_alignment": op13_alignment,
 }
 
@@ -134,6 +145,22 @@ WITH p AS (
 SELECT page_id, host, path, {rules_sql(False)} AS rule, l.canonical IS NOT NULL AS listed,
   coalesce({rules_sql(True)}, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN l ON c.canonical = l.canonical""",
+    "op12_jaccard_join": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  WHERE 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reached WHERE a = doc_id), doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id)""",
     "op7_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
