@@ -11,15 +11,14 @@ numbers; the second pass looks their counts up in vectors (identity pairs, the b
 id, and the TABLE_PAIRS most frequent irregular pairs, all of a fixed size). Links of rarer pairs meet
 their counts in a join; being the rarer ones, none of them is a hot key.
 
-A word with the space before it is aligned once per worker: no token of either tokenizer
-spans the cut before a space that follows a non-space.
+Words are encoded once per worker (`word_ids`); the ids of some documents are then aligned as one run of
+bytes with array operations.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.packing import chunks
 from pagelake.llm.shared import numbered
+from pagelake.llm.word_ids import WordIds, byte_level_learner, chunks, load_tokenizer, raw_ids
 from pagelake.plans.reuse import materialize
 
-# Chunks (words with the space before) whose alignment a worker remembers; when full it starts again.
-CHUNKS_KEPT = 150_000
-# Longer chunks are aligned each time they come.
-LONGEST_KEPT = 64
+# Documents aligned in one go.
+DOCS_AT_ONCE = 50
+# Stands for the ids of a word whose tokens have other bytes.
+OTHER_BYTES = 2**32 - 1
 # Irregular pairs a task adds up before it sends them on.
 PAIRS_HELD = 400_000
 # The most frequent irregular pairs are looked up in a table of at most this size (12 bytes a pair).
@@ -64,11 +63,9 @@ def byte_letters() -> dict[str, int]:
 
 def load(a_path: str, b_path: str):
     """Both tokenizers and their vocabularies."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(a_path)
+    a = load_tokenizer(a_path)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     letters = byte_letters()
@@ -86,83 +83,71 @@ def load(a_path: str, b_path: str):
     return a, b, Vocabularies(a_bytes, b_bytes, same)
 
 
-class Aligned(NamedTuple):
-    """One chunk: numbers of tokens, groups and links, the groups as text, its distinct links and how often each stands there."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: bytes
-    pairs: np.ndarray
-    times: np.ndarray
-
-
-def align(chunk: bytes, a_ids: list[int], b_ids: list[int], words: Vocabularies) -> Aligned | None:
-    """The alignment of one chunk; None if either side's bytes are not the chunk's."""
-    a_ends, b_ends, at = [], [], 0
-    for k in a_ids:
-        at += len(words.a[k])
-        a_ends.append(at)
-    at = 0
-    for k in b_ids:
-        at += len(words.b[k])
-        b_ends.append(at)
-    if b"".join([words.a[k] for k in a_ids]) != chunk or b"".join([words.b[k] for k in b_ids]) != chunk:
-        return None
-    i = j = first_a = first_b = 0
-    groups, links = [], {}
-    n_links = 0
-    while i < len(a_ids):
-        # The tokens i and j overlap: each step is a link.
-        pair = a_ids[i] * B_ROOM + b_ids[j]
-        links[pair] = links.get(pair, 0) + 1
-        n_links += 1
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a_ids[first_a:i])) + "|" + ",".join(map(str, b_ids[first_b:j])))
-            first_a, first_b = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return Aligned(
-        len(a_ids), len(b_ids), len(groups), n_links, ";".join(groups).encode(),
-        np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links)),
-    )
-
-
 class Aligner:
-    """Texts to their alignment. Chunks are encoded together, those not yet known only."""
-
-    def __init__(self, a_path: str, b_path: str):
-        self.a, self.b, self.words = load(a_path, b_path)
-        self.space = self.b.piece_to_id("▁")
-        self.known: dict[str, Aligned | None] = {}
-
-    def learn(self, new: list[str]) -> dict[str, Aligned | None]:
-        """`new` are chunks that start with a space, which the second tokenizer adds by itself
-        (but not to nothing, so a lone space at the end of a text is its space piece)."""
-        b_ids = self.b.encode([c[1:] for c in new], num_threads=1)
-        found = zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), b_ids)
-        return {chunk: align(chunk.encode(), a.ids, b if len(chunk) > 1 else [self.space], self.words) for chunk, a, b in found}
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Remember the chunks of all these texts but the long ones."""
-        wanted = {c for parts in texts for c in parts if len(c) <= LONGEST_KEPT}
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > CHUNKS_KEPT:
-            self.known.clear()
-            new = wanted
-        if new:
-            self.known |= self.learn(list(new))
-
-    def text(self, parts: list[str]) -> list[Aligned] | None:
-        """The alignments of a prepared text's chunks; None if some bytes differ."""
-        long = {c for c in parts if len(c) > LONGEST_KEPT}
-        extra = self.learn(list(long)) if long else {}
-        found = [extra[c] if len(c) > LONGEST_KEPT else self.known[c] for c in parts]
-        return None if any(f is None for f in found) else found
+    """Texts to the ids of both tokenizers. Words are encoded once per worker, together with other new ones."""
+
+    def __init__(self, a_path: str, b_path: str, ranks: tuple[str, str] | None = None):
+        a, b, self.words = load(a_path, b_path)
+        self.a_width, self.b_width = (np.array([len(raw) for raw in table], np.int64) for table in (self.words.a, self.words.b))
+        space = b.piece_to_id("▁")
+        by_a = byte_level_learner(a, *(ranks or ()))
+
+        def learn_b(new: list[str]) -> list[bytes]:
+            # Words start with a space, which this tokenizer adds by itself, but not to nothing.
+            ids = b.encode([word[1:] for word in new], num_threads=1)
+            return checked(new, raw_ids([k if len(word) > 1 else [space] for word, k in zip(new, ids)]), self.words.b, self.b_width)
+
+        self.a = WordIds(lambda new: checked(new, by_a(new), self.words.a, self.a_width))
+        self.b = WordIds(learn_b)
+        spelled = lambda table, mark: np.array([f"{k}{mark}".encode() for k in range(len(table))], object)
+        self.a_more, self.a_last = spelled(self.words.a, ","), spelled(self.words.a, "|")
+        self.b_more, self.b_last = spelled(self.words.b, ","), spelled(self.words.b, ";")
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
+        """Per text: n_a, n_b, n_groups, n_links; the hash of its groups; its distinct links; how often each stands there."""
+        parts = [text_chunks(text or "") for text in texts]
+        sides = [(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(self.a.texts(parts), self.b.texts(parts))]
+        # A text with other bytes has no tokens.
+        none = np.empty(0, "<u4")
+        sides = [(none, none) if (x == OTHER_BYTES).any() or (y == OTHER_BYTES).any() else (x, y) for x, y in sides]
+        n = np.array([[len(x), len(y)] for x, y in sides], np.int64).reshape(-1, 2)
+        a, b = (np.concatenate([none, *side]).astype(np.int64) for side in zip(*sides))
+        # All texts are one run of bytes; every text and word ends on both sides.
+        a_ends, b_ends = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
+        first, last = np.searchsorted(b_ends, a_ends - self.a_width[a], "right"), np.searchsorted(b_ends, a_ends, "left")
+        per_token = last - first + 1
+        of_text = np.repeat(np.arange(len(n)), n[:, 0])
+        links = np.repeat(a * B_ROOM, per_token) + b[np.repeat(first - np.cumsum(per_token) + per_token, per_token) + np.arange(per_token.sum())]
+        order = np.argsort(links, kind="stable")
+        held = np.repeat(of_text, per_token)
+        order = order[np.argsort(held[order], kind="stable")]
+        links, held = links[order], held[order]
+        starts = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (held[1:] != held[:-1])])) if len(links) else np.empty(0, np.int64)
+        times = np.diff(starts, append=len(links))
+        cuts = np.searchsorted(held[starts], np.arange(1, len(n)))
+        # A token closes a group where the other side has an end as well.
+        a_closes, b_closes = b_ends[np.minimum(last, max(len(b) - 1, 0))] == a_ends, np.zeros(len(b), bool)
+        b_closes[last[a_closes]] = True
+        of_group = [np.cumsum(closes) - closes for closes in (a_closes, b_closes)]
+        spelled = np.concatenate([np.where(a_closes, self.a_last[a], self.a_more[a]), np.where(b_closes, self.b_last[b], self.b_more[b])])
+        spelled = spelled[np.argsort(np.concatenate([2 * of_group[0], 2 * of_group[1] + 1]), kind="stable")]
+        tokens = np.concatenate([[0], np.cumsum(n.sum(1))])
+        digests = [hashlib.sha256(b"".join(spelled[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(tokens, tokens[1:])]
+        count = lambda where, weights=None: np.bincount(where, weights, len(n)).astype(np.int64)
+        facts = np.column_stack([n, count(of_text, a_closes), count(of_text, per_token)])
+        return facts, digests, np.split(links[starts], cuts), np.split(times, cuts)
+
+
+def checked(words: list[str], found: list[bytes], table: list[bytes], widths: np.ndarray) -> list[bytes]:
+    """The ids of each word, or OTHER_BYTES where their bytes are not the word's."""
+    spell = lambda raw: b"".join(map(table.__getitem__, memoryview(raw).cast("I")))
+    raw_words, whole = [word.encode() for word in words], b"".join(found)
+    # Equal as a whole and at the end of every word: equal each.
+    ends = np.concatenate([[0], np.cumsum(widths[np.frombuffer(whole, "<u4")])])[np.cumsum([len(raw) // 4 for raw in found], dtype=np.int64)]
+    if np.array_equal(ends, np.cumsum([len(word) for word in raw_words])) and spell(whole) == b"".join(raw_words):
+        return found
+    other = np.array([OTHER_BYTES], "<u4").tobytes()
+    return [raw if spell(raw) == word else other for raw, word in zip(found, raw_words)]
 
 
 def text_chunks(text: str) -> list[str]:
@@ -170,32 +155,16 @@ def text_chunks(text: str) -> list[str]:
     return chunks(" " + text) if text else []
 
 
-def summary(found: list[Aligned]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-    """The facts of a text, the hash of its groups, its distinct links and how often each stands there."""
-    facts = [sum(f[k] for f in found) for k in range(4)]
-    digest = hashlib.sha256(b";".join([f.groups for f in found])).hexdigest()
-    pairs, at = np.unique(np.concatenate([f.pairs for f in found]), return_inverse=True)
-    times = np.bincount(at, np.concatenate([f.times for f in found])).astype(np.int64)
-    return facts, digest, pairs, times
-
-
-def document_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_links(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, ranks: tuple[str, str] | None) -> DataFrame:
     """First pass: the facts of each document and its distinct links, written once with a row number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_path, b_path)
+        aligner = Aligner(a_path, b_path, ranks)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 100):
-                part = batch.slice(begin, 100)
-                texts = [text_chunks(t.as_py() or "") for t in part.column(1)]
-                aligner.prepare(texts)
-                facts, digests, pairs, times = [], [], [], []
-                for parts in texts:
-                    found = aligner.text(parts) if parts else None
-                    told = summary(found) if found else ([0] * 4, "", np.empty(0, np.int64), np.empty(0, np.int64))
-                    for held, value in zip((facts, digests, pairs, times), told):
-                        held.append(value)
-                columns = [pa.array([f[k] for f in facts], pa.int64()) for k in range(4)]
+            for begin in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(begin, DOCS_AT_ONCE)
+                facts, digests, pairs, times = aligner.texts(part.column(1).to_pylist())
+                columns = [pa.array(facts[:, k]) for k in range(4)]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (pairs, times)]
                 names = ["doc_id", *FACTS, "groups_sha256", "pairs", "times"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(digests, pa.string()), *lists], names=names)
@@ -240,14 +209,18 @@ def pair_counts(links: DataFrame, same: np.ndarray) -> tuple[np.ndarray, DataFra
     return vector, counts.where("pair >= 0")
 
 
-def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", table_pairs: int = TABLE_PAIRS) -> DataFrame:
+def alignment(
+    docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
+    ranks: tuple[str, str] | None = None, table_pairs: int = TABLE_PAIRS,
+) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Null and empty texts, and texts whose bytes are not those of the tokens, have zeros and an
     empty hash. Every row of a repeated id is a document of its own, also for the counts; null ids
-    stay null. An empty table gives no rows. Other columns are not looked at.
+    stay null. An empty table gives no rows. Other columns are not looked at. `ranks` is the
+    path of the first vocabulary as byte ranks and its pattern, see `word_ids.byte_level_learner`.
     """
-    links = document_links(docs, a_path, b_path, id_col, text_col)
+    links = document_links(docs, a_path, b_path, id_col, text_col, ranks)
     same = load(a_path, b_path)[2].same
     vector, irregular = pair_counts(links, same)
     # The highest count of each A id, over both kinds of pairs: one row per A id.

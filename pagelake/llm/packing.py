@@ -12,9 +12,6 @@ of each length to the plan by rank, so no step sees the documents on the driver.
 
 from __future__ import annotations
 
-import base64
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.shared import gapless_rank, numbered
+from pagelake.llm.word_ids import WordIds, byte_level_learner, chunks, load_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,74 +31,14 @@ STEP = 0.2
 ETA = 6.0
 # A length that is covered but for this share is left to the rounding.
 LEFT_OPEN = 0.02
-# Words whose ids a worker remembers; when full it starts again.
-WORDS_KEPT = 300_000
-# A place where the text may be cut for the byte-level tokenizer: before a space after a non-space.
-SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-UNSAFE = re.compile(r"[^\S \n]| \s|\n ")
-# Words that stay apart when run together: one space before, no white space at the end, no mark of a special token.
-PLAIN_WORD = re.compile(r" [^\s<](?:[^<]*[^\s<])?")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut before each space that follows a non-space. No token spans such a cut."""
-    if UNSAFE.search(text):
-        return SAFE_CUT.split(text)
-    first, *rest = text.split(" ")
-    rest = [" " + part for part in rest]
-    if first:
-        return [first, *rest]
-    return rest or [""]
+# Documents whose new words are encoded in one call.
+DOCS_AT_ONCE = 200
 
 
 def encoder(path: str, ranks_path: str | None = None, pattern: str | None = None):
-    """Text to its ids as little-endian unsigned 32-bit numbers; equal words are encoded once.
-
-    With `ranks_path` (the same vocabulary as byte ranks) new words are run together,
-    encoded in one call, and told apart by the byte lengths of their ids, which is several times
-    faster. Words that can't be run together, or may hold a special token, go to the tokenizer itself.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-    ranks = None
-    if ranks_path:
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        width = np.zeros(max(table.values()) + 1, np.int64)
-        for word, rank in table.items():
-            width[rank] = len(word)
-
-    def learn(new: list[str]) -> None:
-        plain = [p for p in new if PLAIN_WORD.fullmatch(p)] if ranks else []
-        if plain:
-            ids = ranks.encode_to_numpy("".join(plain)).astype("<u4")
-            ends = np.cumsum([len(p.encode()) for p in plain])
-            cuts = np.searchsorted(np.cumsum(width[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for part, cut in zip(plain, (4 * cuts).tolist()):
-                known[part] = raw[at:cut]
-                at = cut
-        odd = [p for p in new if p not in known]
-        for part, found in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            known[part] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        parts = chunks(text)
-        new = set(parts).difference(known)
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = set(parts)
-            learn(list(new))
-        return b"".join(map(known.__getitem__, parts))
-
-    return encode
+    """Texts to their ids as little-endian unsigned 32-bit numbers; see `word_ids`."""
+    words = WordIds(byte_level_learner(load_tokenizer(path), ranks_path, pattern))
+    return lambda texts: words.texts([chunks(text) for text in texts])
 
 
 def token_pieces(
@@ -115,10 +53,11 @@ def token_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path, *(ranks or ())), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, DOCS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, DOCS_AT_ONCE)):
             ids, numbers, starts, lengths, sums = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = encode(text.as_py() or "") + end
+            texts = encode([text or "" for text in batch.column(1).to_pylist()])
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                raw = text + end
                 total, at, k = len(raw) // 4, 0, 0
                 while at < total:
                     take = (total - at) % capacity or capacity

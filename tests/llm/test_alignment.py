@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelake.llm import alignment
+from pagelake.llm import alignment, word_ids
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -51,7 +51,7 @@ def plain(texts, coders):
         cuts = sorted({e for _, e, _ in one} & {e for _, e, _ in two})
         groups, begin = [], 0
         inside = lambda part, x, y: ",".join(str(k) for s, e, k in part if x <= s and e <= y)
-        if len(raw) < 1_600:
+        if len(raw) < 4_000:
             for end in cuts:
                 groups.append(inside(one, begin, end) + "|" + inside(two, begin, end))
                 begin = end
@@ -97,7 +97,8 @@ def test_identity_map(coders):
     words = coders[2]
     named = [k for k, b in enumerate(words.same) if b >= 0]
     assert len(named) > 5_000 and all(words.a[k] == words.b[words.same[k]] for k in named)
-    assert all(words.same[k] < 0 for k, raw in enumerate(words.a) if raw not in set(words.b))
+    known = set(words.b)
+    assert all(words.same[k] < 0 for k, raw in enumerate(words.a) if raw not in known)
 
 
 def test_odd_rows(spark, odd, empty, coders):
@@ -111,5 +112,5 @@ def test_words_forgotten(spark, documents, monkeypatch):
     """A worker that forgets its words comes to the same rows."""
     some = documents.where(F.col("doc_id") < 40)
     whole = sorted(found(some))
-    monkeypatch.setattr(alignment, "CHUNKS_KEPT", 500)
+    monkeypatch.setattr(word_ids, "WORDS_KEPT", 500)
     assert sorted(found(some)) == whole
