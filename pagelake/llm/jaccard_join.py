@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from pagelake.llm.components import components, merged
 from pagelake.llm.shared import keep_rows, numbered
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import skew_join
+from pagelake.plans.skew import lookup_join, skew_join
 
 SHINGLE = 5
 # Light sets are looked for up to this size; larger ones have too many subsets.
 MOST_LIGHT = 24
 # A pair that is met on a list costs as much as so many subsets.
 PAIR_COST = 20
-COUNTERS = 1 << 16
+# Counters of the sketch, and in how many places a shingle is counted.
+COUNTERS, PLACES = 1 << 15, 3
 WORDS_KEPT = 100_000
 # Rows with whole sets of one key in a task.
 WIDE_ROWS = 20_000
@@ -93,30 +94,37 @@ def raw_texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 
 
 def slots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counter and sign of each shingle."""
-    return (shingles >> np.uint64(48)).astype(np.int64), 1 - 2 * (shingles & np.uint64(1)).astype(np.int64)
+    """Counter and sign of each shingle (columns) in each of its places (rows)."""
+    at = np.stack([(shingles >> np.uint64(16 * k)) % np.uint64(COUNTERS) + np.uint64(k * COUNTERS) for k in range(PLACES)])
+    sign = np.stack([(shingles >> np.uint64(63 - k)) & np.uint64(1) for k in range(PLACES)])
+    return at.astype(np.int64), 1 - 2 * sign.astype(np.int64)
 
 
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
-    """COUNTERS signed sums over the distinct shingles of all documents. A shingle's sum times its
+    """Signed sums over the distinct shingles of all documents (a count sketch). A shingle's sum times its
     sign estimates in how many documents it stands. Each task sends its counters once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sums = Shingler(), np.zeros(COUNTERS, np.int64)
+        shingler, sums = Shingler(), np.zeros(PLACES * COUNTERS, np.int64)
         for batch in batches:
             for raw in raw_texts(batch, 0):
-                at, sign = slots(shingler.shingles(raw))
-                np.add.at(sums, at, sign)
+                np.add.at(sums, *slots(shingler.shingles(raw)))
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["slot", "total"])
 
     parts = docs.select("text").mapInArrow(count, "slot long, total long")
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(PLACES * COUNTERS, np.int64)
     for slot, total in parts.groupBy("slot").agg(F.sum("total").alias("total")).collect():
         out[slot] = total
     return out
 
 
+def estimates(sketch: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The largest of a shingle's estimates: a frequent shingle looks rare only if others hide it in all its places."""
+    at, sign = slots(shingles)
+    return np.maximum((sketch[at] * sign).max(0), 0)
+
+
 def led_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(row, doc_id, digest, n, lead): a set's digest, its size, and its rarest shingles in order (all of a set of
     up to MOST_LIGHT, else those that enter lists). Written once."""
@@ -128,8 +136,7 @@ def led_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for raw in raw_texts(batch, 1):
                 shingles = shingler.shingles(raw)
                 n = len(shingles)
-                at, sign = slots(shingles)
-                order = np.argsort(np.maximum(sketch[at] * sign, 0), kind="stable")
+                order = np.argsort(estimates(sketch, shingles), kind="stable")
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sizes.append(n)
                 leads.append(shingles[order[: n if n <= MOST_LIGHT else entering(n)]].view(np.int64))
@@ -207,8 +214,9 @@ def listed(sets: DataFrame) -> DataFrame:
     return materialize(entries.join(shared, "token").select("token", "row", "n", "pos"), "lists")
 
 
-def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, shingles) of the wanted rows (row), made again from their texts. A row that is there twice does no harm. Written once."""
+def whole_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, shingles) of the rows of these pairs (a, b), made again from their texts. A row that is there twice does no harm. Written once."""
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     named = materialize(keep_rows(rows.select("row", "doc_id", "digest"), wanted, "left_semi", "row"), "wanted-sets")
     texts = keep_rows(docs, named.select("doc_id").distinct(), "left_semi", "doc_id")
 
@@ -220,10 +228,10 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "shingles"])
 
     made = texts.select("text").mapInArrow(make, "digest binary, shingles binary")
-    return materialize(made.join(named.select("row", "digest"), "digest").select("row", "shingles"), "whole-sets")
+    return materialize(lookup_join(made, named.select("row", "digest"), ["digest"], "inner", ["shingles"]).select("row", "shingles"), "whole-sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Written once."""
 
     @F.pandas_udf("boolean")
@@ -235,6 +243,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * shared >= 80 * (len(x) + len(y) - shared))
         return pd.Series(out, dtype=bool)
 
+    sets = whole_sets(docs, rows, pairs)
     side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"shingles_{end}"))
     met = skew_join(pairs, side("b"), ["b"], "inner", ["a"], WIDE_ROWS)
     met = skew_join(met, side("a"), ["a"], "inner", ["b"], WIDE_ROWS)
@@ -252,13 +261,13 @@ def in_order(met: DataFrame, a: str = "x.row", b: str = "y.row") -> DataFrame:
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def heavy_links(spots: DataFrame, roots: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+def heavy_links(spots: DataFrame, roots: DataFrame, most: int, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The components `roots` after the links between sets of which one is larger than `most`."""
     entry = F.struct("pos", "row", "n")
     central = spots.groupBy("token").agg(F.min(entry).alias("x"))
     stars = spots.select("token", entry.alias("y")).join(central, "token").where("x.row <> y.row").where(may_link("x", "y", most))
     known = materialize(in_order(stars), "met-pairs")
-    roots = merged(roots, linked(known, sets))
+    roots = merged(roots, linked(known, docs, rows))
 
     def still_open(entries: DataFrame) -> DataFrame:
         """The entries (token, entry) of lists with several components, with the component of each."""
@@ -278,9 +287,9 @@ def heavy_links(spots: DataFrame, roots: DataFrame, sets: DataFrame, most: int)
     ahead = materialize(ranked.where(F.col("rank") <= LEADERS).drop("rank"), "central")
     more = meet(ahead, entries, "x.row <> y.row")
     known = known.unionByName(more)
-    roots = merged(roots, linked(more, sets))
+    roots = merged(roots, linked(more, docs, rows))
     entries = still_open(entries.select("token", "entry"))
-    return merged(roots, linked(meet(entries, entries, "x.row < y.row"), sets))
+    return merged(roots, linked(meet(entries, entries, "x.row < y.row"), docs, rows))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +309,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(light_links(sets, most))
     # Sets too small for any heavy one are done.
     spots = spots.where(5 * F.col("n") >= 4 * F.lit(most + 1))
-    roots = heavy_links(spots, roots, whole_sets(docs, rows, spots.select("row").distinct()), most)
+    roots = heavy_links(spots, roots, most, docs, rows)
     owned = same.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     owned = materialize(owned, "owned-sets")
     whole = owned.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -92,7 +92,7 @@ def test_clusters(spark, clusters, monkeypatch, light):
 
 def test_order_does_not_matter(spark, clusters, monkeypatch):
     """Without frequencies and further leaders the links are the same."""
-    monkeypatch.setattr(join, "frequency_sketch", lambda docs: join.np.zeros(join.COUNTERS, join.np.int64))
+    monkeypatch.setattr(join, "frequency_sketch", lambda docs: join.np.zeros(join.PLACES * join.COUNTERS, join.np.int64))
     monkeypatch.setattr(join, "LEADERS", 1)
     assert found(spark.createDataFrame(clusters, "doc_id long, text string")) == plain(clusters)
 
