@@ -95,7 +95,11 @@ def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     counted = materialize(unit_counts(docs, needs), "unit-counts")
     sizes = counted.where(F.col("unit") == END).agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))).scalar()
     total, mean_len = sizes["docs"], sizes["mean_len"]
-    counts = counted.where(F.col("unit") != END)
+    return scored_hits(needs, counted.where(F.col("unit") != END), total, mean_len, k1, b)
+
+
+def scored_hits(needs: DataFrame, counts: DataFrame, total: Column, mean_len: Column, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score) from what queries need and a written table of unit counts (doc_id, doc_len, unit, phrase, tf)."""
     spread = counts.groupBy("unit", "phrase").agg(F.count(F.lit(1)).alias("df"))
     wanted = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))

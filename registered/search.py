@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagelake.operators import index as index_ops
 from pagelake.operators import requests as req
 from pagelake.operators import search as ops
-from pagelake.plans.reuse import materialize
+from pagelake.plans.reuse import materialize, scratch_path
 from pagelake.sources.pages import load_documents
 
 # Asked of every document: single words, pairs, quoted phrases, and one without hits.
@@ -67,6 +68,26 @@ def rank_bm25(spark, sf):
     return scored(spark, sf).withColumn("score", F.round("score", 5))
 
 
+def search_index(spark, sf):
+    """The documents as an index in three segments, of which the first two were merged."""
+    index = index_ops.SearchIndex(spark, scratch_path(spark, "index"))
+    docs = documents(spark, sf)
+    index.append(docs.where("doc_id % 3 = 0"))
+    index.append(docs.where("doc_id % 3 = 1"))
+    index.merge()
+    index.append(docs.where("doc_id % 3 = 2"))
+    return index
+
+
+def rank_bm25_index(spark, sf):
+    return index_ops.rank_index(search_index(spark, sf), asked(spark, sf)).withColumn("score", F.round("score", 5))
+
+
+def page_results_index(spark, sf):
+    """The first hundred hits per query by block limits."""
+    return index_ops.page_index(search_index(spark, sf), asked(spark, sf), 1, 100, places=5).select("query_id", "doc_id", "rank")
+
+
 def page_results(spark, sf):
     hits = scored(spark, sf).withColumn("score", F.round("score", 5))
     paged = ops.page_results(hits, pageno=(F.col("query_id") % 3 + 1).cast("int"), page_size=20, max_results=15)
@@ -263,6 +284,8 @@ QUERIES = {
     "project_hits": project_hits,
     "match_documents": match_documents,
     "rank_bm25": rank_bm25,
+    "rank_bm25_index": rank_bm25_index,
+    "page_results_index": page_results_index,
     "merge_engines": merge_engines,
     "page_results": page_results,
     "page_results_first": page_results_first,
@@ -418,3 +441,5 @@ ORACLES = {
     "snippet": f"""SELECT doc_id, {cut('text', 200)} AS simple, {cut('text', 300)} AS pretty, {cut('text', 10000)} AS numbered FROM documents""",
     **{f"render_results_{mode}": render_sql(mode) for mode in ENTRY_SQL},
 }
+ORACLES["rank_bm25_index"] = ORACLES["rank_bm25"]
+ORACLES["page_results_index"] = ORACLES["page_results_first"]
