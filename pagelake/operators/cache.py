@@ -44,11 +44,6 @@ def cache_entries(results: DataFrame, created_at: Column, ttl_seconds: int = set
     )
 
 
-def write_entries(new: DataFrame, path: str, batch_id: int) -> None:
-    """Store new cache rows in the folder of their batch; storing a batch again replaces it."""
-    new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
 def look_up(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Requests (key, ts, ...) with `hit`, and `data` and `created_at` of the live entry.
 

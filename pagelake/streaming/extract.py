@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagelake.operators.cache import CACHE_SCHEMA, path_exists, write_entries
 from pagelake.operators.extract import Extractor, extract
-from pagelake.plans.reuse import scratch_scope
-
+from pagelake.plans.reuse import materialize, scratch_scope
+from pagelake.sources.page_store import PageStore
+from pagelake.streaming.cache_store import FAN, CacheStore
 
-def cache_before(spark: SparkSession, path: str, batch_id: int, now) -> DataFrame:
-    """Live cache rows of earlier batches; a batch that is replayed does not see its own.
-
-    A stream has one lifetime for all entries, so behind an expired entry there is no
-    live one, and expired files are skipped by their statistics.
-    """
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    stored = spark.read.schema(f"{CACHE_SCHEMA}, batch_id LONG").parquet(path)
-    return stored.where((F.col("batch_id") < batch_id) & (F.col("expires_at") > F.lit(now))).drop("batch_id")
+SLACK = datetime.timedelta(hours=1)
 
 
 def stream_extract(
     requests: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageStore,
     schema: dict,
     extractor: Extractor,
     cache_path: str,
     results_path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    fan: int = FAN,
+    slack: datetime.timedelta = SLACK,
     **options,
 ) -> StreamingQuery:
     """Start `operators.extract.extract` per micro-batch of (request_id, url, asked_at).
 
-    Results and new cache rows go to one folder per batch, replaced when the batch is
-    replayed, so a restart neither loses nor doubles rows. The batch's time is its latest
-    request, which a replay sees alike. `trigger` takes the arguments of Spark's trigger, for
+    Results go to one folder per batch and new cache rows to a part of the cache (`CacheStore`), both
+    replaced when the batch is replayed, so a restart neither loses nor doubles rows. `fan` parts
+    are merged into one from time to time, without rows that no batch can find any more: a batch's time may
+    lie up to `slack` before that of an earlier one. With a page store a batch reads only the folders of
+    its urls. The batch's time is its latest request, which a replay sees alike. `trigger` takes the arguments of Spark's trigger, for
     example {"processingTime": "1 minute"} for a stream that goes on; by default what is there is worked off.
     """
 
@@ -48,10 +45,13 @@ def stream_extract(
         if now is None:
             return
         with scratch_scope(spark):
-            cache = cache_before(spark, cache_path, batch_id, now)
-            outcome = extract(batch, pages, schema, extractor, cache, F.lit(now), **options)
+            store = CacheStore(spark, cache_path, fan)
+            while store.compact(batch_id, now - slack):
+                pass
+            outcome = extract(batch, pages, schema, extractor, store.before(batch_id, now), F.lit(now), **options)
+            entries = materialize(outcome.new_entries, "new-entries")
             outcome.results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
-            write_entries(outcome.new_entries, cache_path, batch_id)
+            store.add(entries, batch_id)
 
     return (
         requests.writeStream.foreachBatch(run)

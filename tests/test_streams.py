@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pagelake.functions.sql import register
 from pagelake.operators.cache import cached_flag
 from pagelake.operators.extract import rule_extractor
+from pagelake.sources.page_store import PageStore, write_page_store
 from pagelake.sources.pages import PAGE_SCHEMA, load_page_stream
 from pagelake.streaming.cached_flag import stream_cached_flag
-from pagelake.streaming.extract import cache_before, stream_extract
+from pagelake.streaming.cache_store import CacheStore, merged
+from pagelake.streaming.extract import stream_extract
 from pagelake.streaming.pages import stream_clean
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -85,10 +87,64 @@ def test_stream_extract_uses_earlier_batches_only(spark, tmp_path):
     rows = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "results")).collect()}
     assert [rows[i].cached for i in (1, 2, 3, 4, 5)] == [False, False, True, False, False]
     assert rows[6].stage == "fetch" and rows[1].data == rows[3].data
-    seen = [cache_before(spark, str(tmp_path / "cache"), *at).count() for at in ((0, T0), (1, T0), (2, T0), (1, T0 + datetime.timedelta(hours=24)))]
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    seen = [store.before(*at).count() for at in ((0, T0), (1, T0), (2, T0), (1, T0 + datetime.timedelta(hours=24)))]
     assert seen == [0, 1, 2, 0]
 
 
+def test_stream_extract_with_merged_cache_and_store(spark, tmp_path):
+    """A stream whose cache is merged between batches, over a page store, gives what one without gives."""
+    table = write_pages(spark, str(tmp_path / "pages"))
+    write_page_store(table, str(tmp_path / "store"), 4)
+    schema = {"type": "object", "properties": {"name": {"type": "string"}}, "required": ["name"]}
+    incoming = "request_id LONG, url STRING, asked_at TIMESTAMP"
+    found = {}
+    for name, pages, fan in (("plain", table, 100), ("merged", PageStore(spark, str(tmp_path / "store")), 2)):
+        folder = tmp_path / name
+        for k, hour in enumerate((0, 5, 23, 25, 26, 50)):
+            rows = [(3 * k + i, SITE + place, T0 + datetime.timedelta(hours=hour)) for i, place in enumerate(("/a", "/b", "/none"))]
+            spark.createDataFrame(rows, incoming).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            stream_extract(
+                spark.readStream.schema(incoming).parquet(str(folder / "in")), pages, schema, rule_extractor({"name": ("^([A-Z][a-z]+)", 1)}),
+                str(folder / "cache"), str(folder / "results"), str(folder / "log"), fan=fan,
+            ).awaitTermination()
+        rows = spark.read.parquet(str(folder / "results")).select("request_id", "status", "stage", "cached", "data").collect()
+        found[name] = sorted(map(tuple, rows), key=repr)
+    assert found["plain"] == found["merged"] and {r[3] for r in found["plain"]} == {True, False, None}
+    store = CacheStore(spark, str(tmp_path / "merged" / "cache"), 2)
+    parts = store.parts()[1]
+    assert len(parts) < 6 and max(p["level"] for p in parts) >= 1 and len(CacheStore(spark, str(tmp_path / "plain" / "cache")).parts()[1]) == 6
+    folders = {p.name for p in (tmp_path / "merged" / "cache" / "parts").iterdir() if not p.name.startswith(".")}
+    assert folders == {p["name"] for p in parts}
+    # Rows that expired before the last merge are gone.
+    assert store.rows(parts).agg(F.min("expires_at")).first()[0] > T0 + datetime.timedelta(hours=24)
+
+
+def entries(spark, *rows):
+    hours = lambda h: T0 + datetime.timedelta(hours=h)
+    return spark.createDataFrame([(k, d, hours(c), hours(e)) for k, d, c, e in rows], "key STRING, data STRING, created_at TIMESTAMP, expires_at TIMESTAMP")
+
+
+def test_merging_and_replay(spark, tmp_path):
+    store = CacheStore(spark, str(tmp_path), 3)
+    assert store.before(9).count() == 0 and not store.compact(5, T0)
+    batches = [entries(spark, ("a", "1", 0, 24), ("b", "2", 0, 24)), entries(spark, ("a", "3", 2, 26)), entries(spark, ("a", "4", 9, 33), ("c", None, 9, 33))]
+    for k, rows in enumerate(batches):
+        store.add(rows, k)
+    horizon = T0 + datetime.timedelta(hours=5)
+    # Batch 2 itself is running: two parts before it, nothing to merge; from batch 3 on there are three.
+    assert not store.compact(2, horizon) and store.compact(3, horizon) and not store.compact(3, horizon)
+    rows = sorted((r.key, r.data) for r in store.before(3).collect())
+    assert rows == [("a", "3"), ("a", "4"), ("b", "2"), ("c", None)] and len(store.parts()[1]) == 1
+    store.add(entries(spark, ("d", "5", 10, 34)), 3)
+    assert store.before(3).count() == 4 and store.before(4).count() == 5
+    store.add(entries(spark, ("d", "6", 10, 34), ("e", "7", 10, 34)), 3)
+    assert sorted(r.data for r in store.before(4).where("key IN ('d', 'e')").collect()) == ["6", "7"]
+    assert store.before(4, T0 + datetime.timedelta(hours=24)).where("key = 'b'").count() == 0
+    late = merged(store.before(4), F.lit(T0 + datetime.timedelta(hours=33)))
+    assert sorted(r.key for r in late.collect()) == ["d", "e"]
+
+
 def test_sql_names(spark):
     register(spark)
     text = "'ab' || repeat('c', 20) || '\\n\\nLinks found on this page:\\nx: y'"
