@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelake import settings
 from pagelake.functions.text import as_array, truncate_content
+from pagelake.operators.containment import contained
 from pagelake.operators.fetch import pages_at, truncate
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import keep_listed, skew_join, top_k
@@ -39,6 +40,22 @@ def filter_links(links: DataFrame, filters) -> DataFrame:
     return links.where(filters.isNull() | anchor_matches(F.col("anchor_text"), filters))
 
 
+def filter_links_table(links: DataFrame, filters: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Link rows whose anchor holds, ignoring case, any filter of a table (keys, filter) for its keys.
+
+    Keys are columns of both, such as the seed; without any, all filters apply to all links. A key without
+    a filter in the table keeps all its links, and so does an empty table. A null anchor fits no filter.
+    """
+    keys = keys or []
+    lowered = filters.where(F.col("filter").isNotNull()).select(*keys, F.lower("filter").alias("_filter"))
+    anchors = links.withColumn("_anchor", F.lower("anchor_text"))
+    fitting = contained(anchors, lowered, "_anchor", "_filter", keys).select(*keys, "_anchor").distinct()
+    kept = anchors.join(fitting, [*keys, "_anchor"], "left_semi").drop("_anchor")
+    if keys:
+        return kept.unionByName(links.join(lowered.select(*keys).distinct(), keys, "left_anti"))
+    return kept if lowered.head(1) else links
+
+
 def select_subpages(links: DataFrame, k: int = settings.DEFAULT_SUBPAGE_LIMIT, seed: str = "page_url") -> DataFrame:
     """The first k links of each seed in page order."""
     return top_k(links, [seed], [F.col("pos")], max(k, 0), ["url"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelake import settings
 from pagelake.functions.text import snippet
+from pagelake.operators.containment import found_in_texts
 from pagelake.operators.requests import normalise_requests, split_valid, validate_requests
 from pagelake.plans.reuse import materialize
 from pagelake.plans.skew import fits, lookup_join, skew_join, top_k
@@ -85,6 +86,33 @@ def match_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return rank_bm25(docs, queries).select("query_id", "doc_id")
 
 
+def match_substrings(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id) where the document has all bare words of the query and holds each quoted phrase as
+    a substring, ignoring case: `"book shop"` is in "bookshops" no more than in "books", but `"ook"` is in both.
+
+    All phrases are looked for in one pass over the texts.
+    """
+    outside = F.regexp_replace("query", '"[^"]*"', " ")
+    bare = queries.select("query_id", F.explode(F.array_distinct(words(outside))).alias("unit"))
+    quoted = F.regexp_extract_all("query", F.lit('"([^"]+)"'), 1)
+    held = queries.select("query_id", F.explode(F.array_distinct(F.transform(quoted, F.lower))).alias("unit"))
+    needs = bare.withColumn("phrase", F.lit(False)).unionByName(held.withColumn("phrase", F.lit(True)))
+    needs = materialize(needs, "query-needs")
+    single = unit_counts(docs, needs.where(~F.col("phrase"))).where(F.col("unit") != END).select("doc_id", "unit", "phrase")
+    lowered = docs.select("doc_id", F.lower("text").alias("text"))
+    phrases = found_in_texts(lowered, needs.where("phrase").select(F.col("unit").alias("pattern")))
+    units = materialize(single.unionByName(phrases.select("doc_id", F.col("pattern").alias("unit"), F.lit(True).alias("phrase"))), "document-units")
+    wanted = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    # A query starts from its rarest unit.
+    known = lookup_join(needs, units.groupBy("unit", "phrase").agg(F.count(F.lit(1)).alias("df")), ["unit", "phrase"], "left", ["query_id"])
+    rarest = known.groupBy("query_id").agg(F.min(F.struct("df", "unit", "phrase")).alias("r"), F.count("df").alias("known")).join(wanted, "query_id")
+    rarest = rarest.where("known = wanted").select("query_id", "r.unit", "r.phrase")
+    begun = lookup_join(units, rarest, ["unit", "phrase"], "inner", ["doc_id"]).select("query_id", "doc_id")
+    asked = lookup_join(begun, needs.join(wanted, "query_id"), ["query_id"], "inner", ["doc_id"])
+    met = asked.join(units, ["doc_id", "unit", "phrase"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got"), F.max("wanted").alias("wanted"))
+    return met.where("got = wanted").select("query_id", "doc_id")
+
+
 def rank_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """Matching documents per query with a BM25 score over the query's words.
 

@@ -64,6 +64,22 @@ def match_documents(spark, sf):
     return ops.match_documents(documents(spark, sf).select("doc_id", "text"), asked(spark, sf))
 
 
+# Quoted parts of words, of several words, with signs between, and together with bare words.
+QUOTED = [(1, '"ion"'), (2, '"E TH"'), (3, 'the "ing of"'), (4, '"a "'), (5, 'und "SCH"'), (6, '". "'), (7, '"nosuch" the'), (8, 'le "on" "es d"')]
+
+
+def quoted(spark, sf):
+    """Fixed queries, and letters from inside each benchmark passage."""
+    derived = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        (F.col("item_id") + 1000).alias("query_id"), F.concat(F.lit('"'), F.regexp_replace(F.substring("text", 4, 25), '"', " "), F.lit('"')).alias("query")
+    )
+    return spark.createDataFrame(QUOTED, "query_id BIGINT, query STRING").unionByName(derived)
+
+
+def match_substrings(spark, sf):
+    return ops.match_substrings(documents(spark, sf).select("doc_id", "text"), quoted(spark, sf))
+
+
 def rank_bm25(spark, sf):
     return scored(spark, sf).withColumn("score", F.round("score", 5))
 
@@ -283,6 +299,7 @@ QUERIES = {
     "filter_results": filter_results,
     "project_hits": project_hits,
     "match_documents": match_documents,
+    "match_substrings": match_substrings,
     "rank_bm25": rank_bm25,
     "rank_bm25_index": rank_bm25_index,
     "page_results_index": page_results_index,
@@ -443,3 +460,9 @@ ORACLES = {
 }
 ORACLES["rank_bm25_index"] = ORACLES["rank_bm25"]
 ORACLES["page_results_index"] = ORACLES["page_results_first"]
+QUOTED_SQL = ", ".join("({}, '{}')".format(*row) for row in QUOTED)
+ORACLES["match_substrings"] = f"""WITH q AS (SELECT query_id, query FROM (VALUES {QUOTED_SQL}) AS t(query_id, query)
+    UNION ALL SELECT item_id + 1000, '"' || replace(substr(text, 4, 25), '"', ' ') || '"' FROM benchmark),
+  parsed AS (SELECT query_id, {WORDS.format("regexp_replace(query, '\"[^\"]*\"', ' ', 'g')")} AS terms, regexp_extract_all(query, '"([^"]+)"', 1) AS phrases FROM q),
+  docs AS (SELECT doc_id, lower(text) AS text, {WORDS.format("text")} AS tokens FROM documents)
+  SELECT query_id, doc_id FROM parsed, docs WHERE list_has_all(tokens, terms) AND len(list_filter(phrases, lambda p: NOT contains(text, lower(p)))) = 0"""
