@@ -14,8 +14,8 @@ with one comparison each. A member leaves when it is in the smallest one's class
 and, by the triangle inequality of the distance, can't be close to any member that is not.
 LEADERS more of each bucket meet the open members, classes are merged, and open members of small
 buckets are compared pair by pair; those of crowded buckets (a frequent
-passage brings unlike texts together) are dealt again by FINE_KEYS longer keys from the same samples,
-and meet only there. So a group of near copies costs one comparison a member, and a
+passage brings unlike texts together) meet by their rare shingles, as far as the weights they
+can share reach the similarity (`crowd_pairs`, exact). So a group of near copies costs one comparison a member, and a
 frequent passage no more than its few alike texts.
 """
 
@@ -43,12 +43,12 @@ DOUBT = 5.0
 DF_BUCKETS = 1 << 16
 POOL = 1 << 16
 SEED = 20100713
-# Above so many open rows a bucket is dealt again by finer keys: FINE_KEYS keys of FINE_ROWS samples each.
-# Of pairs with similarity 0.8 they miss about one in two hundred, of pairs with 0.5 they pass one in sixty.
+# Open rows of buckets with more of them meet by their rare shingles, which loses no pair.
 CROWDED = 8
+# Sums of weights are compared with so much room.
+ROUNDING = 1 - 1e-6
 # So many further rows of each bucket meet all its open ones before that.
 LEADERS = 4
-FINE_KEYS, FINE_ROWS = 300, 14
 WORDS_KEPT = 100_000
 HASHES_AT_ONCE = 24
 WORD = re.compile(r"\w+")
@@ -283,30 +283,42 @@ def near_links(reps: DataFrame, rows: DataFrame, sampler: Sampler, least: float
     active = mixed(classed(rest, "row", "own"))
     small = active.where(F.col("n") <= CROWDED).select("bucket", "row", "own")
     crowd = materialize(active.where(F.col("n") > CROWDED).select("row", "own").distinct(), "near-crowd")
-    sketches = keep_rows(rows.select("row", "sketch"), crowd.select("row"), "left_semi", "row").join(crowd, "row")
-    fine = sketches.select(F.explode(finer_keys(F.col("sketch"))).alias("bucket"), "row", "own")
-    open_rows = small.unionByName(fine)
-    last = measured(met(open_rows, open_rows), rows, sampler, least)
+    pairs = met(small, small).unionByName(crowd_pairs(rows, crowd, sampler, least).join(known, ["a", "b"], "left_anti")).distinct()
+    last = measured(materialize(pairs, "near-pairs"), rows, sampler, least)
     return merged(roots, last.where(F.col("similarity") >= least))
 
 
-def finer_keys(sketch: Column) -> Column:
-    """FINE_KEYS keys of a sketch, each of FINE_ROWS of its samples."""
-    draw = np.random.default_rng(SEED + 1)
-    subsets = np.stack([draw.choice(BANDS * ROWS, FINE_ROWS, replace=False) for _ in range(FINE_KEYS)])
-    odd = draw.integers(1 << 62, size=FINE_ROWS, dtype=np.uint64) | np.uint64(1)
+def crowd_pairs(rows: DataFrame, crowd: DataFrame, sampler: Sampler, least: float) -> DataFrame:
+    """All pairs (a, b) of these rows (row, own), of different `own`, that can be similar: no similar pair is left out.
 
-    @F.pandas_udf("array<long>")
-    def keys(raw: pd.Series) -> pd.Series:
-        out = []
-        for begin in range(0, len(raw), 256):
-            values = np.frombuffer(b"".join(raw[begin : begin + 256]), "<u2").reshape(-1, BANDS * ROWS).astype(np.uint64)
-            mixed = ((values[:, subsets] + np.uint64(1)) * odd).sum(2, dtype=np.uint64)
-            mixed = (mixed ^ (mixed >> np.uint64(31)) ^ (np.arange(FINE_KEYS, dtype=np.uint64) * MIX)) * ODD[1]
-            out.extend(mixed.view(np.int64))
-        return pd.Series(out)
+    A row's shingles are ordered from rare to frequent. Similar rows share a shingle before which less than
+    1 - least of the weight lies, and at the first one they share the weights from there on must
+    still reach what the similarity asks of both sums. So rows that share a frequent passage and little else don't meet.
+    """
 
-    return keys(sketch)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k in range(batch.num_rows):
+                shingles = np.frombuffer(batch.column(2)[k].as_buffer(), "<u4")
+                times = batch.column(3)[k].as_buffer() if batch.column(3)[k].is_valid else None
+                weights = sampler.weights(shingles, None if times is None else np.frombuffer(times, "<u4")).astype(float)
+                order = np.argsort(-sampler.idf[shingles & np.uint32(DF_BUCKETS - 1)], kind="stable")
+                rest = np.cumsum(weights[order][::-1])[::-1]
+                inside = np.flatnonzero(rest >= least * rest[:1] * ROUNDING)
+                kept.append((np.full(len(inside), k), shingles[order[inside]].astype(np.int64), np.full(len(inside), rest[:1].sum()), rest[inside]))
+            at, token, weight, rest = map(np.concatenate, zip(*kept)) if kept else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *map(pa.array, (token, weight, rest))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "own", "token", "weight", "rest"])
+
+    sets = keep_rows(rows.select("row", "shingles", "times"), crowd.select("row"), "left_semi", "row").join(crowd, "row")
+    made = sets.select("row", "own", "shingles", "times").mapInArrow(entries, "row long, own long, token long, weight double, rest double")
+    made = materialize(made, "near-entries")
+    sides = [made.select("token", *[F.col(c).alias(f"{c}_{end}") for c in ("row", "own", "weight", "rest")]) for end in "ab"]
+    sizes = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least * ROUNDING)
+    reach = F.least("rest_a", "rest_b") >= (F.col("weight_a") + F.col("weight_b")) * (least / (1 + least) * ROUNDING)
+    pairs = sides[0].join(sides[1], "token").where("row_a < row_b AND own_a <> own_b").where(sizes & reach)
+    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,28 @@ def test_components_of_a_long_path(spark):
 
 def test_registered_columns(spark):
     assert queries.op9_near_dedup(spark, "/root/testdata/sf0.001").columns == ["doc_id", "class_id", "class_size", "kept"]
+
+
+def test_crowd_pairs_leave_out_no_similar_pair(spark):
+    """A thousand rows of one crowded bucket: texts around a passage, pairs of them near the threshold. Every similar
+    pair meets, and few others do."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for k in range(500):
+        own = [f"q{k}x{j}" for j in range(int(rng.integers(20, 90)))]
+        texts.append(passage + own)
+        edited = [w if rng.random() > 0.018 else f"e{k}x{j}" for j, w in enumerate(passage + own)]
+        texts.append(edited)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sampler = near_dedup.sampler_for(near_dedup.document_frequencies(docs.select("text")))
+    rows = near_dedup.vectors(docs, sampler, "doc_id", "text")
+    by_row = {r.row: r for r in rows.collect()}
+    weighted = {}
+    for k, r in by_row.items():
+        shingles = np.frombuffer(r.shingles, "<u4")
+        weighted[k] = shingles, sampler.weights(shingles, None if r.times is None else np.frombuffer(r.times, "<u4"))
+    met = {tuple(r) for r in near_dedup.crowd_pairs(rows, rows.select("row", F.col("row").alias("own")), sampler, 0.8).collect()}
+    similar = {p for p in itertools.combinations(sorted(weighted), 2) if near_dedup.similarity(*weighted[p[0]], *weighted[p[1]]) >= 0.8}
+    close = [p for p in similar if near_dedup.similarity(*weighted[p[0]], *weighted[p[1]]) < 0.83]
+    assert similar <= met and len(close) > 20 and len(met) < 20_000
