@@ -10,9 +10,10 @@ order gives the same links). Sets that link share one of their first n - ceil(0.
 only these enter the lists, and at the first one they share, at places i and j, the rests n_a - i and n_b - j
 must still hold t(a, b) shingles. So unlike texts around one frequent passage don't meet.
 
-Links are found exactly, but within a component not every pair is measured. Each list's most central
-member (fewest rarer shingles) meets all others, then a few more do; lists whose members are in one
-component are settled, and in the others members of different components meet, each pair once.
+Pairs that meet are first compared by the least shingles of 64 ranges of hashes, which passes all that link, then
+exactly. Within a component not every pair is measured: each list's most central member (fewest rarer
+shingles) meets all others, then a few more do; lists whose members are in one component are settled, and in
+the others members of different components meet, each pair once.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ MOST_LIGHT = 24
 PAIR_COST = 20
 # Counters of the sketch, and in how many places a shingle is counted.
 COUNTERS, PLACES = 1 << 15, 3
+# The range of hashes is cut into bins; two sets that link have another least shingle in a bin with probability 0.2
+# at most, so in more than MOST_APART of them less than once in 10^13 pairs.
+BINS, MOST_APART = 64, 40
 WORDS_KEPT = 100_000
 # Rows with whole sets of one key in a task.
 WIDE_ROWS = 20_000
@@ -119,6 +123,15 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def least_by_bin(shingles: np.ndarray) -> bytes:
+    """A byte of the least shingle of each bin, 0 for an empty bin. `shingles` is sorted."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(shingles, edges)
+    ends = np.append(at[1:], len(shingles))
+    first = shingles[np.minimum(at, len(shingles) - 1)] if len(shingles) else np.zeros(BINS, np.uint64)
+    return np.where(at < ends, 1 + mixed(first) % np.uint64(255), np.uint64(0)).astype(np.uint8).tobytes()
+
+
 def estimates(sketch: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     """The largest of a shingle's estimates: a frequent shingle looks rare only if others hide it in all its places."""
     at, sign = slots(shingles)
@@ -126,24 +139,25 @@ def estimates(sketch: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def led_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(row, doc_id, digest, n, lead): a set's digest, its size, and its rarest shingles in order (all of a set of
+    """(row, doc_id, digest, bins, n, lead): a set's digest, `least_by_bin`, its size, and its rarest shingles in order (all of a set of
     up to MOST_LIGHT, else those that enter lists). Written once."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            digests, sizes, leads = [], [], []
+            digests, bins, sizes, leads = [], [], [], []
             for raw in raw_texts(batch, 1):
                 shingles = shingler.shingles(raw)
                 n = len(shingles)
                 order = np.argsort(estimates(sketch, shingles), kind="stable")
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                bins.append(least_by_bin(shingles))
                 sizes.append(n)
                 leads.append(shingles[order[: n if n <= MOST_LIGHT else entering(n)]].view(np.int64))
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "n", "lead"])
+            columns = [pa.array(digests, pa.binary()), pa.array(bins, pa.binary()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "bins", "n", "lead"])
 
-    return numbered(docs.mapInArrow(lead, "doc_id long, digest binary, n long, lead array<long>"), "led-sets")
+    return numbered(docs.mapInArrow(lead, "doc_id long, digest binary, bins binary, n long, lead array<long>"), "led-sets")
 
 
 def entering(n):
@@ -243,13 +257,24 @@ def linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
             out.append(100 * shared >= 80 * (len(x) + len(y) - shared))
         return pd.Series(out, dtype=bool)
 
-    sets = whole_sets(docs, rows, pairs)
-    side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"shingles_{end}"))
-    met = skew_join(pairs, side("b"), ["b"], "inner", ["a"], WIDE_ROWS)
-    met = skew_join(met, side("a"), ["a"], "inner", ["b"], WIDE_ROWS)
+    @F.pandas_udf("boolean")
+    def close(one: pd.Series, two: pd.Series) -> pd.Series:
+        load = lambda raw: np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BINS)
+        return pd.Series((load(one) != load(two)).sum(1) <= MOST_APART)
+
+    pairs = _with_both(pairs, rows, "bins").where(close("bins_a", "bins_b")).select("a", "b")
+    pairs = materialize(pairs, "close-pairs")
+    met = _with_both(pairs, whole_sets(docs, rows, pairs), "shingles")
     return materialize(met.where(link("shingles_a", "shingles_b")).select("a", "b").distinct(), "links")
 
 
+def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with a column of both rows."""
+    side = lambda end: rows.select(F.col("row").alias(end), F.col(column).alias(f"{column}_{end}"))
+    met = skew_join(pairs, side("b"), ["b"], "inner", ["a"], WIDE_ROWS)
+    return skew_join(met, side("a"), ["a"], "inner", ["b"], WIDE_ROWS)
+
+
 def may_link(a: str, b: str, most: int) -> Column:
     """Whether the entries (structs of row, n, pos) of two sets on one list leave a link open. Two light sets are settled."""
     n_a, n_b, rest_a, rest_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")
