@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pagelake import settings
 from pagelake.plans.asof import as_of
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import HOT_ROWS, hot_keys, top_k
+from pagelake.plans.skew import HOT_ROWS, fits, hot_keys, keep_listed, skew_join, top_k
 
 CACHE_SCHEMA = "key STRING, data STRING, created_at TIMESTAMP, expires_at TIMESTAMP"
 SECOND = 1_000_000
@@ -48,17 +48,25 @@ def look_up(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds
     """Requests (key, ts, ...) with `hit`, and `data` and `created_at` of the live entry.
 
     The latest entry of the key up to the request's time counts: it is a hit while it
-    lives and has data. A request without a key is always a miss.
+    lives and has data. A request without a key is always a miss. Of entries of one time the one that expires
+    last counts, then one with data. Data join last, for hits alone.
     """
-    entries = cache.select(
-        "key", micros(F.col("created_at")).alias("_created"), micros(F.col("expires_at")).alias("_expires"), "data", "created_at"
-    )
+    mark = F.xxhash64("data").alias("_mark")
+    named = cache.select("key", micros(F.col("created_at")).alias("_created"), micros(F.col("expires_at")).alias("_expires"), F.col("data").isNotNull().alias("_has"), mark, "data", "created_at")
     asked = requests.withColumn("_asked", micros(F.col(at)))
-    looked = as_of(asked, entries, ["key"], "_asked", "_created", slice_seconds * SECOND, found="_entry")
-    alive = (F.col("_asked") < F.col("_entry._expires")) & F.col("_entry.data").isNotNull()
-    live = F.coalesce(alive & F.col("key").isNotNull(), F.lit(False))
-    found = [F.when(live, F.col(f"_entry.{name}")).alias(name) for name in ("data", "created_at")]
-    return looked.select(*requests.columns, live.alias("hit"), *found)
+    # Entries of keys that are asked for; only what tells entries apart goes through the as-of join.
+    keys = requests.select("key").distinct()
+    entries = keep_listed(named, keys, ["key"]) if fits(keys) else named
+    entries = entries.select("key", "_created", "_expires", "_has", "_mark")
+    narrow = as_of(asked, entries, ["key"], "_asked", "_created", slice_seconds * SECOND, found="_entry")
+    live = F.coalesce((F.col("_asked") < F.col("_entry._expires")) & F.col("_entry._has") & F.col("key").isNotNull(), F.lit(False))
+    place = ["_created", "_expires", "_mark"]
+    narrow = narrow.select(*requests.columns, live.alias("hit"), *[F.when(live, F.col(f"_entry.{name}")).alias(name) for name in place])
+    narrow = materialize(narrow, "looked-up-places")
+    data = keep_listed(named.where("_has"), narrow.where("hit").select("key").distinct(), ["key"])
+    data = data.select("key", *place, "data", "created_at").dropDuplicates(["key", *place])
+    found = skew_join(narrow, data, ["key", *place], "left", [at])
+    return found.select(*requests.columns, "hit", "data", "created_at")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, at: str = "ts", slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,18 @@ def parse_envelopes(spark, sf):
     return envelopes(spark, sf).select("doc_id", "query", "number_of_results", F.size("results").alias("hits"), "error")
 
 
+def read_responses_indented(spark, sf):
+    """Every page as a stored response of two hits, one indented file each; a tenth is cut off."""
+    folder = scratch_path(spark, "responses")
+    hits = F.array(*[F.struct(F.col("url"), F.lit(title).alias("title"), F.lit("src").alias("engine")) for title in ("one", "two")])
+    body = F.to_json(F.struct(F.col("url").alias("query"), F.length("html").alias("number_of_results"), hits.alias("results")), {"pretty": "true"})
+    cut = F.when(F.col("page_id") % 10 == 3, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    pages(spark, sf).select("page_id", cut.alias("value")).write.partitionBy("page_id").text(folder)
+    rows = responses.read_search_responses(spark, folder, one_per_file=True)
+    number = F.regexp_extract("file", "page_id=([0-9]+)", 1).cast("long")
+    return rows.select(number.alias("page_id"), "query", "number_of_results", F.size("results").alias("hits"), "error")
+
+
 def explode_results(spark, sf):
     rows = responses.explode_envelope(envelopes(spark, sf).where("error IS NULL"), "results", ["doc_id"])
     return rows.select(
@@ -235,6 +247,7 @@ QUERIES = {
     "decode_responses": decode_responses,
     "fetch_responses": fetch_responses,
     "parse_envelopes": parse_envelopes,
+    "read_responses_indented": read_responses_indented,
     "explode_results": explode_results,
     "explode_answers": explode_answers,
     "explode_suggestions": explode_suggestions,
@@ -259,6 +272,9 @@ ORACLES = {
     "fetch_responses": f"""WITH {PAGE_CTES} SELECT page_id AS request_id, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status_code,
       CASE WHEN page_id % 10 = 0 THEN 'HTTP Error 404' END AS error, CASE WHEN page_id % 10 > 0 THEN content END AS content,
       CASE WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS kind FROM fetched""",
+    "read_responses_indented": """SELECT page_id, CASE WHEN page_id % 10 <> 3 THEN url END AS query,
+      CASE WHEN page_id % 10 <> 3 THEN length(html) END AS number_of_results, CASE WHEN page_id % 10 <> 3 THEN CAST(2 AS INT) END AS hits,
+      CASE WHEN page_id % 10 = 3 THEN 'malformed JSON' END AS error FROM pages""",
     "parse_envelopes": """SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'query ' || doc_id END AS query,
       CASE WHEN doc_id % 13 <> 0 THEN len(string_split(text, chr(10))) END AS number_of_results,
       CASE WHEN doc_id % 13 <> 0 THEN CAST(len(string_split(text, chr(10))) AS INT) END AS hits,

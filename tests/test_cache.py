@@ -29,6 +29,21 @@ def test_lookup_boundaries(spark):
     assert {r.request_id for r in misses.collect()} == {0, 5, 6, 8, 9, 10}
 
 
+def test_lookup_moves_data_last(spark):
+    """Data is in no sort of the as-of join, a hot key gives one entry to many requests, and ties are settled alike in any order."""
+    rows = [("a", "1", 0, 100), ("a", "2", 0, 100), ("a", "3", 0, 90), ("b", None, 5, 70), ("b", "x", 5, 70), ("n", "y", 0, 9)]
+    asked = requests(spark, *[("a", t) for t in range(0, 120, 3)], ("b", 6), (None, 1))
+    found = []
+    for order in (rows, rows[::-1]):
+        looked = ops.look_up(asked, cache(spark, *order).repartition(3), slice_seconds=60)
+        found.append(sorted((r.request_id, r.hit, r.data) for r in looked.collect()))
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+    assert found[0] == found[1] and len(found[0]) == 42
+    assert {d for _, hit, d in found[0][:34] if hit} <= {"1", "2"} and [x[1:] for x in found[0][-2:]] == [(True, "x"), (False, None)]
+    assert not any(hit for i, hit, _ in found[0] if 34 <= i < 40)
+
+
 def test_upsert_keeps_the_last_live_write(spark):
     table = cache(spark, ("a", "1", 0, 100), ("b", "1", 0, 10), ("c", "1", 30, 100))
     new = cache(spark, ("a", "2", 20, 120), ("c", "2", 30, 100), ("d", None, 20, 120), ("e", "1", 20, 120))
