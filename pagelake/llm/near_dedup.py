@@ -3,7 +3,7 @@
 A document is the weighted set of its five-word shingles. A shingle's weight is
 (1 + log tf) * (1 + idf), idf scaled to 0..1; document frequencies of all documents are counted in
 DF_BUCKETS hashed counters, so a shingle counts as no rarer than its counter's share
-of other shingles, at every corpus size alike. A sample picks one (shingle, level); two
+of other shingles. A sample picks one (shingle, level); two
 documents pick the same with probability equal to their weighted Jaccard similarity.
 BANDS bands of ROWS samples find candidates. All samples of a candidate pair estimate its
 similarity; unless that is DOUBT standard deviations too low, the exact weighted similarity decides.
@@ -50,6 +50,8 @@ ROUNDING = 1 - 1e-6
 # So many further rows of each bucket meet all its open ones before that.
 LEADERS = 4
 WORDS_KEPT = 100_000
+# So many digests a task remembers at once.
+DIGESTS_KEPT = 200_000
 HASHES_AT_ONCE = 24
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,12 +120,17 @@ class Sampler:
         log_w, picked = np.log(weights), np.empty(len(odd), np.uint64)
         for begin in range(0, len(odd), HASHES_AT_ONCE):
             some = odd[begin : begin + HASHES_AT_ONCE]
-            at = ((spread * some[:, None]) >> np.uint64(48)).astype(np.intp)
-            r = r_table.take(at)
+            at = spread * some[:, None]
+            at >>= np.uint64(48)
+            at = at.view(np.intp)
+            r, score = r_table.take(at), beta_table.take(at)
             level = log_w / r
-            level += beta_table.take(at)
+            level += score
             np.floor(level, out=level)
-            score = c_table.take(at) - r * (level - beta_table.take(at) + 1)
+            score -= level
+            score -= 1
+            score *= r
+            score += c_table.take(at)
             best = score.argmin(1)
             chosen = level[np.arange(len(some)), best].astype(np.int64).view(np.uint64)
             picked[begin : begin + HASHES_AT_ONCE] = (shingles[best].astype(np.uint64) * ODD[0] + chosen) * MIX
@@ -151,23 +158,44 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return low / total if total else 1.0
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest of the words, shingles and counts (null if all are one), row. Texts are read here only; written once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            digests, sets, times = [], [], []
+            for text in batch.column(1):
+                hashes = shingler.word_hashes(text.as_py())
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                shingles, counts = shingler.shingles(hashes)
+                sets.append(shingles.astype("<u4").tobytes())
+                times.append(counts.astype("<u4").tobytes() if len(counts) and counts.max() > 1 else None)
+            columns = [batch.column(0), *(pa.array(x, pa.binary()) for x in (digests, sets, times))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "shingles", "times"])
+
+    pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return numbered(pairs.mapInArrow(cut, "doc_id long, digest binary, shingles binary, times binary"), "near-sets")
+
+
+def document_frequencies(sets: DataFrame) -> np.ndarray:
     """How many documents hold a shingle of each of DF_BUCKETS counters; the last entry is the number of documents.
 
     Each task sends its counters once; they are added by bucket.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counters = Shingler(), np.zeros(DF_BUCKETS + 1, np.int64)
+        counters = np.zeros(DF_BUCKETS + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                stream = shingler.stream(shingler.word_hashes(text.as_py()))
-                counters[np.unique(stream.astype(np.uint16))] += 1
+            for raw in batch.column(0):
+                # The low 16 bits name the counter; an assignment counts a document once, however many of its shingles meet there.
+                held = np.frombuffer(raw.as_buffer(), "<u2")[::2]
+                counters[held] = counters[held] + 1
                 counters[DF_BUCKETS] += 1
         used = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counters[used], pa.int64())], names=["bucket", "documents"])
 
-    parts = texts.select("text").mapInArrow(count, "bucket int, documents long")
+    parts = sets.select("shingles").mapInArrow(count, "bucket int, documents long")
     rows = parts.groupBy("bucket").agg(F.sum("documents").alias("documents")).collect()
     out = np.zeros(DF_BUCKETS + 1, np.int64)
     for bucket, documents in rows:
@@ -180,28 +208,34 @@ def sampler_for(frequencies: np.ndarray, bands: int = BANDS, rows: int = ROWS) -
     return Sampler(np.log(total / np.maximum(1, frequencies[:-1])) / np.log(total), bands, rows)
 
 
-def vectors(docs: DataFrame, sampler: Sampler, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the words, band keys, sketch (16 bits of each sample), shingles and counts (null if all are one), row. Written once."""
+def signatures(sets: DataFrame, sampler: Sampler) -> DataFrame:
+    """row, digest, band keys and sketch (16 bits of each sample) of rows of `shingle_sets`, at least one row of each digest. Written once.
+
+    A task samples a digest once as long as it remembers it, so large groups of copies cost little and nothing is shuffled for it.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        sampled: set[bytes] = set()
         for batch in batches:
-            digests, bands, sketches, sets, times = [], [], [], [], []
-            for text in batch.column(1):
-                hashes = shingler.word_hashes(text.as_py())
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                shingles, counts = shingler.shingles(hashes)
-                repeated = bool(len(counts)) and counts.max() > 1
-                picked = sampler.samples(shingles, sampler.weights(shingles, counts if repeated else None)) if len(shingles) else None
+            bands, sketches, at = [], [], []
+            for k, (digest, raw, times) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                if digest in sampled:
+                    continue
+                if len(sampled) >= DIGESTS_KEPT:
+                    sampled.clear()
+                sampled.add(digest)
+                at.append(k)
+                shingles = np.frombuffer(raw.as_buffer(), "<u4")
+                counts = np.frombuffer(times.as_buffer(), "<u4") if times.is_valid else None
+                picked = sampler.samples(shingles, sampler.weights(shingles, counts)) if len(shingles) else None
                 bands.append([] if picked is None else sampler.band_keys(picked))
                 sketches.append(b"" if picked is None else picked.astype("<u2").tobytes())
-                sets.append(shingles.astype("<u4").tobytes())
-                times.append(counts.astype("<u4").tobytes() if repeated else None)
-            columns = [pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (sketches, sets, times))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "bands", "sketch", "shingles", "times"])
+            mine = pa.array(at, pa.int64())
+            columns = [batch.column(0).take(mine), batch.column(1).take(mine), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "bands", "sketch"])
 
-    pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return numbered(pairs.mapInArrow(sketch, "doc_id long, digest binary, bands array<long>, sketch binary, shingles binary, times binary"), "near-vectors")
+    made = sets.select("row", "digest", "shingles", "times").mapInArrow(sketch, "row long, digest binary, bands array<long>, sketch binary")
+    return materialize(made, "near-signatures")
 
 
 def _of_pairs(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -212,8 +246,8 @@ def _of_pairs(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFram
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def measured(pairs: DataFrame, rows: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) with `similarity`: exact where the estimate leaves doubt, else an upper bound below `least`."""
+def measured(pairs: DataFrame, signed: DataFrame, sets: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of rows of `signed` with `similarity`: exact where the estimate leaves doubt, else an upper bound below `least`."""
     margin = sampler.doubt(least)
 
     @F.pandas_udf("double")
@@ -229,25 +263,25 @@ def measured(pairs: DataFrame, rows: DataFrame, sampler: Sampler, least: float =
 
         return pd.Series([similarity(*load(a, x), *load(b, y)) for a, x, b, y in zip(sa, ta, sb, tb)])
 
-    guessed = _of_pairs(rows, pairs, ["sketch"]).select("a", "b", estimate("sketch_a", "sketch_b").alias("guess"))
+    guessed = _of_pairs(signed, pairs, ["sketch"]).select("a", "b", estimate("sketch_a", "sketch_b").alias("guess"))
     guessed = materialize(guessed, "near-guessed")
-    likely = _of_pairs(rows, guessed.where(F.col("guess") >= least - margin).select("a", "b"), ["shingles", "times"])
+    likely = _of_pairs(sets, guessed.where(F.col("guess") >= least - margin).select("a", "b"), ["shingles", "times"])
     exact = likely.select("a", "b", measure("shingles_a", "times_a", "shingles_b", "times_b").alias("similarity"))
     rest = guessed.where(F.col("guess") < least - margin).select("a", "b", (F.col("guess") + margin).alias("similarity"))
     return materialize(exact.unionByName(rest), "near-pairs")
 
 
-def near_links(reps: DataFrame, rows: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
+def near_links(reps: DataFrame, signed: DataFrame, sets: DataFrame, sampler: Sampler, least: float = SIMILARITY) -> DataFrame:
     """Components (node, root) of the representatives under similarity of at least `least`.
 
-    `reps` has row and bands; `rows` is the written table of `vectors`.
+    `reps` has row and bands; `signed` is the written table of `signatures`, `sets` that of `shingle_sets`.
     """
     spots = reps.select("row", F.explode("bands").alias("bucket"))
     leaders = spots.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(spots.join(leaders, "bucket"), "near-buckets")
     far = 1 - least
     first = members.where("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
-    stars_measured = measured(materialize(first, "near-stars"), rows, sampler, least)
+    stars_measured = measured(materialize(first, "near-stars"), signed, sets, sampler, least)
     roots = components(stars_measured.where(F.col("similarity") >= least))
 
     def classed(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -276,19 +310,19 @@ def near_links(reps: DataFrame, rows: DataFrame, sampler: Sampler, least: float
     active = mixed(active)
     ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("row")))
     ahead = materialize(ranked.where(F.col("rank") <= LEADERS), "near-leaders")
-    more = measured(met(ahead, active), rows, sampler, least)
+    more = measured(met(ahead, active), signed, sets, sampler, least)
     known = known.unionByName(more.select("a", "b"))
     roots = merged(roots, more.where(F.col("similarity") >= least))
     rest = active.join(ahead.select("bucket", "row"), ["bucket", "row"], "left_anti").select("bucket", "row")
     active = mixed(classed(rest, "row", "own"))
     small = active.where(F.col("n") <= CROWDED).select("bucket", "row", "own")
     crowd = materialize(active.where(F.col("n") > CROWDED).select("row", "own").distinct(), "near-crowd")
-    pairs = met(small, small).unionByName(crowd_pairs(rows, crowd, sampler, least).join(known, ["a", "b"], "left_anti")).distinct()
-    last = measured(materialize(pairs, "near-pairs"), rows, sampler, least)
+    pairs = met(small, small).unionByName(crowd_pairs(sets, crowd, sampler, least).join(known, ["a", "b"], "left_anti")).distinct()
+    last = measured(materialize(pairs, "near-pairs"), signed, sets, sampler, least)
     return merged(roots, last.where(F.col("similarity") >= least))
 
 
-def crowd_pairs(rows: DataFrame, crowd: DataFrame, sampler: Sampler, least: float) -> DataFrame:
+def crowd_pairs(sets: DataFrame, crowd: DataFrame, sampler: Sampler, least: float) -> DataFrame:
     """All pairs (a, b) of these rows (row, own), of different `own`, that can be similar: no similar pair is left out.
 
     A row's shingles are ordered from rare to frequent. Similar rows share a shingle before which less than
@@ -311,8 +345,8 @@ def crowd_pairs(rows: DataFrame, crowd: DataFrame, sampler: Sampler, least: floa
             columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *map(pa.array, (token, weight, rest))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "own", "token", "weight", "rest"])
 
-    sets = keep_rows(rows.select("row", "shingles", "times"), crowd.select("row"), "left_semi", "row").join(crowd, "row")
-    made = sets.select("row", "own", "shingles", "times").mapInArrow(entries, "row long, own long, token long, weight double, rest double")
+    used = keep_rows(sets.select("row", "shingles", "times"), crowd.select("row"), "left_semi", "row").join(crowd, "row")
+    made = used.select("row", "own", "shingles", "times").mapInArrow(entries, "row long, own long, token long, weight double, rest double")
     made = materialize(made, "near-entries")
     sides = [made.select("token", *[F.col(c).alias(f"{c}_{end}") for c in ("row", "own", "weight", "rest")]) for end in "ab"]
     sizes = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least * ROUNDING)
@@ -329,14 +363,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     class; texts of fewer than five words are one shingle. One row of each class is kept, the one with
     the least doc_id (null ids last; of repeated rows the first). An empty table gives no rows.
     """
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    sampler = sampler_for(document_frequencies(text))
-    rows = vectors(docs, sampler, id_col, text_col)
+    rows = shingle_sets(docs, id_col, text_col)
+    sampler = sampler_for(document_frequencies(rows))
+    signed = signatures(rows, sampler)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    same = rows.groupBy("digest").agg(F.min(order).alias("best"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    same = materialize(same, "near-same")
-    reps = rows.select("row", "bands").join(same.select("row"), "row", "left_semi")
-    roots = near_links(reps, rows, sampler, least)
+    same = rows.groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    same = materialize(same.join(signed.groupBy("digest").agg(F.min("row").alias("row")), "digest"), "near-same")
+    reps = signed.select("row", "bands").join(same.select("row"), "row", "left_semi")
+    roots = near_links(reps, signed, rows, sampler, least)
     owned = same.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     whole = owned.groupBy("root").agg(F.min("best").alias("kept"), F.sum("n").alias("class_size"))
     classes = owned.select("digest", "root").join(whole, "root").select("digest", F.col("kept.doc_id").alias("class_id"), F.col("kept.row").alias("kept_row"), "class_size")

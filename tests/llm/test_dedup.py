@@ -56,7 +56,7 @@ def test_dropping_copies_keeps_one_row_of_each_text(odd, empty):
 
 def brute_classes(docs):
     """Classes by comparing all pairs that share a shingle."""
-    sampler = near_dedup.sampler_for(near_dedup.document_frequencies(docs.select("text")))
+    sampler = near_dedup.sampler_for(near_dedup.document_frequencies(near_dedup.shingle_sets(docs)))
     shingler, sets, holders = near_dedup.Shingler(), {}, defaultdict(list)
     for r in docs.collect():
         shingles, counts = shingler.shingles(shingler.word_hashes(r.text))
@@ -147,8 +147,8 @@ def test_crowd_pairs_leave_out_no_similar_pair(spark):
         edited = [w if rng.random() > 0.018 else f"e{k}x{j}" for j, w in enumerate(passage + own)]
         texts.append(edited)
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    sampler = near_dedup.sampler_for(near_dedup.document_frequencies(docs.select("text")))
-    rows = near_dedup.vectors(docs, sampler, "doc_id", "text")
+    sampler = near_dedup.sampler_for(near_dedup.document_frequencies(near_dedup.shingle_sets(docs)))
+    rows = near_dedup.shingle_sets(docs)
     by_row = {r.row: r for r in rows.collect()}
     weighted = {}
     for k, r in by_row.items():
