@@ -35,6 +35,15 @@ def test_articles_of_the_page_table(spark):
         ("<article>x<section id=comments><article>nice</article></section><aside>s</aside></article>", ["x"]),
         ("<body class='has-sidebar'><div class='cookie-notice'>c</div><div role=main>m</div>", ["m"]),
         ("<article><script>var t='</p><p>no'</script><!-- <p>no --><style>p{}</style>yes", ["yes"]),
+        ("<form id='aspnetForm'><nav>n</nav><article><p>a</p><form>f</form></article></form>", ["a"]),
+        ("<form><article>a<p>b</article></form><form>c</form>", ["a", "b"]),
+        ("<article class='post category-social'><p>a</p></article>", ["a"]),
+        ("<article class='post comments-open' id=post-7>a<div class='post-comments'>c</div></article>", ["a"]),
+        ("<div class='notice-board search-results'><p>x</p><article>a</article></div>", ["a"]),
+        ("<div class='menu-closed'><main>a</main></div>", ["a"]),
+        ("<article>a</article><aside><article>r</article></aside><article class='comment-body'>c</article><article class=teaser>t</article>", ["a"]),
+        ("<article>a<p class='notice-period'>b</p>c</article>", ["a", "c"]),
+        ("<article>a<p class='notice'>b</p><form><article>f</article></form>c</article>", ["a", "c"]),
         ('<article><a title="x > y" href=\'z\'>l</a> &amp &copy &#228; m</article>', ["l & © ä m"]),
     ],
 )
@@ -47,6 +56,25 @@ def test_zones_without_article():
     assert page_blocks(page) == [(CHROME, "n"), (CHROME, "h"), (OPEN, "open"), (CHROME, "s"), (CHROME, "f")]
 
 
+def test_open_parts_of_articles_and_forms():
+    """What names and forms don't settle is open, so that the suffix order decides it."""
+    page = "<article>a<p class='notice-period'>b</p></article><article class='post social'>c</article>"
+    assert page_blocks(page) == [(MAIN, "a"), (OPEN, "b"), (OPEN, "c")]
+    page = "<form><div>s</div><header>h</header><div>o</div><footer>f</footer></form><form>g</form><div class='share'>w</div>"
+    assert page_blocks(page) == [(CHROME, "s"), (CHROME, "h"), (OPEN, "o"), (CHROME, "f"), (CHROME, "g"), (CHROME, "w")]
+
+
+def test_named_blocks_inside_articles_are_judged(spark):
+    """A paragraph with a boilerplate name in an article goes if its host repeats it, and stays if it is the page's own."""
+    words = lambda k, n, own: " ".join(f"{own}{k}x{j}" for j in range(n))
+    box = lambda k: words(0, 12, "box") if k < 5 else words(k, 12, "own")
+    page = lambda k: f"<form id='aspnetForm'><article class='post'><p>{words(k, 20, 'body')}</p><p class='notice-period'>{box(k)}</p></article></form>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(7)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(7):
+        assert found[k] == words(k, 20, "body") + ("" if k < 5 else "\n" + box(k))
+
+
 def brute_covered(pages, run, least):
     """Tokens inside substrings of `run` tokens that stand on `least` pages, from a plain suffix array."""
     suffixes = sorted((tuple(tokens[at : at + run]), p, at) for p, tokens in enumerate(pages) for at in range(len(tokens) - run + 1))
