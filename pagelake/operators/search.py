@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -155,28 +156,40 @@ def scored_hits(needs: DataFrame, counts: DataFrame, total: Column, mean_len: Co
     )
 
 
-def merge_engines(hits: DataFrame) -> DataFrame:
-    """One row per query and url from the hit lists of several engines.
+def found_positions(hits: DataFrame) -> DataFrame:
+    """Per query and url: (position, engine) of its engines in order, an engine at its best position, and the fused score.
 
-    An engine counts once per url, at its best position; that first step also folds
-    repeated hits before the shuffle, so the lists are no longer than the engine list.
-    Score: reciprocal rank fusion.
+    No text takes part. The first step folds repeated hits before the shuffle, so the lists are no longer than
+    the engine list.
     """
-    best = hits.groupBy("query_id", "url", "engine").agg(
-        F.min("position").alias("position"),
-        F.min(F.struct("position", "title", "content")).alias("first"),
-    )
-    merged = best.groupBy("query_id", "url").agg(
+    best = hits.groupBy("query_id", "url", "engine").agg(F.min("position").alias("position"))
+    return best.groupBy("query_id", "url").agg(
         F.array_sort(F.collect_list(F.struct("position", "engine"))).alias("found"),
-        F.min(F.struct("position", "engine", "first.title", "first.content")).alias("lead"),
         F.round(F.sum(1 / (F.lit(RRF_OFFSET) + F.col("position"))), SCORE_PLACES).alias("score"),
     )
-    return merged.select(
-        "query_id",
-        "url",
-        F.col("lead.title").alias("title"),
-        F.col("lead.content").alias("content"),
-        F.col("lead.engine").alias("engine"),
+
+
+def merge_engines(hits: DataFrame) -> DataFrame:
+    """One row per query and url from the hit lists of several engines.
+
+    An engine counts once per url, at its best position. Score: reciprocal rank fusion. Title and
+    content are those of the first engine's hit (of several at one place the least title, then content).
+    Only such hits carry their text past the join; the hits are read twice, the first time without text. Null
+    queries, urls and engines are values of their own.
+    """
+    hits = hits.select("query_id", "url", "engine", "position", "title", "content")
+    merged = materialize(found_positions(hits), "merged-hits")
+    keys = ["query_id", "url"]
+    leads = merged.withColumns({"engine": F.col("found")[0]["engine"], "position": F.col("found")[0]["position"]})
+    leads = leads.withColumnsRenamed({name: f"_{name}" for name in [*keys, "engine", "position"]})
+    same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in [*keys, "engine", "position"]])
+    winners = hits.join(F.broadcast(leads) if fits(merged) else leads, same)
+    first = top_k(winners, keys, [F.col("title"), F.col("content")], 1, ["title", "content"], rank="_rank")
+    return first.select(
+        *keys,
+        "title",
+        "content",
+        "engine",
         F.array_sort("found.engine").alias("engines"),
         F.col("found.position").alias("positions"),
         "score",
@@ -209,10 +222,11 @@ def page_results(
 
 
 def top_hit(hits: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The first hit per query. A minimum over structs, so it is combined before the shuffle."""
+    """The first hit per query, as `page_results` orders them (equal ones by their other columns). Each task sends one row per query."""
     rest = [name for name in hits.columns if name not in ("query_id", "score", id_column)]
-    first = F.min(F.struct((-F.col("score")).alias("_order"), F.col(id_column), "score", *rest)).alias("first")
-    return hits.groupBy("query_id").agg(first).select("query_id", "first.*").drop("_order")
+    order = [F.col("score").desc(), F.col(id_column), *map(F.col, rest)]
+    first = top_k(hits, ["query_id"], order, 1, [id_column], rank="_rank")
+    return first.select("query_id", id_column, "score", *rest)
 
 
 def result_counts(queries: DataFrame, hits: DataFrame, max_results: int = settings.DEFAULT_RESULTS_LIMIT) -> DataFrame:

@@ -15,57 +15,66 @@ OUTPUT = "key STRING, request_id LONG, at LONG, cached BOOLEAN"
 
 
 class ResultLives(StatefulProcessor):
-    """Per key: the end of the current life, and requests the watermark has not passed.
+    """Per key: the end of the current life, and requests the watermark has not passed, in buckets of time.
 
-    Requests wait until the watermark reaches them, so their order, and with it every
-    label, does not depend on how the stream was cut into batches.
+    Requests wait until the watermark has passed their bucket, so their order, and with it every
+    label, does not depend on how the stream was cut into batches. A micro-batch adds a chunk to each bucket it
+    has rows for and a timer reads the buckets that are due, one at a time; no other bucket is read or written.
     """
 
-    def __init__(self, ttl: int):
+    def __init__(self, ttl: int, width: int):
         self.ttl = ttl
+        self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.life = handle.getValueState("life", "ends LONG")
-        self.waiting = handle.getListState("waiting", "at LONG, request_id LONG")
+        self.chunks = handle.getMapState("chunks", "bucket LONG", "chunks INT")
+        self.waiting = handle.getMapState("waiting", "bucket LONG, chunk INT", "at ARRAY<LONG>, request_id ARRAY<LONG>")
+
+    def passes(self, bucket: int) -> int:
+        """The watermark at which a bucket is whole."""
+        return due((bucket + 1) * self.width)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for batch in rows:
-            self.waiting.appendList(list(zip(batch["at"].tolist(), batch["request_id"].tolist())))
-            lowest = int(batch["at"].min())
-            first = lowest if first is None else min(first, lowest)
-        if first is not None:
-            self.handle.registerTimer(due(first))
+            for bucket, part in batch.groupby(batch["at"] // self.width):
+                bucket = int(bucket)
+                known = self.chunks.getValue((bucket,))[0] if self.chunks.containsKey((bucket,)) else 0
+                # A missing id is kept as None.
+                ids = [None if pd.isna(i) else int(i) for i in part["request_id"]]
+                self.waiting.updateValue((bucket, known), (part["at"].tolist(), ids))
+                self.chunks.updateValue((bucket,), (known + 1,))
+                if not known:
+                    self.handle.registerTimer(self.passes(bucket))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        ready, later = [], []
-        for at, request_id in self.waiting.get():
-            (ready if due(at) <= passed else later).append((at, request_id))
-        if ready:
-            if later:
-                self.waiting.put(later)
-                self.handle.registerTimer(due(min(later)[0]))
-            else:
-                self.waiting.clear()
-        ends = self.life.get()[0] if self.life.exists() else None
-        labelled = []
-        for at, request_id in sorted(ready):
-            cached = ends is not None and at < ends
-            if not cached:
-                ends = at + self.ttl
-            labelled.append((key[0], request_id, at, cached))
+        whole = sorted((bucket, chunks) for (bucket,), (chunks,) in self.chunks.iterator() if self.passes(bucket) <= passed)
+        ends = before = self.life.get()[0] if self.life.exists() else None
+        for bucket, chunks in whole:
+            ready = []
+            for chunk in range(chunks):
+                at, ids = self.waiting.getValue((bucket, chunk))
+                ready.extend(zip(at, ids))
+                self.waiting.removeKey((bucket, chunk))
+            self.chunks.removeKey((bucket,))
+            labelled = []
+            for at, request_id in sorted(ready, key=lambda row: (row[0], row[1] is not None, row[1] or 0)):
+                cached = ends is not None and at < ends
+                if not cached:
+                    ends = at + self.ttl
+                labelled.append((key[0], request_id, at, cached))
+            yield pd.DataFrame(labelled, columns=["key", "request_id", "at", "cached"]).astype({"request_id": "Int64"})
         if ends is not None:
-            if due(ends) <= passed:
+            # Requests of the bucket in which a life ends may still wait for it.
+            last = self.passes(ends // self.width)
+            if last <= passed:
                 self.life.clear()
-            else:
+            elif ends != before:
                 self.life.update((ends,))
-                if ready:
-                    self.handle.registerTimer(due(ends))
-        if labelled:
-            yield pd.DataFrame(labelled, columns=["key", "request_id", "at", "cached"])
+                self.handle.registerTimer(last)
 
     def close(self) -> None:
         pass
@@ -76,18 +85,18 @@ def due(at: int) -> int:
     return -(-at // 1000)
 
 
-def stream_cached_flag(requests: DataFrame, ttl_seconds: int, delay: str, at: str = "ts", id_column: str = "request_id") -> DataFrame:
+def stream_cached_flag(requests: DataFrame, ttl_seconds: int, delay: str, at: str = "ts", id_column: str = "request_id", bucket_seconds: int = 60) -> DataFrame:
     """Adds `cached` to a stream of (key, ts, id): the labels of `operators.cache.cached_flag`.
 
     A request without a time has no place in event time: it is left out here and is what
-    `without_time` returns, for a stream of its own. Needs the RocksDB state store. Rows behind the watermark are dropped; memory and
-    state per key hold the requests of one delay, and micro-batches bound the rest.
+    `without_time` returns, for a stream of its own. Needs the RocksDB state store. Rows behind the watermark are dropped. State per
+    key holds the requests of one delay, memory those of one bucket of time; a label waits for its bucket's end.
     """
     timed = requests.where(F.col(at).isNotNull()).select(
         "key", F.col(id_column).cast("long").alias("request_id"), F.col(at).cast("timestamp").alias("ts"), micros(F.col(at)).alias("at")
     ).withWatermark("ts", delay)
     return timed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ResultLives(ttl_seconds * SECOND), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=ResultLives(ttl_seconds * SECOND, bucket_seconds * SECOND), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -84,6 +84,22 @@ def test_merge(spark):
     assert abs(u.score - (1 / 61 + 1 / 63)) < 1e-9 and merged["v"].positions == [1]
 
 
+def test_merge_moves_text_of_winners_only(spark):
+    """Nulls are values, ties go to the least title, and neither the aggregation nor the first hit sorts rows to aggregate."""
+    schema = "query_id STRING, url STRING, engine STRING, position INT, title STRING, content STRING"
+    rows = [("q", None, "e", 1, "N", "n"), ("q", None, None, 1, "M", "m"), (None, "u", "e", 2, "b", "x"), (None, "u", "e", 2, "a", "z"), (None, "u", "e", 2, "a", "y")]
+    table = spark.createDataFrame(rows, schema)
+    merged = {(r.query_id, r.url): r for r in search.merge_engines(table).collect()}
+    assert len(merged) == 2 and (merged[None, "u"].title, merged[None, "u"].content, merged[None, "u"].positions) == ("a", "y", [2])
+    assert merged["q", None].title == "M" and merged["q", None].positions == [1, 1]
+    assert search.merge_engines(table.where("1 = 0")).count() == 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = hits(spark).withColumn("position", F.lit(1))
+    assert "SortAggregate" not in plan(search.found_positions(stored)) and "content" not in plan(search.found_positions(stored)).split("HashAggregate")[1]
+    first = plan(search.top_hit(stored))
+    assert "SortAggregate" not in first and "WindowGroupLimit" in first
+
+
 def render(spark, mode, rows, total):
     queries = spark.createDataFrame([("q", "cats", total)], "query_id STRING, query STRING, total LONG")
     schema = "query_id STRING, rank INT, title STRING, url STRING, content STRING, engine STRING"

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelake.functions.sql import register
@@ -8,7 +9,7 @@ from pagelake.operators.cache import cached_flag
 from pagelake.operators.extract import rule_extractor
 from pagelake.sources.page_store import PageStore, write_page_store
 from pagelake.sources.pages import PAGE_SCHEMA, load_page_stream
-from pagelake.streaming.cached_flag import stream_cached_flag
+from pagelake.streaming.cached_flag import ResultLives, stream_cached_flag
 from pagelake.streaming.cache_store import CacheStore, merged
 from pagelake.streaming.extract import stream_extract
 from pagelake.streaming.pages import stream_clean
@@ -45,6 +46,86 @@ def test_flags_do_not_depend_on_batches(spark, tmp_path):
     assert streamed == {r.request_id: r.cached for r in batch.collect()}
 
 
+class MemoryState:
+    """State kept in memory that tells which keys were read."""
+
+    def __init__(self):
+        self.held, self.read, self.timers = {}, [], []
+
+    def getValueState(self, name, *schemas):
+        return self.values.setdefault(name, MemoryState())
+
+    getMapState = getValueState
+    values = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        self.read.append(key)
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+    def clear(self):
+        self.held.clear()
+
+
+class Moment:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_timer_reads_only_the_buckets_that_are_due():
+    """Rows of any micro-batch order; a timer leaves later buckets unread, and labels equal those of a plain scan."""
+    handle, second, ttl = MemoryState(), 1_000_000, 25
+    handle.values = {}
+    lives = ResultLives(ttl * second, 10 * second)
+    lives.init(handle)
+    rng = random.Random(4)
+    rows = [(rng.randrange(0, 300), i) for i in range(200)]
+    for k in range(0, 200, 23):
+        part = pd.DataFrame({"at": [t * second for t, _ in rows[k : k + 23]], "request_id": [i for _, i in rows[k : k + 23]]})
+        list(lives.handleInputRows(("a",), iter([part]), None))
+    assert len(handle.timers) == 30 and all(at % 10_000 == 0 for at in handle.timers)
+    waiting, found = handle.values["waiting"], {}
+    for watermark in (5_000, 20_000, 120_000, 125_000, 400_000):
+        waiting.read.clear()
+        for frame in lives.handleExpiredTimer(("a",), Moment(watermark), Moment(watermark)):
+            found |= {r.request_id: r.cached for r in frame.itertuples()}
+        assert all((bucket + 1) * 10_000 <= watermark for bucket, _ in waiting.read)
+        assert set(found) == {i for t, i in rows if (t // 10 + 1) * 10_000 <= watermark}
+    want, ends = {}, None
+    for t, i in sorted(rows):
+        want[i] = ends is not None and t < ends
+        ends = ends if want[i] else t + ttl
+    assert found == want and not waiting.held and not handle.values["life"].held
+
+
 def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     batches = [[("a", 0, 1), ("a", 1000, 2)], [("a", 5, 3), ("a", 1001, 4)], [("end", 10**6, -1)]]
     assert run_flags(spark, tmp_path, batches, 100, "10 seconds") == {1: False, 2: False, 4: True}
