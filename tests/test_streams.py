@@ -9,7 +9,7 @@ from pagelake.operators.cache import cached_flag
 from pagelake.operators.extract import rule_extractor
 from pagelake.sources.page_store import PageStore, write_page_store
 from pagelake.sources.pages import PAGE_SCHEMA, load_page_stream
-from pagelake.streaming.cached_flag import ResultLives, stream_cached_flag
+from pagelake.streaming.cached_flag import BucketLives, ResultLives, stream_cached_flag
 from pagelake.streaming.cache_store import CacheStore, merged
 from pagelake.streaming.extract import stream_extract
 from pagelake.streaming.pages import stream_clean
@@ -131,6 +131,36 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert run_flags(spark, tmp_path, batches, 100, "10 seconds") == {1: False, 2: False, 4: True}
 
 
+def test_waiting_requests_cost_no_calls_to_the_state_store():
+    """Whole buckets of a key are labelled with a few calls, however many they are; ids of any size stay, missing ones too."""
+    second, ttl = 1_000_000, 25
+    handle = MemoryState()
+    handle.values = {}
+    lives = BucketLives(ttl * second, 10 * second)
+    lives.init(handle)
+    rng = random.Random(5)
+    rows = [(rng.randrange(0, 3000), i + 2**53) for i in range(500)] + [(7, None), (7, None)]
+    want, ends = [], None
+    for t, i in sorted(rows, key=lambda row: (row[0], row[1] is not None, row[1] or 0)):
+        cached = ends is not None and t < ends
+        ends = ends if cached else t + ttl
+        want.append((t * second, i, cached))
+    found, calls = [], len(handle.timers)
+    for low, high in ((0, 1200), (1200, 3000)):
+        part = [row for row in rows if low <= row[0] < high]
+        rng.shuffle(part)
+        frames = [
+            pd.DataFrame({"at": [t * second for t, _ in some], "known": [i is not None for _, i in some], "request_id": [i or 0 for _, i in some]})
+            for some in (part[:40], part[40:])
+        ]
+        for frame in lives.handleInputRows(("a",), iter(frames), Moment(high * 1000)):
+            found += [(r.at, None if pd.isna(r.request_id) else r.request_id, r.cached) for r in frame.itertuples()]
+    assert found == want
+    assert len(handle.timers) - calls <= 2
+    list(lives.handleExpiredTimer(("a",), Moment(10**7), Moment(10**7)))
+    assert not handle.values["life"].held
+
+
 SITE = "https://s.org"
 
 
