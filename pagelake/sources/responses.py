@@ -15,6 +15,8 @@ GZIP_NAMES = ("gzip", "x-gzip")
 DEFLATE_NAME = "deflate"
 DEFAULT_CHARSET = "utf-8"
 GZIP_MAGIC = b"\x1f\x8b"
+# The end of a stored response in a bundle: the record separator of JSON text sequences (RFC 7464).
+RECORD_END = "\x1e"
 
 HIT = (
     "struct<url:string,title:string,content:string,engine:string,parsed_url:array<string>,template:string,"
@@ -102,11 +104,26 @@ def parse_envelopes(df: DataFrame, json_column: str) -> DataFrame:
 
 def read_search_responses(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Stored search responses with the file they came from: one JSON document per line, or,
-    with `one_per_file`, one per file, however it is indented."""
+    with `one_per_file`, one per file, however it is indented. The driver lists every file: many responses belong in bundles."""
     texts = spark.read.text(path, wholetext=one_per_file).select(F.col("_metadata.file_path").alias("file"), "value")
     return parse_envelopes(texts, "value")
 
 
+def write_response_bundles(responses: DataFrame, path: str) -> None:
+    """Store responses (name, value), however indented, many to a file: each is its name, a line feed and its text,
+    and RECORD_END, which JSON text escapes. A million responses are as many files as there are tasks."""
+    record = F.concat(F.coalesce(F.col("name").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("value", F.lit("")))
+    responses.select(record.alias("value")).write.option("lineSep", RECORD_END).text(path)
+
+
+def read_response_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_response_bundles` stored, parsed, with the response's name; files are split over tasks between responses."""
+    records = spark.read.text(path, lineSep=RECORD_END)
+    name = F.substring_index("value", "\n", 1)
+    text = F.substring("value", F.length(name) + 2, F.length("value"))
+    return parse_envelopes(records.select(F.nullif(name, F.lit("")).alias("name"), text.alias("value")), "value")
+
+
 def explode_envelope(envelopes: DataFrame, part: str, keep: list[str] = ("query",)) -> DataFrame:
     """One row per element of a part with its position from 1; responses without any keep a null row."""
     exploded = envelopes.select(*keep, F.posexplode_outer(part).alias("_pos", "_item"))

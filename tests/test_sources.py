@@ -85,6 +85,20 @@ def test_indented_responses_are_one_per_file(spark, tmp_path):
     parts_of(rows.where("error IS NULL"))
 
 
+def test_indented_responses_in_bundles(spark, tmp_path):
+    """Files do not grow with the responses, and each response comes back by its name, repeated and missing ones too."""
+    body = json.dumps(ENVELOPE, indent=2)
+    odd = [("odd", json.dumps({"error": "a\x1eb"}, indent=4)), ("odd", json.dumps({"error": "a\x1eb"})), ("cut", '{"query":\n "cut'), (None, None)]
+    stored = spark.createDataFrame([*((str(k), body) for k in range(200)), *odd], "name STRING, value STRING").coalesce(2)
+    responses.write_response_bundles(stored, str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("part-*"))) == 2
+    rows = responses.read_response_bundles(spark, str(tmp_path / "b")).cache()
+    found = {(r.name, r.error) for r in rows.where("query IS NULL").collect()}
+    assert rows.count() == 204 and found == {("odd", "a\x1eb"), ("cut", "malformed JSON"), (None, "malformed JSON")}
+    assert {r.name for r in rows.where("error IS NULL").collect()} == {str(k) for k in range(200)}
+    parts_of(rows.where("name = '7'"))
+
+
 def test_read_search_responses(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join([json.dumps(ENVELOPE), '{"query": "cut', '{"error": "HTTP Error 500"}']))
     rows = responses.read_search_responses(spark, str(tmp_path)).cache()
