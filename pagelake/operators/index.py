@@ -12,6 +12,10 @@ whose highest number names the segments that count. One writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,36 +27,115 @@ from pagelake.sources.page_store import bucket_of
 
 BUCKETS = 64
 BLOCK_DOCS = 128
+TERMS = "term string, doc_id long, length int, at array<int>"
+BLOCKS = (
+    "bucket int, term string, span long, block long, docs int, front array<struct<count:int,length:int>>, "
+    "offsets array<long>, counts array<int>, lengths array<int>, places array<array<int>>"
+)
 HEAD = ["term", "segment", "block", "span", "docs", "front"]
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, length, at): the places of each word in each document. Written once."""
+    """(term, doc_id, length, at): the places of each word in each document, found row by row. Equal rows of one number are joined in its block."""
     found = F.coalesce(words(F.col("text")), F.array().cast("array<string>"))
-    tokens = docs.select("doc_id", found.alias("tokens")).select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "term"))
-    return tokens.groupBy("term", "doc_id", "length").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("tokens"))
+    return tokens.mapInArrow(places_by_term, TERMS)
+
+
+def places_by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = batch.column("tokens")
+        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(batch)), lengths)
+        at = np.arange(len(coded)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+        firsts = order[begins]
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(coded.indices.take(pa.array(firsts))), batch.column("doc_id").take(pa.array(row[firsts])),
+                pa.array(lengths[row[firsts]].astype("int32")), list_of(begins, pa.array(at[order].astype("int32"))),
+            ],
+            ["term", "doc_id", "length", "at"],
+        )
+
+
+def list_of(begins: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists that begin at these positions of the values."""
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype("int32")), values)
 
 
 def posting_blocks(held: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, term, span, block, docs, front, offsets, counts, lengths, places) of the rows of `document_terms`."""
+    """(bucket, term, span, block, docs, front, offsets, counts, lengths, places) of the rows of `document_terms`.
+
+    Rows move once, to the task that writes their bucket; sorted there, a block's rows lie beside each other.
+    """
     held = materialize(held, "document-terms")
     width = held.agg((F.max("doc_id") - F.min("doc_id") + 1).alias("width")).first()["width"] or 1
     # The power of two that spreads a term's documents to about BLOCK_DOCS a block.
     share = F.lit(float(width * BLOCK_DOCS)) / F.count(F.lit(1))
     spans = held.groupBy("term").agg(F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(share))).cast("long"), F.lit(BLOCK_DOCS)).alias("span"))
-    placed = lookup_join(held, spans, ["term"], "inner", ["doc_id"]).withColumn("block", F.floor(F.col("doc_id") / F.col("span")).cast("long"))
-    entry = F.struct((F.col("doc_id") - F.col("block") * F.col("span")).alias("offset"), F.size("at").alias("count"), "length", "at")
-    blocks = placed.groupBy("term", "span", "block").agg(F.array_sort(F.collect_list(entry)).alias("held"))
-    best = F.array_sort(F.transform("held", lambda h: F.struct((-h["count"]).alias("less"), h["length"].alias("length"))))
-    front = F.aggregate(
-        best, F.array().cast("array<struct<count int, length int>>"),
-        lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p["length"] < F.element_at(kept, -1)["length"]),
-            F.concat(kept, F.array(F.struct((-p["less"]).alias("count"), p["length"].alias("length")))),
-        ).otherwise(kept),
-    )
-    columns = [F.col(f"held.{field}").alias(name) for field, name in (("offset", "offsets"), ("count", "counts"), ("length", "lengths"), ("at", "places"))]
-    return blocks.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "span", "block", F.size("held").alias("docs"), front.alias("front"), *columns)
+    placed = lookup_join(held, materialize(spans, "term-spans"), ["term"], "inner", ["doc_id"])
+    placed = placed.withColumn("block", F.floor(F.col("doc_id") / F.col("span")).cast("long"))
+    offset = (F.col("doc_id") - F.col("block") * F.col("span")).alias("offset")
+    rows = placed.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "span", "block", offset, "length", "at")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block", "offset", "length").mapInArrow(blocks_of_rows, BLOCKS)
+
+
+def blocks_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows to blocks. A batch's last block waits for the next batch."""
+    waiting = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
+        last = int(block_begins(rows)[-1])
+        if last:
+            yield blocks_of_batch(rows.slice(0, last))
+        waiting = pa.RecordBatch.from_arrays([column.take(pa.array(np.arange(last, len(rows)))) for column in rows.columns], rows.schema.names)
+    if waiting is not None:
+        yield blocks_of_batch(waiting)
+
+
+def block_begins(rows: pa.RecordBatch) -> np.ndarray:
+    term = rows.column("term").dictionary_encode().indices.to_numpy()
+    block = rows.column("block").to_numpy()
+    return np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+
+
+def blocks_of_batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole blocks, each with its front: the entries by falling count that are shorter than all before them."""
+    begins = block_begins(rows)
+    offset, length = rows.column("offset").to_numpy(), rows.column("length").to_numpy()
+    at = rows.column("at").flatten().to_numpy()
+    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
+    fresh = np.append(True, (group[1:] != group[:-1]) | (offset[1:] != offset[:-1]) | (length[1:] != length[:-1]))
+    entry = np.cumsum(fresh) - 1
+    owner = np.repeat(entry, rows.column("at").value_lengths().to_numpy(zero_copy_only=False))
+    group, offset, length = group[fresh], offset[fresh], length[fresh]
+    count = np.bincount(owner, minlength=len(group))
+    if len(group) < len(rows):
+        at = at[np.lexsort((at, owner))]
+    if ((group[1:] == group[:-1]) & (offset[1:] == offset[:-1])).any():
+        # Texts of several lengths under one number: by count, then length.
+        order = np.lexsort((length, count, offset, group))
+        at = at[np.argsort(np.argsort(order)[np.repeat(np.arange(len(order)), count)], kind="stable")]
+        offset, length, count = offset[order], length[order], count[order]
+    count, length = count.astype("int32"), length.astype("int32")
+    best = np.lexsort((length, -count, group))
+    # Every block's lengths lie below those of the block before, so its least so far starts anew.
+    level = length[best] - group[best] * (int(length.max()) + 1)
+    kept = best[np.append(True, level[1:] < np.minimum.accumulate(level)[:-1])]
+    starts = np.searchsorted(group, np.arange(len(begins)))
+    front = pa.StructArray.from_arrays([pa.array(count[kept]), pa.array(length[kept])], ["count", "length"])
+    places = list_of(np.cumsum(count) - count, pa.array(at))
+    fixed = [rows.column(name).take(pa.array(begins)) for name in ("bucket", "term", "span", "block")]
+    docs = pa.array(np.diff(np.append(starts, len(group))).astype("int32"))
+    lists = [list_of(starts, values) for values in (pa.array(offset), pa.array(count), pa.array(length), places)]
+    columns = [*fixed, docs, list_of(np.searchsorted(group[kept], np.arange(len(begins))), front), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "term", "span", "block", "docs", "front", "offsets", "counts", "lengths", "places"])
 
 
 class SearchIndex:
@@ -72,8 +155,8 @@ class SearchIndex:
         segment = version + 1
         folder = f"{self.path}/segments/segment={segment}"
         # A segment that no manifest names is left over from a run that failed.
-        dealt = postings.repartition("bucket").sortWithinPartitions("bucket", "term", "block")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        # Each task holds whole buckets.
+        postings.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         facts.write.mode("overwrite").parquet(f"{folder}/facts")
         named = self.spark.createDataFrame([([*keep, segment], self.buckets)], "segments ARRAY<INT>, buckets INT")
         named.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={segment}")

@@ -90,3 +90,22 @@ def test_frequent_word_opens_few_postings(spark, tmp_path):
     second = ops.page_index(index, asked, 2, 5).where("query_id = 1").orderBy("rank").collect()
     assert [r.rank for r in second] == [1, 2, 3, 4, 5]
     assert [r.doc_id for r in second] == [r.doc_id for r in full.where("query_id = 1 AND rank > 5").orderBy("rank").collect()]
+
+
+def test_blocks_of_repeated_numbers(spark):
+    """A number that comes twice: equal lengths are one entry, other lengths entries by count; blocks split over batches are whole; no aggregate collects rows."""
+    rows = [(7, "b a a"), (7, "a b b"), (7, "a a a a"), (300, "a"), (301, "a c"), (-1, "c"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        blocks = ops.posting_blocks(ops.document_terms(docs), 4)
+        found = {(r.term, r.block * r.span + r.offsets[0]): r for r in blocks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in blocks._jdf.queryExecution().toString()
+    assert {key: (r.offsets, r.counts, r.lengths, r.places) for key, r in found.items() if key[1] == 7} == {
+        ("a", 7): ([7, 7, 300, 301], [3, 4, 1, 1], [3, 4, 1, 2], [[0, 1, 2], [0, 1, 2, 3], [0], [0]]),
+        ("b", 7): ([7], [3], [3], [[0, 1, 2]]),
+    }
+    assert set(found) == {("a", 7), ("b", 7), ("c", -1), ("c", 301)} and found["a", 7].docs == 4
+    assert [tuple(p) for p in found["a", 7].front] == [(4, 4), (3, 3), (1, 1)]
