@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagelake.operators.cache import path_exists
 from pagelake.operators.search import B, K1, SCORE_PLACES, query_needs, scored_hits, words
 from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import keep_listed, lookup_join, top_k
+from pagelake.plans.skew import fits, keep_listed, lookup_join, top_k
 from pagelake.sources.page_store import bucket_of
 
 BUCKETS = 64
@@ -215,8 +215,13 @@ def index_unit_counts(index: SearchIndex, needs: DataFrame) -> DataFrame:
     counted = held.select(number, F.col("lengths").alias("doc_len"), F.col("term").alias("unit"), F.lit(False).alias("phrase"), F.col("counts").cast("long").alias("tf"))
     parts = units.where("phrase").select("unit", F.size(F.split("unit", " ")).alias("unit_len"), F.posexplode(F.split("unit", " ")).alias("place", "term"))
     inside = index.postings(parts.select("term").distinct()).select("term", "block", "span", F.inline(F.arrays_zip("offsets", "lengths", "places")))
-    inside = inside.select("term", number, F.col("lengths").alias("doc_len"), F.explode("places").alias("at"))
-    met = lookup_join(inside, parts, ["term"], "inner", ["doc_id", "at"])
+    held = lookup_join(inside.select("term", number, F.col("lengths").alias("doc_len"), "places"), parts, ["term"], "inner", ["doc_id"])
+    # Only documents that have the phrase's rarest word can hold it; places of others are not laid out.
+    spread = index.postings(parts.select("term").distinct()).groupBy("term").agg(F.sum("docs").alias("df"))
+    rarest = parts.join(spread, "term", "left").groupBy("unit").agg(F.min(F.struct("df", "term")).alias("r")).select("unit", F.col("r.term").alias("term"))
+    driven = inside.select("term", number).join(F.broadcast(rarest) if fits(rarest) else rarest, "term").select("unit", "doc_id").distinct()
+    driven = materialize(driven, "phrase-candidates")
+    met = keep_listed(held, driven, ["unit", "doc_id"]).select("unit", "unit_len", "place", "doc_id", "doc_len", F.explode("places").alias("at"))
     # A phrase stands where all its words have the same start.
     begun = met.groupBy("doc_id", "doc_len", "unit", "unit_len", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("words"))
     phrases = begun.where(F.col("words") == F.col("unit_len")).groupBy("doc_id", "doc_len", "unit").agg(F.count(F.lit(1)).alias("tf"))
@@ -246,6 +251,7 @@ class TopHits:
         self.total, self.mean_length = index.totals()
         needs = materialize(query_needs(queries), "query-needs")
         self.phrases = needs.where("phrase").select("query_id", "unit")
+        self.holding = None
         asked = needs.where(~F.col("phrase")).select("query_id", F.col("unit").alias("term"))
         terms = materialize(asked.select("term").distinct(), "asked-terms")
         heads = index.postings(terms).select(*HEAD)
@@ -292,11 +298,12 @@ class TopHits:
         """The hits whose documents hold the query's phrases."""
         if not self.phrases.head(1):
             return hits
-        needs = self.phrases.select("unit", F.lit(True).alias("phrase")).distinct()
-        holding = materialize(index_unit_counts(self.index, needs).select("doc_id", "unit"), "phrase-documents")
+        if self.holding is None:
+            needs = self.phrases.select("unit", F.lit(True).alias("phrase")).distinct()
+            self.holding = materialize(index_unit_counts(self.index, needs).select("doc_id", "unit"), "phrase-documents")
         wanted = self.phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
         asked = lookup_join(hits.join(wanted, "query_id"), self.phrases, ["query_id"], "inner", ["doc_id"])
-        good = asked.join(holding, ["doc_id", "unit"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got"), F.max("wanted").alias("wanted"))
+        good = asked.join(self.holding, ["doc_id", "unit"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got"), F.max("wanted").alias("wanted"))
         plain = hits.join(wanted, "query_id", "left_anti")
         return plain.unionByName(hits.join(good.where("got = wanted").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
 
