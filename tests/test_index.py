@@ -109,3 +109,10 @@ def test_blocks_of_repeated_numbers(spark):
     }
     assert set(found) == {("a", 7), ("b", 7), ("c", -1), ("c", 301)} and found["a", 7].docs == 4
     assert [tuple(p) for p in found["a", 7].front] == [(4, 4), (3, 3), (1, 1)]
+
+
+def test_first_hits_look_phrases_up_once(spark, asked, docs, whole, monkeypatch):
+    calls, counted = [], ops.index_unit_counts
+    monkeypatch.setattr(ops, "index_unit_counts", lambda *args: calls.append(1) or counted(*args))
+    found = ops.TopHits(whole, asked.where("query_id IN (3, 5)"), 3).hits()
+    assert len(calls) == 1 and found.count() > 0
