@@ -35,12 +35,18 @@ LEFT_OPEN = 0.02
 DOCS_AT_ONCE = 200
 
 
-def encoder(path: str, ranks_path: str | None = None, pattern: str | None = None):
+def texts_encoder(path: str, ranks_path: str | None = None, pattern: str | None = None):
     """Texts to their ids as little-endian unsigned 32-bit numbers; see `word_ids`."""
     words = WordIds(byte_level_learner(load_tokenizer(path), ranks_path, pattern))
     return lambda texts: words.texts([chunks(text) for text in texts])
 
 
+def encoder(path: str, ranks_path: str | None = None, pattern: str | None = None):
+    """The same for one text at a time."""
+    encode = texts_encoder(path, ranks_path, pattern)
+    return lambda text: encode([text])[0]
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ranks: tuple[str, str] | None = None
 ) -> DataFrame:
@@ -52,7 +58,7 @@ def token_pieces(
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path, *(ranks or ())), np.array([end_id], "<u4").tobytes()
+        encode, end = texts_encoder(tokenizer_path, *(ranks or ())), np.array([end_id], "<u4").tobytes()
         for batch in (whole.slice(at, DOCS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, DOCS_AT_ONCE)):
             ids, numbers, starts, lengths, sums = [], [], [], [], []
             texts = encode([text or "" for text in batch.column(1).to_pylist()])
