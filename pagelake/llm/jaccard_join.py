@@ -13,7 +13,8 @@ must still hold t(a, b) shingles. So unlike texts around one frequent passage do
 Pairs that meet are first compared by the least shingles of 64 ranges of hashes, which passes all that link, then
 exactly. Within a component not every pair is measured: each list's most central member (fewest rarer
 shingles) meets all others, then a few more do; lists whose members are in one component are settled, and in
-the others members of different components meet, each pair once.
+the others members of different components meet, each pair once. What an entry needs to know of its list comes
+to it where the list is made or by a window, so the entries move once for it and not once for a sum and again for a join.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.components import components, merged
 from pagelake.llm.shared import keep_rows, numbered
-from pagelake.plans.reuse import materialize
-from pagelake.plans.skew import lookup_join, skew_join
+from pagelake.plans.reuse import materialize, scratch_scope
+from pagelake.plans.skew import hot_keys, lookup_join, skew_join
 
 SHINGLE = 5
 # Light sets are looked for up to this size; larger ones have too many subsets.
@@ -48,8 +49,13 @@ BINS, MOST_APART = 64, 40
 WORDS_KEPT = 100_000
 # Rows with whole sets of one key in a task.
 WIDE_ROWS = 20_000
-# Further central members of each open list that meet all its other ones.
+# Further central members of each open list that meet all its other ones: the most central of each of so many classes.
 LEADERS = 4
+# Lists of more entries aren't held in one task; they are found from one row in SAMPLED.
+LONG_LIST, SAMPLED = 1_000_000, 64
+# Entries whose lists are made at once, those that a task deals out at once, and the columns they are packed in.
+BUCKET_ENTRIES, DEALT_AT_ONCE = 100_000, 1_000_000
+PACKED = ["bucket", "token", "row", "n", "pos"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -221,11 +227,103 @@ def light_bound(sets: DataFrame, spots: DataFrame) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda most: (cost(most), most))
 
 
-def listed(sets: DataFrame) -> DataFrame:
-    """(token, row, n, pos): the entries of the inverted lists with at least two. Written once."""
+def long_lists(entries: DataFrame) -> DataFrame | None:
+    """The tokens of about LONG_LIST entries or more, MOST_HOT_KEYS at most; None if there are none."""
+    sampled = entries.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("token")
+    found = hot_keys(sampled, ["token"], LONG_LIST // SAMPLED)
+    return found and found.select("token")
+
+
+def with_sums(entries: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """The entries of a few long lists with these aggregates over their lists, made in parts and looked up."""
+    per_list = entries.groupBy("token").agg(*[total.alias(name) for name, total in sums.items()])
+    return entries.join(F.broadcast(per_list), "token")
+
+
+def with_list(entries: DataFrame, **sums: Column) -> DataFrame:
+    """The entries with these aggregates over their lists. They are shuffled once, and no task holds a long list."""
+    over = lambda short: short.repartition("token").select(
+        "*", *[total.over(Window.partitionBy("token")).alias(name) for name, total in sums.items()]
+    )
+    long = long_lists(entries)
+    if long is None:
+        return over(entries)
+    short = entries.join(F.broadcast(long), "token", "left_anti")
+    return over(short).unionByName(with_sums(entries.join(F.broadcast(long), "token", "left_semi"), sums))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the lowest byte of all first: the high ones are alike, so they take next to nothing once compressed."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def listed(sets: DataFrame, outlives: bool = False) -> DataFrame:
+    """(token, row, n, pos, x): the entries of the inverted lists with at least two; x is the list's most central
+    entry. Sets of up to MOST_LIGHT come last for that, as heavy ones may not meet them. Written once.
+
+    Most entries stand alone on their list. They go to buckets of lists as packed numbers, many at once, so an entry
+    takes half of what a row of four numbers would. A bucket holds about BUCKET_ENTRIES; long lists are in none."""
     entries = sets.select("row", "n", F.posexplode(F.slice("lead", F.lit(1), entering(F.col("n")))).alias("pos", "token"))
-    shared = materialize(entries.groupBy("token").count().where("count > 1").select("token"), "shared-shingles")
-    return materialize(entries.join(shared, "token").select("token", "row", "n", "pos"), "lists")
+    small = F.col("n") <= MOST_LIGHT
+    sums = {"members": F.count(F.lit(1)), "x": F.min(F.struct(small.alias("small"), "pos", "row", "n"))}
+    number = sets.agg(F.sum(entering(F.col("n")))).first()[0] or 0
+    buckets, long = -(-number // BUCKET_ENTRIES) or 1, long_lists(entries)
+    apart = np.array([r[0] for r in long.collect()] if long else [], np.int64)
+
+    def of_batch(batch: pa.RecordBatch) -> list[np.ndarray]:
+        row, n, lead = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        lengths = lead.value_lengths().to_numpy()
+        pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        token = lead.flatten().to_numpy()
+        inside = (pos < np.repeat(n - (4 * n + 4) // 5 + 1, lengths)) & ~np.isin(token, apart)
+        return [x[inside] for x in (token, np.repeat(row, lengths), np.repeat(n, lengths), pos)]
+
+    def packed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        numbers = [np.concatenate(x) for x in zip(*parts)]
+        bucket = (mixed(numbers[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        named, starts = np.unique(bucket[order], return_index=True)
+        tokens, rows, *others = (np.split(x[order], starts[1:]) if len(named) else [] for x in numbers)
+        # Rows of a task ascend, so their steps are small.
+        others = [[np.diff(x, prepend=0) for x in rows], *others]
+        columns = [[x.tobytes() for x in tokens], *([planes(x) for x in part] for part in others)]
+        return pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=PACKED)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(of_batch(batch))
+            held += len(parts[-1][0])
+            if held >= DEALT_AT_ONCE:
+                yield packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    def gather(packed: pa.Table) -> pa.Table:
+        columns = {name: [x.as_py() for x in packed.column(name)] for name in PACKED[1:]}
+        token = np.frombuffer(b"".join(columns["token"]), np.int64)
+        row = np.concatenate([np.cumsum(from_planes(x)) for x in columns["row"]])
+        n, pos = (np.concatenate([from_planes(x) for x in columns[name]]) for name in ("n", "pos"))
+        order = np.argsort(token)
+        same = token[order][1:] == token[order][:-1]
+        shared = order[np.append(same, False) | np.append(False, same)]
+        shared = shared[np.lexsort((row[shared], pos[shared], n[shared] <= MOST_LIGHT, token[shared]))]
+        token, row, n, pos = token[shared], row[shared], n[shared], pos[shared].astype(np.int32)
+        _, first, members = np.unique(token, return_index=True, return_counts=True)
+        x = pa.StructArray.from_arrays([np.repeat(c[first], members) for c in (pos, row, n)], names=["pos", "row", "n"])
+        return pa.table({"token": token, "row": row, "n": n, "pos": pos, "x": x})
+
+    dealt = sets.select("row", "n", "lead").mapInArrow(deal, "bucket long, token binary, row binary, n binary, pos binary")
+    out = dealt.groupBy("bucket").applyInArrow(gather, "token long, row long, n long, pos int, x struct<pos: int, row: long, n: long>")
+    if long:
+        of_long = with_sums(entries.join(F.broadcast(long), "token", "left_semi"), sums).where("members > 1")
+        out = out.unionByName(of_long.select("token", "row", "n", "pos", F.col("x").dropFields("small").alias("x")))
+    return materialize(out, "lists", outlives)
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -246,7 +344,7 @@ def whole_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Written once."""
+    """The pairs (a, b) whose whole sets link. Written once; the whole sets are removed after that."""
 
     @F.pandas_udf("boolean")
     def link(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -262,10 +360,11 @@ def linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
         load = lambda raw: np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BINS)
         return pd.Series((load(one) != load(two)).sum(1) <= MOST_APART)
 
-    pairs = _with_both(pairs, rows, "bins").where(close("bins_a", "bins_b")).select("a", "b")
-    pairs = materialize(pairs, "close-pairs")
-    met = _with_both(pairs, whole_sets(docs, rows, pairs), "shingles")
-    return materialize(met.where(link("shingles_a", "shingles_b")).select("a", "b").distinct(), "links")
+    with scratch_scope(rows.sparkSession):
+        pairs = _with_both(pairs, rows, "bins").where(close("bins_a", "bins_b")).select("a", "b")
+        pairs = materialize(pairs, "close-pairs")
+        met = _with_both(pairs, whole_sets(docs, rows, pairs), "shingles")
+        return materialize(met.where(link("shingles_a", "shingles_b")).select("a", "b").distinct(), "links", outlives=True)
 
 
 def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
@@ -289,32 +388,31 @@ def in_order(met: DataFrame, a: str = "x.row", b: str = "y.row") -> DataFrame:
 def heavy_links(spots: DataFrame, roots: DataFrame, most: int, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The components `roots` after the links between sets of which one is larger than `most`."""
     entry = F.struct("pos", "row", "n")
-    central = spots.groupBy("token").agg(F.min(entry).alias("x"))
-    stars = spots.select("token", entry.alias("y")).join(central, "token").where("x.row <> y.row").where(may_link("x", "y", most))
+    stars = spots.select("x", entry.alias("y")).where("x.row <> y.row").where(may_link("x", "y", most))
     known = materialize(in_order(stars), "met-pairs")
     roots = merged(roots, linked(known, docs, rows))
 
-    def still_open(entries: DataFrame) -> DataFrame:
-        """The entries (token, entry) of lists with several components, with the component of each."""
-        own = entries.join(roots.select(F.col("node").alias("row"), "root"), F.col("entry.row") == F.col("row"), "left")
-        own = own.select("token", "entry", F.coalesce("root", "entry.row").alias("own"))
-        several = own.groupBy("token").agg(F.min("own").alias("one"), F.max("own").alias("two")).where("one <> two").select("token")
-        return materialize(own.join(several, "token"), "open-lists")
-
-    def meet(ahead: DataFrame, entries: DataFrame, condition: str) -> DataFrame:
-        x = ahead.select("token", F.col("entry").alias("x"), F.col("own").alias("own_x"))
-        y = entries.select("token", F.col("entry").alias("y"), F.col("own").alias("own_y"))
-        met = x.join(y, "token").where(f"own_x <> own_y AND {condition}").where(may_link("x", "y", most))
+    def still_open(**told: Column) -> DataFrame:
+        """The entries (token, entry, own) of lists with several components, with the component of each and these aggregates over its list."""
+        owners = roots.select(F.col("node").alias("row"), "root")
+        own = lookup_join(spots.select("token", "row", "n", "pos"), owners, ["row"], "left", ["token"])
+        own = own.select("token", "row", "n", "pos", F.coalesce("root", "row").alias("own"))
+        several = with_list(own, one=F.min("own"), two=F.max("own"), **told).where("one <> two")
+        return several.select("token", entry.alias("entry"), "own", *told)
+
+    def new(met: DataFrame) -> DataFrame:
+        met = met.where("own_x <> own_y").where(may_link("x", "y", most))
         return materialize(in_order(met).join(known, ["a", "b"], "left_anti"), "met-pairs")
 
-    entries = still_open(spots.select("token", entry.alias("entry")))
-    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("entry")))
-    ahead = materialize(ranked.where(F.col("rank") <= LEADERS).drop("rank"), "central")
-    more = meet(ahead, entries, "x.row <> y.row")
+    of_class = lambda k: F.pmod(F.xxhash64("row"), F.lit(LEADERS)) == k
+    leaders = {f"x{k}": F.min(F.when(of_class(k), F.struct("pos", "row", "n", "own"))) for k in range(LEADERS)}
+    ahead = still_open(**leaders).select(F.explode(F.array_compact(F.array(*leaders))).alias("x"), F.col("entry").alias("y"), F.col("own").alias("own_y"))
+    more = new(ahead.withColumn("own_x", F.col("x.own")))
     known = known.unionByName(more)
     roots = merged(roots, linked(more, docs, rows))
-    entries = still_open(entries.select("token", "entry"))
-    return merged(roots, linked(meet(entries, entries, "x.row < y.row"), docs, rows))
+    entries = materialize(still_open(), "open-lists")
+    x, y = (entries.select("token", F.col("entry").alias(end), F.col("own").alias(f"own_{end}")) for end in "xy")
+    return merged(roots, linked(new(x.join(y, "token").where("x.row < y.row")), docs, rows))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,13 +423,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where a component has no other. An empty table gives no rows. Other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = led_sets(docs, frequency_sketch(docs))
-    same = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
-    same = materialize(same, "same-sets")
-    sets = rows.select("row", "n", "lead").join(same.select("row"), "row", "left_semi")
-    spots = listed(sets)
-    most = light_bound(sets, spots)
-    roots = components(light_links(sets, most))
+    with scratch_scope(docs.sparkSession):
+        led = led_sets(docs, frequency_sketch(docs))
+        same = led.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
+        same = materialize(same, "same-sets", outlives=True)
+        sets = led.select("row", "n", "lead").join(same.select("row"), "row", "left_semi")
+        spots = listed(sets, outlives=True)
+        most = light_bound(sets, spots)
+        light = materialize(sets.where(F.col("n") <= most), "light-sets", outlives=True)
+        rows = materialize(led.drop("lead"), "rows", outlives=True)
+    roots = components(light_links(light, most))
     # Sets too small for any heavy one are done.
     spots = spots.where(5 * F.col("n") >= 4 * F.lit(most + 1))
     roots = heavy_links(spots, roots, most, docs, rows)

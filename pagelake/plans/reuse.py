@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _scopes = threading.local()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir."""
+def scratch_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. `outlives`: see `materialize`."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,8 +22,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="pagelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/pagelake/{name}-{uuid.uuid4().hex}"
-    if getattr(_scopes, "open", None):
-        _scopes.open[-1].append(path)
+    scopes = getattr(_scopes, "open", [])
+    if len(scopes) > outlives:
+        scopes[-1 - outlives].append(path)
     return path
 
 
@@ -39,12 +40,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", outlives: bool = False) -> DataFrame:
     """Write the result once as Parquet and go on from the written table.
 
     Later readers prune columns, lost executors cost nothing upstream, and the
-    lineage ends here. The files stay in the shared folder unless a `scratch_scope` is open.
+    lineage ends here. The files stay in the shared folder unless a `scratch_scope` is open;
+    a table that `outlives` the innermost scope is left to the one around it.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

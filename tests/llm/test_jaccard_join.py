@@ -2,10 +2,12 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
 from pagelake.llm import jaccard_join as join
+from pagelake.plans import reuse
 
 
 def shingles(text):
@@ -110,3 +112,39 @@ def test_odd_rows(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert found(odd) == plain(rows)
     assert found(empty) == []
+
+
+@pytest.mark.parametrize("long", [1_000_000, 4])
+def test_lists(spark, clusters, monkeypatch, long):
+    """Every list with several entries, whole, with its most central entry; long lists apart from the others."""
+    monkeypatch.setattr(join, "LONG_LIST", long)
+    monkeypatch.setattr(join, "SAMPLED", 1)
+    monkeypatch.setattr(join, "BUCKET_ENTRIES", 50)
+    monkeypatch.setattr(join, "DEALT_AT_ONCE", 70)
+    df = spark.createDataFrame(clusters, "doc_id long, text string").repartition(3)
+    sets = join.led_sets(df, join.frequency_sketch(df)).where("n > 0").select("row", "n", "lead")
+    lists = defaultdict(list)
+    for row, n, lead in sets.collect():
+        for pos, token in enumerate(lead[: join.entering(n)]):
+            lists[token].append((n <= join.MOST_LIGHT, pos, row, n))
+    wanted = {(token, row, n, pos, min(x)[1:]) for token, x in lists.items() if len(x) > 1 for _, pos, row, n in x}
+    rows = [(r.token, r.row, r.n, r.pos, tuple(r.x)) for r in join.listed(sets).collect()]
+    assert set(rows) == wanted and len(rows) == len(wanted)
+    assert any(len(x) > 4 for x in lists.values())
+
+
+def test_long_lists_give_the_same(spark, clusters, monkeypatch):
+    monkeypatch.setattr(join, "LONG_LIST", 4)
+    monkeypatch.setattr(join, "SAMPLED", 1)
+    assert found(spark.createDataFrame(clusters, "doc_id long, text string")) == plain(clusters)
+
+
+def test_big_tables_are_removed_on_the_way(spark, clusters, monkeypatch):
+    """Whole sets and leads are the bulk of the disk: neither stays after the step that reads it."""
+    paths, real = [], reuse.scratch_path
+    monkeypatch.setattr(reuse, "scratch_path", lambda *given: paths.append(real(*given)) or paths[-1])
+    join.jaccard_join(spark.createDataFrame(clusters, "doc_id long, text string")).count()
+    name = lambda path: Path(path).name.rsplit("-", 1)[0]
+    left = {name(path) for path in paths if Path(path).exists()}
+    assert {"led-sets", "whole-sets"} <= {name(path) for path in paths} and "lists" in left
+    assert not left & {"led-sets", "shared-shingles", "close-pairs", "wanted-sets", "whole-sets"}
